@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from . import text as T
 
-FENCE_FILL = "\U0010ffff"
+# Code points Unicode sets aside for internal use; they do not occur in text proper.
+NONCHARACTERS = [chr((plane << 16) | low) for plane in range(16, -1, -1) for low in (0xFFFF, 0xFFFE)] + [
+    chr(c) for c in range(0xFDD0, 0xFDF0)
+]
 BLOCK = 4096
 
 
@@ -68,12 +71,15 @@ def mask_tags(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(T.TAG_HEAD)), masked).otherwise(text)
 
 
-def searchable(text: Column) -> Column:
-    """The text as the matcher sees it: tags masked chunk by chunk, fences filled, length kept."""
+def searchable(text: Column, fill: str) -> Column:
+    """The text as the matcher sees it: tags masked chunk by chunk, fences filled, length kept.
+
+    ``fill`` must not occur in any surface.
+    """
     filled = F.array_join(
         F.transform(
             _pieces(text, T.FENCE, "```"),
-            lambda p: F.when(p["is_hit"], F.repeat(F.lit(FENCE_FILL), F.length(p["piece"]))).otherwise(
+            lambda p: F.when(p["is_hit"], F.repeat(F.lit(fill), F.length(p["piece"]))).otherwise(
                 mask_tags(p["piece"])
             ),
         ),
@@ -82,27 +88,6 @@ def searchable(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("```")), filled).otherwise(mask_tags(text))
 
 
-def drop_fenced(matches: Column, text: Column) -> Column:
-    """Remove matches that touch a fence.
-
-    Only a surface holding the fill character can produce one, so the fence list is
-    looked at for such surfaces alone.
-    """
-
-    def touches(m):
-        return F.exists(
-            segments(text),
-            lambda s: ~s["redactable"]
-            & (m["start"] < s["seg_start"] + F.length(s["chunk"]))
-            & (m["end"] > s["seg_start"]),
-        )
-
-    return F.when(
-        F.contains(text, F.lit("```")),
-        F.filter(matches, lambda m: ~(F.contains(m["surface"], F.lit(FENCE_FILL)) & touches(m))),
-    ).otherwise(matches)
-
-
 def variant_marker(variant: Column, alias_id: Column) -> Column:
     return F.when(variant == "c", F.lit("c")).otherwise(F.concat(F.lit("a"), alias_id.cast("string")))
 

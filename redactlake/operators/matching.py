@@ -26,6 +26,7 @@ from ..runtime import salted_join
 MAX_BROADCAST_BYTES = 64 << 20
 MIN_BITS, MAX_BITS = 16, 27  # the bitmap takes 8 KiB to 16 MiB
 ROW_OVERHEAD = 64
+NONCHARACTER = "[" + "".join(tags.NONCHARACTERS) + "]"
 PATTERN_COLUMNS = ["surface", "item_id", "code", "desc", "variant", "alias_id"]
 
 
@@ -36,7 +37,7 @@ class Matcher:
     patterns: DataFrame
     state: object | None
     in_place: bool
-    may_hit_fill: bool = False
+    fill: str = tags.NONCHARACTERS[0]
 
     @property
     def is_empty(self) -> bool:
@@ -53,7 +54,7 @@ def prepare_matcher(
         F.count("*").alias("n"),
         F.sum(width).alias("bytes"),
         F.collect_set(F.octet_length("surface")).alias("lengths"),
-        F.bool_or(F.contains("surface", F.lit(tags.FENCE_FILL))).alias("may_hit_fill"),
+        F.bool_or(F.col("surface").rlike(NONCHARACTER)).alias("odd"),
     ).first()
     if size["n"] == 0:
         return Matcher(patterns, None, True)
@@ -72,7 +73,18 @@ def prepare_matcher(
         bitmap = _bitmap(slotted, bits)
     state["bitmap"] = bitmap.tobytes()
     shared = patterns.sparkSession.sparkContext.broadcast(state)
-    return Matcher(patterns, shared, in_place, size["may_hit_fill"])
+    fill = _unused_fill(patterns) if size["odd"] else tags.NONCHARACTERS[0]
+    return Matcher(patterns, shared, in_place, fill)
+
+
+def _unused_fill(patterns: DataFrame) -> str:
+    """A character no surface holds, so that nothing can match where it stands."""
+    hits = F.explode(F.regexp_extract_all("surface", F.lit(NONCHARACTER), F.lit(0)))
+    used = {r[0] for r in patterns.select(hits).distinct().collect()}  # 66 rows at most
+    for c in tags.NONCHARACTERS:
+        if c not in used:
+            return c
+    raise ValueError("the inventory uses every Unicode noncharacter; none is left to fill fences with")
 
 
 def _ipc(table: pa.Table) -> bytes:
@@ -105,17 +117,10 @@ def with_matches(
     none = F.array().cast(kernels.MATCH_TYPE)
     if matcher.is_empty:
         return docs.withColumn(name, none)
-    seen = tags.searchable(F.col(text))
+    seen = tags.searchable(F.col(text), matcher.fill)
     if matcher.in_place:
-        udf = kernels.make_matcher(matcher.state)
-        # Separate projections, so that the clean-up below is not folded between two Python calls.
-        udf = udf.asNondeterministic() if matcher.may_hit_fill else udf
-        found = docs.withColumn(name, udf(seen))
-    else:
-        found = _match_by_join(docs, matcher, keys, seen, name)
-    if matcher.may_hit_fill:
-        found = found.withColumn(name, tags.drop_fenced(F.col(name), F.col(text)))
-    return found
+        return docs.withColumn(name, kernels.make_matcher(matcher.state)(seen))
+    return _match_by_join(docs, matcher, keys, seen, name)
 
 
 def _match_by_join(docs: DataFrame, matcher: Matcher, keys: list[str], seen: Column, name: str) -> DataFrame:
