@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
@@ -100,38 +100,41 @@ def render_tag(item_id: Column, variant: Column, alias_id: Column, code: Column,
     )
 
 
-def splice(text: Column, spans: Column) -> Column:
-    """Replace sorted, disjoint ``spans`` (start, end, tag) of ``text`` by their tags.
+def splice(df: DataFrame, text: str, spans: str, name: str) -> DataFrame:
+    """Add ``name``: the text with its sorted, disjoint ``spans`` (start, end, tag) replaced by their tags.
 
     ``substring`` counts characters from the front, so cutting N gaps out of a long text one by
     one is quadratic. The text is cut once into blocks and each gap reads only the blocks it
     covers, which keeps the whole splice linear.
     """
+    blocks, source, spans_ = F.col("_blocks"), F.col(text), F.col(spans)
 
-    def cut(blocks, a, b):
+    def cut(a, b):
         first = (a / BLOCK).cast("int")
         n = ((b - 1) / BLOCK).cast("int") - first + 1
-        part = F.substring(F.array_join(F.slice(blocks, first + 1, n), ""), a - first * BLOCK + 1, b - a)
-        return F.when(b > a, part).otherwise("")
-
-    def build(both):
-        blocks, spans_ = both["blocks"], both["spans"]
-        heads = F.transform(
-            spans_,
-            lambda s, i: F.concat(
-                cut(blocks, F.when(i == 0, F.lit(0)).otherwise(F.get(spans_, i - 1)["end"]), s["start"]),
-                s["tag"],
-            ),
+        covering = F.array_join(F.slice(blocks, first + 1, n), "")
+        return (
+            F.when(b <= a, "")
+            .when(F.size(blocks) == 1, F.substring(source, a + 1, b - a))
+            .otherwise(F.substring(covering, a - first * BLOCK + 1, b - a))
         )
-        tail = cut(blocks, F.element_at(spans_, -1)["end"], both["n"])
-        return F.concat(F.array_join(heads, ""), tail)
 
-    bound = F.struct(
-        F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)).alias("blocks"),
-        spans.alias("spans"),
-        F.length(text).alias("n"),
+    # One gap more than there are spans: the last one is the tail.
+    gap_starts = F.concat(F.array(F.lit(0)), F.transform(spans_, lambda s: s["end"]))
+    pieces = F.zip_with(
+        spans_,
+        gap_starts,
+        lambda s, at: F.concat(
+            cut(at, F.coalesce(s["start"], F.length(source))), F.coalesce(s["tag"], F.lit(""))
+        ),
+    )
+    changed = F.size(spans_) > 0
+    cut_up = F.when(changed, F.regexp_extract_all(source, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+    return (
+        df.withColumn("_blocks", cut_up)
+        .withColumn(name, F.when(changed, F.array_join(pieces, "")).otherwise(source))
+        .drop("_blocks")
     )
-    return F.when(F.size(spans) > 0, T.let(bound, build)).otherwise(text)
 
 
 def tag_pieces(text: Column) -> Column:

@@ -74,11 +74,6 @@ def to_number(c: Column) -> Column:
     return F.translate(c, source, target).try_cast("bigint")
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times inside ``body``."""
-    return F.transform(F.array(value), body)[0]
-
-
 def interleave(gaps: Column, marks: Column, build) -> Column:
     """``gap0 mark0 gap1 mark1 .. gapN`` as one array; ``build(gap, mark)`` yields an array per pair."""
     return F.flatten(F.zip_with(gaps, marks, build))

@@ -107,13 +107,15 @@ class Rule:
     code: str
     desc: str
     pattern: str
+    needs: str = ""
+    """A literal every hit contains; texts without it skip the pattern."""
 
 
 # --- fixed values: category codes of the redaction legend, with a pattern each ---
 DEFAULT_RULES = (
-    Rule("(1)(A)(c)", "email address", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+    Rule("(1)(A)(c)", "email address", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "@"),
     Rule("(1)(B)(c)", "card number", r"[0-9]{16}"),
-    Rule("(3)(B)(a)", "IP address", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"),
+    Rule("(3)(B)(a)", "IP address", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}", "."),
 )
 # --- end of fixed values ---
 
@@ -122,11 +124,11 @@ def propose_by_rules(
     docs: DataFrame, keys: list[str], text: str = "text", rules: tuple[Rule, ...] = DEFAULT_RULES
 ) -> DataFrame:
     """Badge lines from regular expressions, JVM-side: (keys, raw), first occurrence of each surface per rule."""
-    lines = [
-        F.transform(
-            F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r.pattern), F.lit(0))),
-            lambda s, r=r: F.concat(F.lit(f"[REDACTED: {r.code}, {r.desc}] => "), s),
-        )
-        for r in rules
-    ]
-    return docs.select(*keys, F.array_join(F.concat(*lines), "\n").alias("raw"))
+    none = F.array().cast("array<string>")
+
+    def lines(rule: Rule):
+        hits = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(rule.pattern), F.lit(0)))
+        badge = F.transform(hits, lambda s: F.concat(F.lit(f"[REDACTED: {rule.code}, {rule.desc}] => "), s))
+        return F.when(F.contains(F.col(text), F.lit(rule.needs)), badge).otherwise(none) if rule.needs else badge
+
+    return docs.select(*keys, F.array_join(F.concat(*[lines(r) for r in rules]), "\n").alias("raw"))

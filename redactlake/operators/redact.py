@@ -32,14 +32,9 @@ def redact_documents(docs: DataFrame, matcher: Matcher, keys: list[str], text: s
             tags.render_tag(m["item_id"], m["variant"], m["alias_id"], m["code"], m["desc"]).alias("tag"),
         ),
     )
-    return (
-        found.withColumn("selected", select(F.col("matches")))
-        .withColumn("_spans", spans)
-        .select(
-            *cols,
-            tags.splice(F.col(text), F.col("_spans")).alias("redacted"),
-            F.size("selected").alias("n_matches"),
-        )
+    selected = found.withColumn("selected", select(F.col("matches"))).withColumn("_spans", spans)
+    return tags.splice(selected, text, "_spans", "redacted").select(
+        *cols, "redacted", F.size("_spans").alias("n_matches")
     )
 
 
