@@ -52,8 +52,10 @@ def _mixed_bytes() -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def _slot(fingerprint, length: int, bits: int):
-    key = _u64(length * 0x2545F4914F6CDD1D)
+def _slot(fingerprint, length, bits: int):
+    """Bitmap position of fingerprints of one length, or of one length each."""
+    factor = 0x2545F4914F6CDD1D
+    key = length * _u64(factor) if isinstance(length, np.ndarray) else _u64(length * factor)
     return ((fingerprint ^ key) * _u64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - bits)
 
 
@@ -72,25 +74,35 @@ def _utf8(arr: pa.Array):
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def surface_slots(arr: pa.Array, bits: int):
+    """Bitmap positions of the prefix and of the whole of each (non-empty) surface."""
+    data, bounds = _utf8(arr)
+    mixed = _mixed_bytes()
+    size = np.diff(bounds)
+    tier = np.int64(1) << (np.frexp(size)[1].astype(np.int64) - 1)
+    prefix, full = np.zeros(len(arr), np.int64), np.zeros(len(arr), np.int64)
+    row = 0
+    while row < len(arr):
+        stop = max(row + 1, int(np.searchsorted(bounds, bounds[row] + WINDOW, side="right")) - 1)
+        part = data[bounds[row] : bounds[stop]]
+        up, down = _powers(len(part) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed[part] * up[:-1])])
+        at, n, k = bounds[row:stop] - bounds[row], size[row:stop], tier[row:stop]
+        for out, length in ((prefix, k), (full, n)):
+            value = (sums[at + length] - sums[at]) * down[at]
+            out[row:stop] = _slot(value, length.astype(np.uint64), bits).astype(np.int64)
+        row = stop
+    return prefix, full
+
+
 def make_slots(bits: int):
-    """surface -> struct<prefix_slot, full_slot, n_bytes>: where its fingerprints go in the bitmap."""
+    """surface -> struct<prefix_slot, full_slot>."""
 
     def slots(arr: pa.Array) -> pa.Array:
-        mixed = _mixed_bytes()
-        prefix, full, size = [], [], []
-        for text in arr.to_pylist():
-            raw = np.frombuffer((text or "").encode(), np.uint8)
-            up, _ = _powers(len(raw) + 1)
-            sums = np.cumsum(mixed[raw] * up[: len(raw)])
-            n = len(raw)
-            k = _tier(n) if n else 0
-            prefix.append(int(_slot(sums[k - 1 : k], k, bits)[0]) if n else 0)
-            full.append(int(_slot(sums[n - 1 :], n, bits)[0]) if n else 0)
-            size.append(n)
-        fields = [pa.array(v, pa.int64()) for v in (prefix, full, size)]
-        return pa.StructArray.from_arrays(fields, names=["prefix_slot", "full_slot", "n_bytes"])
-
-    return F.arrow_udf(slots, "struct<prefix_slot:bigint,full_slot:bigint,n_bytes:bigint>")
+        fields = [pa.array(v, pa.int64()) for v in surface_slots(arr, bits)]
+        return pa.StructArray.from_arrays(fields, names=["prefix_slot", "full_slot"])
+
+    return F.arrow_udf(slots, "struct<prefix_slot:bigint,full_slot:bigint>")
 
 
 def _survivors(data: np.ndarray, bounds: np.ndarray, bitmap: np.ndarray, bits: int, lengths, cache: dict):

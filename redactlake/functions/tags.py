@@ -1,4 +1,9 @@
-"""Segmentation, masking, tag rendering and splicing as column expressions."""
+"""Segmentation, masking, tag rendering and splicing as SQL expressions.
+
+They are written as SQL text, which the driver hands to Spark in one piece; assembling the
+same trees call by call costs more than planning the query. Arguments named ``text`` are SQL
+expressions, usually a column name.
+"""
 
 from __future__ import annotations
 
@@ -14,90 +19,66 @@ NONCHARACTERS = [chr((plane << 16) | low) for plane in range(16, -1, -1) for low
 BLOCK = 4096
 
 
-def _pieces(text: Column, pattern: str, mark: str) -> Column:
+def _pieces(text: str, pattern: str, mark: str) -> str:
     """Alternate gaps and regex hits of ``text`` as array<struct<piece, is_hit>>, empties dropped.
 
     Texts without the literal ``mark`` skip the regex altogether.
     """
-    gaps = F.split(text, pattern, -1)
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    both = T.interleave(
-        gaps,
-        hits,
-        lambda gap, hit: F.array(
-            F.struct(gap.alias("piece"), F.lit(False).alias("is_hit")),
-            F.struct(F.coalesce(hit, F.lit("")).alias("piece"), F.lit(True).alias("is_hit")),
-        ),
-    )
-    plain = F.array(F.struct(text.alias("piece"), F.lit(False).alias("is_hit")))
-    pieces = F.when(F.contains(text, F.lit(mark)), both).otherwise(plain)
-    return F.filter(pieces, lambda p: F.length(p["piece"]) > 0)
+    return f"""
+      filter(
+        if(contains({text}, '{mark}'),
+          flatten(zip_with(split({text}, r'{pattern}', -1), regexp_extract_all({text}, r'{pattern}', 0),
+            (gap, hit) -> array(struct(gap AS piece, false AS is_hit), struct(coalesce(hit, '') AS piece, true AS is_hit)))),
+          array(struct({text} AS piece, false AS is_hit))),
+        p -> length(p.piece) > 0)"""
 
 
-def segments(text: Column) -> Column:
+def segments(text: str) -> Column:
     """Split at triple-backtick fences.
 
     array<struct<seg_no int, seg_start int, chunk string, redactable boolean>>
     """
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.array().cast("array<struct<seg_no:int,seg_start:int,chunk:string,redactable:boolean>>").alias("out"),
-    )
+    return F.expr(f"""
+      aggregate({_pieces(text, T.FENCE, '```')},
+        struct(0 AS at, cast(array() AS array<struct<seg_no:int,seg_start:int,chunk:string,redactable:boolean>>) AS out),
+        (acc, p) -> struct(acc.at + length(p.piece) AS at, concat(acc.out, array(struct(
+          size(acc.out) AS seg_no, acc.at AS seg_start, p.piece AS chunk, NOT p.is_hit AS redactable))) AS out),
+        acc -> acc.out)""")
 
-    def step(acc, p):
-        seg = F.struct(
-            F.size(acc["out"]).alias("seg_no"),
-            acc["at"].alias("seg_start"),
-            p["piece"].alias("chunk"),
-            (~p["is_hit"]).alias("redactable"),
-        )
-        return F.struct(
-            (acc["at"] + F.length(p["piece"])).alias("at"),
-            F.concat(acc["out"], F.array(seg)).alias("out"),
-        )
 
-    return F.aggregate(_pieces(text, T.FENCE, "```"), start, step, lambda acc: acc["out"])
+def _masked(text: str) -> str:
+    return f"""
+      if(contains({text}, '{T.TAG_HEAD}'),
+        array_join(transform({_pieces(text, T.TAG, T.TAG_HEAD)},
+          p -> if(p.is_hit, repeat('{T.MASK}', length(p.piece)), p.piece)), ''),
+        {text})"""
 
 
-def mask_tags(text: Column) -> Column:
+def mask_tags(text: str) -> Column:
     """Existing tags become as many mask characters; the length is kept."""
-    masked = F.array_join(
-        F.transform(
-            _pieces(text, T.TAG, T.TAG_HEAD),
-            lambda p: F.when(p["is_hit"], F.repeat(F.lit(T.MASK), F.length(p["piece"]))).otherwise(p["piece"]),
-        ),
-        "",
-    )
-    return F.when(F.contains(text, F.lit(T.TAG_HEAD)), masked).otherwise(text)
+    return F.expr(_masked(text))
 
 
-def searchable(text: Column, fill: str) -> Column:
+def searchable(text: str, fill: str) -> Column:
     """The text as the matcher sees it: tags masked chunk by chunk, fences filled, length kept.
 
     ``fill`` must not occur in any surface.
     """
-    filled = F.array_join(
-        F.transform(
-            _pieces(text, T.FENCE, "```"),
-            lambda p: F.when(p["is_hit"], F.repeat(F.lit(fill), F.length(p["piece"]))).otherwise(
-                mask_tags(p["piece"])
-            ),
-        ),
-        "",
-    )
-    return F.when(F.contains(text, F.lit("```")), filled).otherwise(mask_tags(text))
+    return F.expr(f"""
+      if(contains({text}, '```'),
+        array_join(transform({_pieces(text, T.FENCE, '```')},
+          f -> if(f.is_hit, repeat('{fill}', length(f.piece)), {_masked('f.piece')})), ''),
+        {_masked(text)})""")
 
 
-def variant_marker(variant: Column, alias_id: Column) -> Column:
-    return F.when(variant == "c", F.lit("c")).otherwise(F.concat(F.lit("a"), alias_id.cast("string")))
+def _tag(m: str) -> str:
+    return f"""concat('[REDACTED(#', {m}.item_id, '|var=', if({m}.variant = 'c', 'c', concat('a', {m}.alias_id)),
+      '): ', {m}.code, ', ', {m}.desc, ']')"""
 
 
-def render_tag(item_id: Column, variant: Column, alias_id: Column, code: Column, desc: Column) -> Column:
-    return F.concat(
-        F.lit("[REDACTED(#"), item_id.cast("string"),
-        F.lit("|var="), variant_marker(variant, alias_id),
-        F.lit("): "), code, F.lit(", "), desc, F.lit("]"),
-    )
+def render_tags(matches: str) -> Column:
+    """Matches as spans (start, end, tag)."""
+    return F.expr(f"transform({matches}, m -> struct(m.start AS start, m.end AS end, {_tag('m')} AS tag))")
 
 
 def splice(df: DataFrame, text: str, spans: str, name: str) -> DataFrame:
@@ -105,56 +86,40 @@ def splice(df: DataFrame, text: str, spans: str, name: str) -> DataFrame:
 
     ``substring`` counts characters from the front, so cutting N gaps out of a long text one by
     one is quadratic. The text is cut once into blocks and each gap reads only the blocks it
-    covers, which keeps the whole splice linear.
+    covers, which keeps the whole splice linear. There is one gap more than there are spans;
+    the last is the tail.
     """
-    blocks, source, spans_ = F.col("_blocks"), F.col(text), F.col(spans)
-
-    def cut(a, b):
-        first = (a / BLOCK).cast("int")
-        n = ((b - 1) / BLOCK).cast("int") - first + 1
-        covering = F.array_join(F.slice(blocks, first + 1, n), "")
-        return (
-            F.when(b <= a, "")
-            .when(F.size(blocks) == 1, F.substring(source, a + 1, b - a))
-            .otherwise(F.substring(covering, a - first * BLOCK + 1, b - a))
-        )
-
-    # One gap more than there are spans: the last one is the tail.
-    gap_starts = F.concat(F.array(F.lit(0)), F.transform(spans_, lambda s: s["end"]))
-    pieces = F.zip_with(
-        spans_,
-        gap_starts,
-        lambda s, at: F.concat(
-            cut(at, F.coalesce(s["start"], F.length(source))), F.coalesce(s["tag"], F.lit(""))
-        ),
-    )
-    changed = F.size(spans_) > 0
-    cut_up = F.when(changed, F.regexp_extract_all(source, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0)))
+    until = f"coalesce(s.start, length({text}))"
+    gap = f"""
+      CASE WHEN {until} <= at THEN ''
+        WHEN size(_blocks) = 1 THEN substring({text}, at + 1, {until} - at)
+        ELSE substring(
+          array_join(slice(_blocks, at div {BLOCK} + 1, ({until} - 1) div {BLOCK} - at div {BLOCK} + 1), ''),
+          at % {BLOCK} + 1, {until} - at)
+      END"""
+    pieces = f"""
+      zip_with({spans}, concat(array(0), transform({spans}, s -> s.end)),
+        (s, at) -> concat({gap}, coalesce(s.tag, '')))"""
     return (
-        df.withColumn("_blocks", cut_up)
-        .withColumn(name, F.when(changed, F.array_join(pieces, "")).otherwise(source))
+        df.withColumn(
+            "_blocks", F.expr(f"if(size({spans}) > 0, regexp_extract_all({text}, r'(?s).{{1,{BLOCK}}}', 0), NULL)")
+        )
+        .withColumn(name, F.expr(f"if(size({spans}) > 0, array_join({pieces}, ''), {text})"))
         .drop("_blocks")
     )
 
 
-def tag_pieces(text: Column) -> Column:
-    """Tags of a text with the gap before each and the tail at the end.
+def tag_pieces(text: str) -> Column:
+    """Tags of a text with the gap before each and the tail at the end; empty without any tag head.
 
     array<struct<pos int, gap string, tag string, item_id bigint, alias_id bigint>>; ``alias_id``
     is null for the canonical variant and ``tag`` is null for the tail.
     """
-    gaps = F.split(text, T.TAG, -1)
-    hits = F.regexp_extract_all(text, F.lit(T.TAG), F.lit(0))
-    ids = F.regexp_extract_all(text, F.lit(T.TAG), F.lit(1))
-    variants = F.regexp_extract_all(text, F.lit(T.TAG), F.lit(2))
-    zipped = F.arrays_zip(gaps.alias("gap"), hits.alias("tag"), ids.alias("id"), variants.alias("var"))
-    return F.transform(
-        zipped,
-        lambda z, i: F.struct(
-            i.alias("pos"),
-            z["gap"].alias("gap"),
-            z["tag"].alias("tag"),
-            T.to_number(z["id"]).alias("item_id"),
-            T.to_number(F.when(z["var"] != "c", F.substring(z["var"], F.lit(2), F.length(z["var"])))).alias("alias_id"),
-        ),
-    )
+    hits = f"regexp_extract_all({text}, r'{T.TAG}', %d)"
+    return F.expr(f"""
+      if(contains({text}, '{T.TAG_HEAD}'),
+        transform(
+          arrays_zip(split({text}, r'{T.TAG}', -1), {hits % 0}, {hits % 1}, {hits % 2}),
+          (z, i) -> struct(i AS pos, z.`0` AS gap, z.`1` AS tag, {T.number('z.`2`')} AS item_id,
+            {T.number("if(z.`3` = 'c', NULL, substring(z.`3`, 2))")} AS alias_id)),
+        array())""")

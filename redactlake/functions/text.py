@@ -34,6 +34,10 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U)\A{WS}+|{WS}+\z", "")
 
 
+def strip_sql(sql: str) -> str:
+    return rf"regexp_replace({sql}, r'(?U)\A{WS}+|{WS}+\z', '')"
+
+
 def rstrip(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?U){WS}+\z", "")
 
@@ -68,12 +72,7 @@ def _decimal_digits() -> tuple[str, str]:
     return "".join(digits), "".join(str(unicodedata.decimal(d)) for d in digits)
 
 
-def to_number(c: Column) -> Column:
-    """Digits of any script to a long; null when it does not fit one."""
+def number(sql: str) -> str:
+    """SQL: digits of any script to a long; null when it does not fit one."""
     source, target = _decimal_digits()
-    return F.translate(c, source, target).try_cast("bigint")
-
-
-def interleave(gaps: Column, marks: Column, build) -> Column:
-    """``gap0 mark0 gap1 mark1 .. gapN`` as one array; ``build(gap, mark)`` yields an array per pair."""
-    return F.flatten(F.zip_with(gaps, marks, build))
+    return f"try_cast(translate({sql}, '{source}', '{target}') AS bigint)"

@@ -6,7 +6,7 @@ A badge names one sensitive string, as ``[REDACTED: code, desc] => surface`` or
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -25,47 +25,31 @@ def badge_lines(df: DataFrame, content: str, keys: list[str], drop_blank_first:
     )
 
 
-def _parsed(line: Column) -> Column:
-    def fields(kind: str, pattern: str) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"),
-            F.regexp_extract(line, pattern, 1).alias("code"),
-            T.strip(F.regexp_extract(line, pattern, 2)).alias("desc"),
-            F.regexp_extract(line, pattern, 3).alias("surface"),
-        )
-
-    nothing = F.lit(None).cast("string")
-
-    def other(kind: str) -> Column:
-        return F.struct(
-            F.lit(kind).alias("kind"), nothing.alias("code"), nothing.alias("desc"), nothing.alias("surface")
-        )
-
-    return (
-        F.when((line == "") | line.startswith("#"), other("skip"))
-        .when(line.rlike(T.BADGE_ARROW), fields("arrow", T.BADGE_ARROW))
-        .when(line.rlike(T.BADGE_PIPE), fields("pipe", T.BADGE_PIPE))
-        .otherwise(other("invalid"))
-    )
-
-
 def parse_badges(lines: DataFrame) -> DataFrame:
     """Add ``kind`` (skip, arrow, pipe, invalid), ``code``, ``desc``, ``surface`` and ``error``."""
-    cols = lines.columns
+    fields = [("code", 1), ("desc", 2), ("surface", 3)]
+    picked = [
+        f"CASE kind WHEN 'arrow' THEN regexp_extract(_line, r'{T.BADGE_ARROW}', {n})"
+        f" WHEN 'pipe' THEN regexp_extract(_line, r'{T.BADGE_PIPE}', {n}) END"
+        for _, n in fields
+    ]
+    picked[1] = T.strip_sql(picked[1])
     return (
         lines.withColumn("_line", T.strip(F.col("raw")))
-        .withColumn("_b", _parsed(F.col("_line")))
+        .withColumn(
+            "kind",
+            F.expr(f"""
+              CASE WHEN _line = '' OR startswith(_line, '#') THEN 'skip'
+                WHEN _line RLIKE r'{T.BADGE_ARROW}' THEN 'arrow'
+                WHEN _line RLIKE r'{T.BADGE_PIPE}' THEN 'pipe'
+                ELSE 'invalid' END"""),
+        )
         .select(
-            *cols,
-            "_b.*",
-            F.when(
-                F.col("_b.kind") == "invalid",
-                F.concat(
-                    F.lit("Error parsing line "),
-                    F.col("line_no").cast("string"),
-                    F.lit(": Invalid badge line format: "),
-                    F.col("_line"),
-                ),
+            *lines.columns,
+            "kind",
+            *[F.expr(sql).alias(name) for sql, (name, _) in zip(picked, fields)],
+            F.expr(
+                "if(kind = 'invalid', concat('Error parsing line ', line_no, ': Invalid badge line format: ', _line), NULL)"
             ).alias("error"),
         )
     )

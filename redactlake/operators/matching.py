@@ -49,32 +49,36 @@ def prepare_matcher(
 ) -> Matcher:
     """Measure ``patterns`` and build what the executors need."""
     patterns = patterns.select(*PATTERN_COLUMNS)
-    width = sum(F.octet_length(c) for c in ("surface", "code", "desc")) + ROW_OVERHEAD
-    size = patterns.agg(
-        F.count("*").alias("n"),
-        F.sum(width).alias("bytes"),
-        F.collect_set(F.octet_length("surface")).alias("lengths"),
-        F.bool_or(F.col("surface").rlike(NONCHARACTER)).alias("odd"),
-    ).first()
-    if size["n"] == 0:
-        return Matcher(patterns, None, True)
-    bits = min(max_bits, max(MIN_BITS, int(32 * size["n"]).bit_length()))
-    in_place = size["bytes"] <= max_broadcast_bytes
-    slotted = patterns.withColumn("_s", kernels.make_slots(bits)(F.col("surface")))
-    state = {"bits": bits, "lengths": sorted(size["lengths"])}
-    if in_place:
-        table = slotted.select(*PATTERN_COLUMNS, "_s.prefix_slot", "_s.full_slot").toArrow()
-        flags = np.zeros(1 << bits, np.uint8)
-        for name in ("prefix_slot", "full_slot"):
-            flags[table.column(name).to_numpy()] = 1
-        bitmap = np.packbits(flags, bitorder="little")
-        state["patterns"] = _ipc(table.select(PATTERN_COLUMNS))
-    else:
-        bitmap = _bitmap(slotted, bits)
-    state["bitmap"] = bitmap.tobytes()
-    shared = patterns.sparkSession.sparkContext.broadcast(state)
-    fill = _unused_fill(patterns) if size["odd"] else tags.NONCHARACTERS[0]
-    return Matcher(patterns, shared, in_place, fill)
+    kept = patterns.persist()  # measured, then read once more
+    try:
+        width = sum(F.octet_length(c) for c in ("surface", "code", "desc")) + ROW_OVERHEAD
+        size = kept.agg(
+            F.count("*").alias("n"),
+            F.sum(width).alias("bytes"),
+            F.collect_set(F.octet_length("surface")).alias("lengths"),
+            F.bool_or(F.col("surface").rlike(NONCHARACTER)).alias("odd"),
+        ).first()
+        if size["n"] == 0:
+            return Matcher(patterns, None, True)
+        bits = min(max_bits, max(MIN_BITS, int(32 * size["n"]).bit_length()))
+        in_place = size["bytes"] <= max_broadcast_bytes
+        state = {"bits": bits, "lengths": sorted(size["lengths"])}
+        if in_place:
+            table = kept.toArrow().combine_chunks()
+            surfaces = table.column("surface").combine_chunks()
+            flags = np.zeros(1 << bits, np.uint8)
+            for slots in kernels.surface_slots(surfaces, bits):
+                flags[slots] = 1
+            bitmap = np.packbits(flags, bitorder="little")
+            state["patterns"] = _ipc(table)
+        else:
+            bitmap = _bitmap(kept, bits)
+        state["bitmap"] = bitmap.tobytes()
+        fill = _unused_fill(kept) if size["odd"] else tags.NONCHARACTERS[0]
+        shared = patterns.sparkSession.sparkContext.broadcast(state)
+        return Matcher(patterns, shared, in_place, fill)
+    finally:
+        kept.unpersist()
 
 
 def _unused_fill(patterns: DataFrame) -> str:
@@ -94,8 +98,9 @@ def _ipc(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _bitmap(slotted: DataFrame, bits: int) -> np.ndarray:
+def _bitmap(patterns: DataFrame, bits: int) -> np.ndarray:
     """OR the fingerprints together on the executors; at most 2**bits / 32768 rows of 4 KiB return."""
+    slotted = patterns.select(kernels.make_slots(bits)(F.col("surface")).alias("_s"))
     slot = slotted.select(F.explode(F.array(F.col("_s.prefix_slot") + 1, F.col("_s.full_slot") + 1)).alias("slot"))
     rows = (
         slot.groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
@@ -117,7 +122,7 @@ def with_matches(
     none = F.array().cast(kernels.MATCH_TYPE)
     if matcher.is_empty:
         return docs.withColumn(name, none)
-    seen = tags.searchable(F.col(text), matcher.fill)
+    seen = tags.searchable(text, matcher.fill)
     if matcher.in_place:
         return docs.withColumn(name, kernels.make_matcher(matcher.state)(seen))
     return _match_by_join(docs, matcher, keys, seen, name)
@@ -155,7 +160,7 @@ def match_all(
         found = found.withColumn("matches", kernels.make_leftmost_longest(kernels.MATCH_TYPE)(F.col("matches")))
     whole = F.array(F.struct(F.lit(0).alias("seg_no"), F.lit(0).alias("seg_start")))
     cuts = F.transform(
-        tags.segments(F.col(text)), lambda s: F.struct(s["seg_no"].alias("seg_no"), s["seg_start"].alias("seg_start"))
+        tags.segments(text), lambda s: F.struct(s["seg_no"].alias("seg_no"), s["seg_start"].alias("seg_start"))
     )
     fenced = F.contains(F.col(text), F.lit("```"))
     return (

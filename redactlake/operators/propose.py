@@ -124,11 +124,10 @@ def propose_by_rules(
     docs: DataFrame, keys: list[str], text: str = "text", rules: tuple[Rule, ...] = DEFAULT_RULES
 ) -> DataFrame:
     """Badge lines from regular expressions, JVM-side: (keys, raw), first occurrence of each surface per rule."""
-    none = F.array().cast("array<string>")
+    def lines(rule: Rule) -> str:
+        badge = f"""transform(array_distinct(regexp_extract_all({text}, r'{rule.pattern}', 0)),
+          s -> concat('[REDACTED: {rule.code}, {rule.desc}] => ', s))"""
+        return f"if(contains({text}, '{rule.needs}'), {badge}, array())" if rule.needs else badge
 
-    def lines(rule: Rule):
-        hits = F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(rule.pattern), F.lit(0)))
-        badge = F.transform(hits, lambda s: F.concat(F.lit(f"[REDACTED: {rule.code}, {rule.desc}] => "), s))
-        return F.when(F.contains(F.col(text), F.lit(rule.needs)), badge).otherwise(none) if rule.needs else badge
-
-    return docs.select(*keys, F.array_join(F.concat(*[lines(r) for r in rules]), "\n").alias("raw"))
+    joined = f"array_join(concat({', '.join(map(lines, rules))}), '\\n')"
+    return docs.select(*keys, F.expr(joined).alias("raw"))

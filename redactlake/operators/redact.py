@@ -24,15 +24,7 @@ def redact_documents(docs: DataFrame, matcher: Matcher, keys: list[str], text: s
     if matcher.is_empty:
         return found.select(*cols, F.col(text).alias("redacted"), F.lit(0).alias("n_matches"))
     select = kernels.make_leftmost_longest(kernels.MATCH_TYPE)
-    spans = F.transform(
-        "selected",
-        lambda m: F.struct(
-            m["start"].alias("start"),
-            m["end"].alias("end"),
-            tags.render_tag(m["item_id"], m["variant"], m["alias_id"], m["code"], m["desc"]).alias("tag"),
-        ),
-    )
-    selected = found.withColumn("selected", select(F.col("matches"))).withColumn("_spans", spans)
+    selected = found.withColumn("selected", select(F.col("matches"))).withColumn("_spans", tags.render_tags("selected"))
     return tags.splice(selected, text, "_spans", "redacted").select(
         *cols, "redacted", F.size("_spans").alias("n_matches")
     )

@@ -54,7 +54,7 @@ def _wide(df: DataFrame) -> DataFrame:
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return read_documents(spark, f"{sf}/documents.parquet", ["doc_id"])
+    return read_documents(spark, f"{sf}/documents.parquet", ["doc_id"], schema="doc_id bigint, text string")
 
 
 def _document_badges(spark: SparkSession, sf: str) -> DataFrame:
@@ -289,13 +289,13 @@ def build_prompts(spark, sf):
 @query
 def segment_markdown(spark, sf):
     docs = _derived(spark, sf, "markdown")
-    return _wide(docs.select("doc_id", F.inline(tags.segments(F.col("text")))))
+    return _wide(docs.select("doc_id", F.inline(tags.segments("text"))))
 
 
 @query
 def mask_tags(spark, sf):
     docs = _derived(spark, sf, "tagged")
-    return docs.select("doc_id", tags.mask_tags(F.col("text")).alias("masked"))
+    return docs.select("doc_id", tags.mask_tags("text").alias("masked"))
 
 
 @query
@@ -359,7 +359,7 @@ def redact_markdown(spark, sf):
 
 
 def _conversations(spark, sf):
-    docs = read_documents(spark, f"{sf}/conversations.parquet", ["conv_id", "turn"])
+    docs = read_documents(spark, f"{sf}/conversations.parquet", ["conv_id", "turn"], schema="conv_id bigint, turn bigint, text string")
     return docs.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
 
 
@@ -370,7 +370,7 @@ def redact_conversations(spark, sf):
 
 
 def _pages(spark, sf):
-    return read_documents(spark, f"{sf}/pages.parquet", ["page_id"], "html")
+    return read_documents(spark, f"{sf}/pages.parquet", ["page_id"], "html", "page_id bigint, html string")
 
 
 @query

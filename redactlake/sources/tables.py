@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def read_table(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A known ``schema`` saves a look into a file footer before the query starts."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.parquet(path)
 
 
-def read_documents(spark: SparkSession, path: str, keys: list[str], text: str = "text") -> DataFrame:
+def read_documents(
+    spark: SparkSession, path: str, keys: list[str], text: str = "text", schema: str | None = None
+) -> DataFrame:
     """(keys, text) of a Parquet table.
 
     A table small enough to have fewer splits than there are cores is spread over them; a
     large one keeps its splits, so its texts are not moved.
     """
-    docs = read_table(spark, path).select(*keys, text)
+    docs = read_table(spark, path, schema).select(*keys, text)
     cores = spark.sparkContext.defaultParallelism
     return docs.repartition(cores, *keys) if docs.rdd.getNumPartitions() < cores else docs

@@ -111,7 +111,7 @@ def test_segments(spark):
         "```\n```",
         "",
     ]
-    df = texts(spark, cases).select("doc_id", tags.segments(F.col("text")).alias("s"))
+    df = texts(spark, cases).select("doc_id", tags.segments("text").alias("s"))
     for r in df.collect():
         got = [(s["seg_start"], s["chunk"], s["redactable"]) for s in r["s"]]
         assert got == list(brute.chunks(cases[r["doc_id"]]))
@@ -125,7 +125,7 @@ def test_mask_keeps_length(spark):
         "[REDACTED(#1|var=c): broken",
         "none",
     ]
-    for r in texts(spark, cases).select("text", tags.mask_tags(F.col("text")).alias("m")).collect():
+    for r in texts(spark, cases).select("text", tags.mask_tags("text").alias("m")).collect():
         assert r["m"] == brute.TAG.sub(lambda m: T.MASK * len(m.group()), r["text"])
 
 
