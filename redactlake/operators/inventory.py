@@ -199,13 +199,11 @@ def add_aliases(inv: Inventory, requests: DataFrame, on_error: str = "raise") ->
         F.col("known").isNull(), F.concat(F.lit("item not found: "), F.col("item_id").cast("string"))
     ).when(F.col("surface") == "", F.lit("alias surface cannot be empty or whitespace"))
     placed = salted_join(distinct, current, ["item_id"], ["surface"]).withColumn("error", error)
+    usable = F.col("error").isNull()
     if on_error == "raise":
-        placed = placed.withColumn(
-            "surface",
-            F.when(F.col("error").isNotNull(), F.raise_error("error")).otherwise(F.col("surface")).cast("string"),
-        )
+        usable = F.when(usable, True).otherwise(F.raise_error("error").cast("boolean"))
     existing = inv.aliases.select("item_pos", "surface").distinct()
-    new = placed.filter(F.col("error").isNull() & (F.col("surface") != F.col("own_surface"))).join(
+    new = placed.filter(usable & (F.col("surface") != F.col("own_surface"))).join(
         existing, ["item_pos", "surface"], "left_anti"
     )
     numbered = number_rows(new.select("item_pos", "item_id", "surface", "first_ord"), ["first_ord"], ["item_pos"])
