@@ -115,11 +115,12 @@ def tag_pieces(text: str) -> Column:
     array<struct<pos int, gap string, tag string, item_id bigint, alias_id bigint>>; ``alias_id``
     is null for the canonical variant and ``tag`` is null for the tail.
     """
-    hits = f"regexp_extract_all({text}, r'{T.TAG}', %d)"
+    # A tag starts "[REDACTED(#<id>|var=<variant>)", so its parts need no further regex.
+    item = "substring_index(substring(z.`1`, 12), '|', 1)"
+    alias = f"if(substring(z.`1`, length({item}) + 17, 1) = 'c', NULL, substring_index(substring(z.`1`, length({item}) + 18), ')', 1))"
     return F.expr(f"""
       if(contains({text}, '{T.TAG_HEAD}'),
         transform(
-          arrays_zip(split({text}, r'{T.TAG}', -1), {hits % 0}, {hits % 1}, {hits % 2}),
-          (z, i) -> struct(i AS pos, z.`0` AS gap, z.`1` AS tag, {T.number('z.`2`')} AS item_id,
-            {T.number("if(z.`3` = 'c', NULL, substring(z.`3`, 2))")} AS alias_id)),
+          arrays_zip(split({text}, r'{T.TAG}', -1), regexp_extract_all({text}, r'{T.TAG}', 0)),
+          (z, i) -> struct(i AS pos, z.`0` AS gap, z.`1` AS tag, {T.number(item)} AS item_id, {T.number(alias)} AS alias_id)),
         array())""")

@@ -20,8 +20,12 @@ def badge_lines(df: DataFrame, content: str, keys: list[str], drop_blank_first:
     lines = T.split_lines(F.col(content))
     if drop_blank_first:
         lines = F.filter(lines, lambda line: T.strip(line) != "")
-    return df.select(*keys, F.posexplode(lines).alias("_pos", "raw")).select(
-        *keys, (F.col("_pos") + 1).alias("line_no"), "raw"
+    # An outer explode: a plain one makes Spark test the array for emptiness beforehand, which
+    # evaluates the expression behind it a second time.
+    return (
+        df.select(*keys, F.posexplode_outer(lines).alias("_pos", "raw"))
+        .filter(F.col("_pos").isNotNull())
+        .select(*keys, (F.col("_pos") + 1).alias("line_no"), "raw")
     )
 
 

@@ -116,21 +116,35 @@ def _bitmap(patterns: DataFrame, bits: int) -> np.ndarray:
 
 
 def with_matches(
-    docs: DataFrame, matcher: Matcher, keys: list[str], text: str = "text", name: str = "matches"
+    docs: DataFrame,
+    matcher: Matcher,
+    keys: list[str],
+    text: str = "text",
+    name: str = "matches",
+    select: bool = False,
 ) -> DataFrame:
-    """Add the array of all matches of each document. ``keys`` must identify a document."""
+    """Add the array of all matches of each document, or with ``select`` of the leftmost-longest ones.
+
+    ``keys`` must identify a document. Filter documents before, not after: the match is marked
+    so that filters stay above it, which keeps it from being evaluated twice per row.
+    """
     none = F.array().cast(kernels.MATCH_TYPE)
     if matcher.is_empty:
         return docs.withColumn(name, none)
     seen = tags.searchable(text, matcher.fill)
     if matcher.in_place:
-        return docs.withColumn(name, kernels.make_matcher(matcher.state)(seen))
-    return _match_by_join(docs, matcher, keys, seen, name)
+        match = kernels.make_matcher(matcher.state).asNondeterministic()
+        return docs.withColumn(name, _selection()(match(seen)) if select else match(seen))
+    found = _match_by_join(docs, matcher, keys, seen, name)
+    return found.withColumn(name, _selection()(F.col(name))) if select else found
+
+
+def _selection():
+    return kernels.make_leftmost_longest(kernels.MATCH_TYPE).asNondeterministic()
 
 
 def _match_by_join(docs: DataFrame, matcher: Matcher, keys: list[str], seen: Column, name: str) -> DataFrame:
     cols = docs.columns
-    # Marked so, the screen runs once per row instead of once more in the filter pushed below it.
     screen = kernels.make_screen(matcher.state).asNondeterministic()
     screened = docs.withColumn("_candidates", screen(seen))
     quiet = screened.filter(F.size("_candidates") == 0)
@@ -155,9 +169,7 @@ def match_all(
     ``start`` and ``end`` count from the segment the match lies in, ``doc_start`` from the
     beginning of the document.
     """
-    found = with_matches(docs, matcher, keys, text)
-    if select:
-        found = found.withColumn("matches", kernels.make_leftmost_longest(kernels.MATCH_TYPE)(F.col("matches")))
+    found = with_matches(docs, matcher, keys, text, select=select)
     whole = F.array(F.struct(F.lit(0).alias("seg_no"), F.lit(0).alias("seg_start")))
     cuts = F.transform(
         tags.segments(text), lambda s: F.struct(s["seg_no"].alias("seg_no"), s["seg_start"].alias("seg_start"))
@@ -220,5 +232,6 @@ def select_spans(matches: DataFrame, keys: list[str], start: str = "start", end:
     )
     spans = grouped.select(element.alias("_spans"))
     kind = spans.schema["_spans"].dataType.simpleString()
-    kept = spans.select(F.explode(kernels.make_leftmost_longest(kind)(F.col("_spans"))).alias("_k"))
+    select = kernels.make_leftmost_longest(kind).asNondeterministic()
+    kept = spans.select(F.explode(select(F.col("_spans"))).alias("_k"))
     return kept.select("_k._row.*")

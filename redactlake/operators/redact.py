@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import kernels, tags
+from ..functions import tags
 from .inventory import Inventory, pattern_set
 from .matching import MAX_BROADCAST_BYTES, Matcher, prepare_matcher, with_matches
 
@@ -20,12 +20,10 @@ def redact_documents(docs: DataFrame, matcher: Matcher, keys: list[str], text: s
     Matches are selected leftmost-longest. Fenced code and existing tags stay as they are.
     """
     cols = docs.columns
-    found = with_matches(docs, matcher, keys, text)
     if matcher.is_empty:
-        return found.select(*cols, F.col(text).alias("redacted"), F.lit(0).alias("n_matches"))
-    select = kernels.make_leftmost_longest(kernels.MATCH_TYPE)
-    selected = found.withColumn("selected", select(F.col("matches"))).withColumn("_spans", tags.render_tags("selected"))
-    return tags.splice(selected, text, "_spans", "redacted").select(
+        return docs.select(*cols, F.col(text).alias("redacted"), F.lit(0).alias("n_matches"))
+    found = with_matches(docs, matcher, keys, text, "_matches", select=True)
+    return tags.splice(found.withColumn("_spans", tags.render_tags("_matches")), text, "_spans", "redacted").select(
         *cols, "redacted", F.size("_spans").alias("n_matches")
     )
 

@@ -8,7 +8,6 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import tags
 from ..functions import text as T
 from ..operators import audit as A
 from ..operators import badges as B
@@ -18,9 +17,10 @@ from ..operators import propose as P
 from ..operators import redact as R
 from ..operators import restore as S
 from ..operators.numbering import number_rows
+from ..operators.segments import mask_documents, segment_documents
 from ..runtime import _ensure_checkpoint_dir, materialize
 from ..sources import corpus, store
-from ..sources.tables import read_documents, read_table
+from ..sources.tables import read_documents, read_table, spread
 from . import derived, jobs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +38,8 @@ def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def _derived(spark: SparkSession, sf: str, name: str) -> DataFrame:
     tables = {t: _table(spark, sf, t) for t in derived.tables_of(name)}
+    if name in ("markdown", "tagged"):  # texts are made of these rows
+        tables = {t: spread(df) for t, df in tables.items()}
     df = spark.sql(derived.DERIVED[name], **tables)
     return df.withColumnRenamed("descr", "desc") if "descr" in df.columns else df
 
@@ -289,13 +291,13 @@ def build_prompts(spark, sf):
 @query
 def segment_markdown(spark, sf):
     docs = _derived(spark, sf, "markdown")
-    return _wide(docs.select("doc_id", F.inline(tags.segments("text"))))
+    return _wide(segment_documents(docs, ["doc_id"]))
 
 
 @query
 def mask_tags(spark, sf):
     docs = _derived(spark, sf, "tagged")
-    return docs.select("doc_id", tags.mask_tags("text").alias("masked"))
+    return mask_documents(docs).select("doc_id", "masked")
 
 
 @query

@@ -11,6 +11,12 @@ def read_table(spark: SparkSession, path: str, schema: str | None = None) -> Dat
     return reader.parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Use every core on a table with fewer splits than cores; leave others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_documents(
     spark: SparkSession, path: str, keys: list[str], text: str = "text", schema: str | None = None
 ) -> DataFrame:
@@ -19,6 +25,4 @@ def read_documents(
     A table small enough to have fewer splits than there are cores is spread over them; a
     large one keeps its splits, so its texts are not moved.
     """
-    docs = read_table(spark, path, schema).select(*keys, text)
-    cores = spark.sparkContext.defaultParallelism
-    return docs.repartition(cores, *keys) if docs.rdd.getNumPartitions() < cores else docs
+    return spread(read_table(spark, path, schema).select(*keys, text), *keys)
