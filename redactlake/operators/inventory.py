@@ -184,7 +184,8 @@ def assign_badges(result: MergeResult, badges: DataFrame) -> DataFrame:
 
 
 def add_aliases(inv: Inventory, requests: DataFrame, on_error: str = "raise") -> tuple[Inventory, DataFrame]:
-    """Append aliases (ord, item_id, surface); also return the outcome per request.
+    """Append aliases (ord, item_id, surface) in the order of ``ord``, which must be unique; also
+    return the outcome per request.
 
     ``alias_id`` in the outcome is 0 when the surface was there already (as the item's own, as
     an alias, or from an earlier request). Unknown items and blank surfaces fail the job, or
@@ -218,19 +219,21 @@ def add_aliases(inv: Inventory, requests: DataFrame, on_error: str = "raise") ->
         "surface",
         "first_ord",
     )
-    outcome = placed.join(
-        added.select("item_id", "surface", F.col("alias_id").alias("new_id")), ["item_id", "surface"], "left"
-    ).select("item_id", "surface", "first_ord", "new_id", "error")
-    results = salted_join(requests, outcome, ["item_id", "surface"], ["ord"]).select(
+    # Only the first request for a surface can have added it; joining on ``ord`` meets no hot key.
+    created = added.select(F.col("first_ord").alias("ord"), F.col("alias_id").alias("new_id"))
+    results = requests.join(created, "ord", "left")
+    none = F.lit(None).cast("string")
+    if on_error == "report":
+        bad = placed.filter(F.col("error").isNotNull()).select("item_id", "surface", "error")
+        results = salted_join(results, bad, ["item_id", "surface"], ["ord"])
+    else:
+        results = results.withColumn("error", none)
+    results = results.select(
         "ord",
         "item_id",
         "surface",
-        F.when(F.col("error").isNull(), F.when(F.col("ord") == F.col("first_ord"), F.col("new_id")))
-        .alias("alias_id"),
+        F.when(F.col("error").isNull(), F.coalesce("new_id", F.lit(0))).alias("alias_id"),
         "error",
-    )
-    results = results.withColumn(
-        "alias_id", F.when(F.col("error").isNull(), F.coalesce("alias_id", F.lit(0)))
     )
     aliases = inv.aliases.unionByName(added.drop("first_ord"))
     return Inventory(inv.items, aliases), results

@@ -32,11 +32,12 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def salted_join(
-    big: DataFrame, small: DataFrame, on: list[str], spread_by: list[str], how: str = "left", buckets: int = 16
+    big: DataFrame, small: DataFrame, on: list[str], spread_by: list[str], how: str = "left", buckets: int = 8
 ) -> DataFrame:
     """Equi-join in which one hot key of ``big`` is spread over ``buckets`` tasks.
 
-    ``small`` has one row per key (or a few) and is repeated once per bucket.
+    ``small`` has one row per key (or a few) and is repeated once per bucket. What is still too
+    large for a task is split further by adaptive skew-join handling.
     """
     salt = "_salt"
     left = big.withColumn(salt, F.pmod(F.xxhash64(*spread_by), F.lit(buckets)).cast("int"))
