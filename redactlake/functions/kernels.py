@@ -161,9 +161,14 @@ def _char_offsets(data: np.ndarray, bounds: np.ndarray, at: np.ndarray, size: np
     first = bounds[row]
     start, end = at - first, at + size - first
     if len(at) and (data >= 0x80).any():
-        chars = np.zeros(len(data) + 1, np.int64)
-        np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
-        start, end = chars[at] - chars[first], chars[at + size] - chars[first]
+        # Characters are counted between the points of interest only.
+        points = np.unique(np.concatenate([first, at, at + size]))
+        points = points[points < len(data)]
+        between = np.add.reduceat((data & 0xC0) != 0x80, points, dtype=np.int64)
+        chars = np.concatenate([np.zeros(1, np.int64), np.cumsum(between)])
+        base = chars[np.searchsorted(points, first)]
+        start = chars[np.searchsorted(points, at)] - base
+        end = chars[np.searchsorted(points, at + size)] - base
     return row, start, end
 
 
@@ -211,11 +216,10 @@ def make_matcher(state):
 
     def match(arr: pa.Array) -> pa.Array:
         s = state.value
-        if "words" not in cache:
-            cache["table"] = pa.ipc.open_stream(s["patterns"]).read_all().combine_chunks()
-            surfaces = cache["table"].column("surface").to_pylist()
-            cache["words"] = {w.encode(): i for i, w in enumerate(surfaces)}
-        table, words = cache["table"], cache["words"]
+        if "words" not in s:  # once per worker process, which keeps the broadcast value
+            s["table"] = pa.ipc.open_stream(s["patterns"]).read_all().combine_chunks()
+            s["words"] = {w.encode(): i for i, w in enumerate(s["table"].column("surface").to_pylist())}
+        table, words = s["table"], s["words"]
         data, bounds = _utf8(arr)
         bitmap = np.frombuffer(s["bitmap"], np.uint8)
         at, size = _survivors(data, bounds, bitmap, s["bits"], s["lengths"], cache)
@@ -269,17 +273,16 @@ def make_lookup(state):
 
     A missing alias falls back to the item's own surface; a missing item gives null.
     """
-    cache: dict = {}
 
     def lookup(items: pa.Array, aliases: pa.Array) -> pa.Array:
-        if not cache:
-            table = pa.ipc.open_stream(state.value["surfaces"]).read_all()
-            cache.update(
-                ((i, a), s)
-                for i, a, s in zip(*(table.column(c).to_pylist() for c in ("item_id", "alias_id", "surface")))
-            )
+        s = state.value
+        if "known" not in s:
+            table = pa.ipc.open_stream(s["surfaces"]).read_all()
+            columns = [table.column(c).to_pylist() for c in ("item_id", "alias_id", "surface")]
+            s["known"] = {(i, a): surface for i, a, surface in zip(*columns)}
+        known = s["known"]
         out = [
-            [cache.get((i, a), cache.get((i, None))) for i, a in zip(ids or [], alts or [])]
+            [known.get((i, a), known.get((i, None))) for i, a in zip(ids or [], alts or [])]
             for ids, alts in zip(items.to_pylist(), aliases.to_pylist())
         ]
         return pa.array(out, pa.list_(pa.string()))

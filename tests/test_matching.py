@@ -61,9 +61,10 @@ def test_long_texts_and_surfaces(spark, bound):
 
 def test_window_borders(spark):
     """Hits that straddle the screen's windows and the splice's blocks."""
+    docs = []
     for at in (4090, 4096, 131065, 131072, 131080, 262140):
-        doc = "." * at + "needle-needle" + "." * 20
-        check(spark, [doc, "é" * at + "needle"], ["needle", "needle-needle"], 1 << 20)
+        docs += ["." * at + "needle-needle" + "." * 20, "é" * at + "needle"]
+    check(spark, docs, ["needle", "needle-needle"], 1 << 20)
 
 
 def test_self_overlap_and_edges(spark):
