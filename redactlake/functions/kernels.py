@@ -268,6 +268,30 @@ def make_leftmost_longest(element_type: str):
     return F.arrow_udf(leftmost_longest, element_type)
 
 
+def make_greedy_scan(group: list[str], out: list[str]):
+    """Batches sorted by (group, _start, longest first) -> the greedily kept rows.
+
+    Only the last group and where its last kept span ends are carried from batch to batch.
+    """
+
+    def scan(batches):
+        current, last = None, None
+        for batch in batches:
+            names = batch.schema.names
+            columns = [batch.column(names.index(c)).to_pylist() for c in (*group, "_start", "_end")]
+            keep = []
+            for *key, start, end in zip(*columns):
+                take = key != current or start >= last
+                if take:
+                    current, last = key, end
+                keep.append(take)
+            kept = batch.filter(pa.array(keep, pa.bool_()))
+            first = len(names) - len(out)
+            yield pa.RecordBatch.from_arrays(kept.columns[first:], names=out)
+
+    return scan
+
+
 def make_lookup(state):
     """array of (item_id, alias_id) keys -> array of surfaces from a small inventory.
 
@@ -281,10 +305,10 @@ def make_lookup(state):
             columns = [table.column(c).to_pylist() for c in ("item_id", "alias_id", "surface")]
             s["known"] = {(i, a): surface for i, a, surface in zip(*columns)}
         known = s["known"]
-        out = [
-            [known.get((i, a), known.get((i, None))) for i, a in zip(ids or [], alts or [])]
-            for ids, alts in zip(items.to_pylist(), aliases.to_pylist())
-        ]
-        return pa.array(out, pa.list_(pa.string()))
+        offsets = items.offsets.to_numpy().astype(np.int64)
+        first, n = int(offsets[0]), int(offsets[-1] - offsets[0])
+        pairs = zip(items.values.slice(first, n).to_pylist(), aliases.flatten().to_pylist())
+        found = [known.get((i, a), known.get((i, None))) for i, a in pairs]
+        return pa.ListArray.from_arrays(pa.array((offsets - first).astype(np.int32)), pa.array(found, pa.string()))
 
     return F.arrow_udf(lookup, "array<string>")

@@ -334,20 +334,21 @@ def snapshot_lines(inv: Inventory, max_items: int = 200) -> DataFrame:
 
 def snapshot(inv: Inventory, max_items: int = 200) -> DataFrame:
     """One row ``snapshot``: the prompt's view of the inventory, with a tail when cut."""
-    lines = snapshot_lines(inv, max_items).agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("code", "surface", "item_pos", "line"))), lambda r: r["line"]
-            ),
-            "\n",
-        ).alias("body")
-    )
-    total = inv.items.agg(F.count("*").alias("n"))
-    more = F.concat(
-        F.lit("\n... (truncated; "), (F.col("n") - max_items).cast("string"), F.lit(" more items)")
-    )
-    return lines.join(F.broadcast(total)).select(
-        F.when(F.col("n") == 0, "(empty inventory)")
-        .otherwise(F.concat("body", F.when(F.col("n") > max_items, more).otherwise("")))
-        .alias("snapshot")
+    order = [F.lit(0).alias("is_tail"), "code", "surface", "item_pos", "line"]
+    none = F.lit(None).cast("string")
+    n = F.col("n") - max_items
+    tail = (
+        inv.items.agg(F.count("*").alias("n"))
+        .filter(n > 0)
+        .select(
+            F.lit(1).alias("is_tail"),
+            none.alias("code"),
+            none.alias("surface"),
+            F.lit(None).cast("bigint").alias("item_pos"),
+            F.concat(F.lit("... (truncated; "), n.cast("string"), F.lit(" more items)")).alias("line"),
+        )
     )
+    lines = snapshot_lines(inv, max_items).select(*order).unionByName(tail)
+    ordered = F.array_sort(F.collect_list(F.struct("is_tail", "code", "surface", "item_pos", "line")))
+    body = F.array_join(F.transform(ordered, lambda r: r["line"]), "\n")
+    return lines.agg(F.when(F.count("*") == 0, "(empty inventory)").otherwise(body).alias("snapshot"))

@@ -197,11 +197,10 @@ def select_spans(matches: DataFrame, keys: list[str], start: str = "start", end:
 
     No kept span reaches over a point no span crosses, so rows fall into independent islands.
     Islands are found by a running maximum of ``end``; a key with very many rows is worked in
-    position ranges whose maxima are carried over, so it never sorts in one task. Only an
-    island, a run of mutually overlapping spans, is brought together.
+    position ranges whose maxima are carried over, so it is not sorted in one task. The rows of
+    an island, a run of mutually overlapping spans, are sorted together and read as a stream.
     """
     cols = matches.columns
-    key_cols = [F.col(k) for k in keys]
     placed = matches.withColumn("_range", F.floor(F.col(start) / 65536))
     in_range = Window.partitionBy(*keys, "_range").orderBy(F.col(start), F.col(end).desc())
     past = in_range.rowsBetween(Window.unboundedPreceding, -1)
@@ -218,20 +217,15 @@ def select_spans(matches: DataFrame, keys: list[str], start: str = "start", end:
     last_open = opened.groupBy(*keys, "_range").agg(F.max("_opens").alias("_last"))
     last_open = last_open.select(*keys, "_range", F.max("_last").over(before).alias("_open_before"))
     island = F.coalesce(F.max("_opens").over(in_range.rowsBetween(Window.unboundedPreceding, 0)), "_open_before")
-    named = opened.join(last_open, [*keys, "_range"]).withColumn("_island", island)
-    row = F.struct(*cols)
-    grouped = named.groupBy(*key_cols, "_island").agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(F.col(start).alias("_s"), (-F.col(end)).alias("_n"), row.alias("_row"))
-            )
-        ).alias("_rows")
+    group = [f"_g{i}" for i in range(len(keys))]
+    named = opened.join(last_open, [*keys, "_range"]).select(
+        *[F.col(k).alias(g) for k, g in zip(keys, group)],
+        island.alias("_island"),
+        F.col(start).alias("_start"),
+        F.col(end).alias("_end"),
+        *cols,
     )
-    element = F.transform(
-        "_rows", lambda r: F.struct(r["_s"].alias("start"), (-r["_n"]).alias("end"), r["_row"].alias("_row"))
+    ordered = named.repartition(*group, "_island").sortWithinPartitions(
+        *group, "_island", "_start", F.col("_end").desc()
     )
-    spans = grouped.select(element.alias("_spans"))
-    kind = spans.schema["_spans"].dataType.simpleString()
-    select = kernels.make_leftmost_longest(kind).asNondeterministic()
-    kept = spans.select(F.explode(select(F.col("_spans"))).alias("_k"))
-    return kept.select("_k._row.*")
+    return ordered.mapInArrow(kernels.make_greedy_scan([*group, "_island"], cols), matches.schema)

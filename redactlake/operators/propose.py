@@ -41,20 +41,17 @@ class PromptTemplate:
     )
     task: str = "List the badge lines for the text above. Nothing else."
 
-    def user(self, policy: str, snapshot_text, document):
+    def user(self, policy: str, known: str, document):
         """The user message as a column; sections in a fixed order, the document last but one."""
 
         def section(title: str) -> str:
             return f"\n\n--- {title} ---\n\n"
 
-        return F.concat(
-            F.lit(self.opening + section("Policy") + policy + section("Output rules") + self.rules),
-            F.lit(section("Known items")),
-            snapshot_text,
-            F.lit(section("Text")),
-            document,
-            F.lit(section("Task") + self.task),
-        )
+        before = (
+            self.opening + section("Policy") + policy + section("Output rules") + self.rules
+            + section("Known items") + known + section("Text")
+        )
+        return F.concat(F.lit(before), document, F.lit(section("Task") + self.task))
 
 
 def build_prompts(
@@ -71,11 +68,11 @@ def build_prompts(
     All prompts of a run show the inventory as it was at the start.
     """
     template = template or PromptTemplate()
-    shown = snapshot(inv, max_items)  # one row of at most max_items lines
-    return docs.join(F.broadcast(shown)).select(
+    shown = snapshot(inv, max_items).first()[0]  # at most max_items lines
+    return docs.select(
         *keys,
         F.lit(template.system).alias("system"),
-        template.user(policy, F.col("snapshot"), F.col(text)).alias("user"),
+        template.user(policy, shown, F.col(text)).alias("user"),
     )
 
 
