@@ -125,7 +125,7 @@ def with_matches(
 ) -> DataFrame:
     """Add the array of all matches of each document, or with ``select`` of the leftmost-longest ones.
 
-    ``keys`` must identify a document. Filter documents before, not after: the match is marked
+    ``keys`` say which matches belong to which document. Filter documents before, not after: the match is marked
     so that filters stay above it, which keeps it from being evaluated twice per row.
     """
     none = F.array().cast(kernels.MATCH_TYPE)
@@ -145,6 +145,8 @@ def _selection():
 
 def _match_by_join(docs: DataFrame, matcher: Matcher, keys: list[str], seen: Column, name: str) -> DataFrame:
     cols = docs.columns
+    docs = docs.withColumn("_text_hash", F.xxhash64(seen))
+    keys = [*keys, "_text_hash"]  # documents that share a key do not share matches
     screen = kernels.make_screen(matcher.state).asNondeterministic()
     screened = docs.withColumn("_candidates", screen(seen))
     quiet = screened.filter(F.size("_candidates") == 0)
@@ -154,7 +156,7 @@ def _match_by_join(docs: DataFrame, matcher: Matcher, keys: list[str], seen: Col
     fields = ["start", "end", *PATTERN_COLUMNS]
     order = F.struct("start", (-F.col("end")).alias("neg_end"), F.struct(*fields).alias("m"))
     lists = real.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(order)), lambda r: r["m"]).alias(name)
+        F.transform(F.array_sort(F.collect_set(order)), lambda r: r["m"]).alias(name)
     )
     none = F.array().cast(kernels.MATCH_TYPE)
     hit = loud.join(lists, keys, "left").withColumn(name, F.coalesce(F.col(name).cast(kernels.MATCH_TYPE), none))

@@ -102,6 +102,14 @@ def test_hot_surface_join(spark):
     check(spark, docs, ["hot", "cold"], 0)
 
 
+def test_documents_sharing_a_key(spark):
+    docs = spark.createDataFrame([(1, "a hot"), (1, "hot"), (1, "hot"), (1, "none")], "doc_id bigint, text string")
+    for bound in (1 << 20, 0):
+        matcher = M.prepare_matcher(patterns(spark, ["hot"]), bound)
+        got = sorted(r["n_matches"] for r in R.redact_documents(docs, matcher, ["doc_id"]).collect())
+        assert got == [0, 1, 1, 1]
+
+
 def test_segments(spark):
     cases = [
         "Regular text without code.",
