@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 # Executors need no installed copy of this module.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WINDOW = 1 << 17
+WINDOW = 1 << 16
+MAX_FLAG_BITS = 22  # up to here the bitmap is unpacked to one byte per flag, 4 MiB at most
 MATCH_TYPE = (
     "array<struct<start:int,end:int,surface:string,item_id:bigint,"
     "code:string,desc:string,variant:string,alias_id:bigint>>"
@@ -116,10 +117,15 @@ def _survivors(data: np.ndarray, bounds: np.ndarray, bitmap: np.ndarray, bits: i
     tiers: dict[int, list[int]] = {}
     for n in sorted(lengths):
         tiers.setdefault(_tier(n), []).append(n)
-    seven, three = np.uint64(7), np.uint64(3)
+    if bits <= MAX_FLAG_BITS and "flags" not in cache:
+        cache["flags"] = np.unpackbits(bitmap, bitorder="little").view(bool)
+    flags = cache.get("flags")
 
     def member(slot):
-        return (bitmap[slot >> three] >> (slot & seven).astype(np.uint8)) & np.uint8(1)
+        at = slot.view(np.int64)
+        if flags is not None:
+            return flags.take(at)
+        return ((bitmap.take(at >> 3) >> (at & 7).astype(np.uint8)) & np.uint8(1)).view(bool)
 
     found_at, found_len = [], []
     for base in range(0, len(data), width):
@@ -127,7 +133,7 @@ def _survivors(data: np.ndarray, bounds: np.ndarray, bitmap: np.ndarray, bits: i
         n_starts = min(width, len(data) - base)
         sums = np.empty(len(part) + 1, np.uint64)
         sums[0] = 0
-        np.cumsum(mixed[part] * up[: len(part)], out=sums[1:])
+        np.cumsum(mixed.take(part) * up[: len(part)], out=sums[1:])
         for k, exact in tiers.items():
             n = min(n_starts, len(part) - k + 1)
             if n <= 0:
@@ -140,7 +146,7 @@ def _survivors(data: np.ndarray, bounds: np.ndarray, bitmap: np.ndarray, bits: i
             for length in exact:
                 ok = at[room >= length]
                 value = (sums[ok + length] - sums[ok]) * down[ok]
-                ok = ok[member(_slot(value, length, bits)) == 1] + base
+                ok = ok[member(_slot(value, length, bits))] + base
                 found_at.append(ok)
                 found_len.append(np.full(len(ok), length, np.int64))
     at = np.concatenate(found_at) if found_at else np.zeros(0, np.int64)

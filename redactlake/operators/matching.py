@@ -70,7 +70,7 @@ def prepare_matcher(
             for slots in kernels.surface_slots(surfaces, bits):
                 flags[slots] = 1
             bitmap = np.packbits(flags, bitorder="little")
-            state["patterns"] = _ipc(table)
+            state["patterns"] = ipc_bytes(table)
         else:
             bitmap = _bitmap(kept, bits)
         state["bitmap"] = bitmap.tobytes()
@@ -91,7 +91,7 @@ def _unused_fill(patterns: DataFrame) -> str:
     raise ValueError("the inventory uses every Unicode noncharacter; none is left to fill fences with")
 
 
-def _ipc(table: pa.Table) -> bytes:
+def ipc_bytes(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as writer:
         writer.write_table(table)

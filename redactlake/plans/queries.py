@@ -18,7 +18,7 @@ from ..operators import redact as R
 from ..operators import restore as S
 from ..operators.numbering import number_rows
 from ..operators.segments import mask_documents, segment_documents
-from ..runtime import _ensure_checkpoint_dir, materialize
+from ..runtime import ensure_checkpoint_dir, materialize
 from ..sources import corpus, store
 from ..sources.tables import read_documents, read_table, spread
 from . import derived, jobs
@@ -470,7 +470,7 @@ def output_names(spark, sf):
 
 
 def _scratch(spark: SparkSession) -> str:
-    _ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(spark)
     return f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
 
 
@@ -488,5 +488,5 @@ def corpus_files(spark, sf):
 def lenient_decode(spark, sf):
     """Bytes that are not UTF-8 are dropped."""
     broken: Column = F.concat(F.unhex(F.lit("FF")), F.encode("text", "UTF-8"), F.unhex(F.lit("C3")))
-    docs = _documents(spark, sf).select("doc_id", corpus._decode(broken, "ignore").alias("text"))
+    docs = _documents(spark, sf).select("doc_id", corpus.decode_utf8(broken, "ignore").alias("text"))
     return docs.select("doc_id", F.md5("text").alias("text_md5"))

@@ -73,15 +73,15 @@ def test_bad_inventory_is_an_error(spark, item):
 def test_aliases(spark, sample):
     asked = [
         (1, 1, "alice_alt@example.com"),
-        (2, 1, "kal@day.club"),
-        (3, 1, " kal@knight.club"),
+        (2, 1, "kim@day.club"),
+        (3, 1, " kim@knight.club"),
         (4, 1, "third "),
         (5, 1, "alice_alt@example.com"),
     ]
     requests = spark.createDataFrame(asked, "ord int, item_id bigint, surface string")
     inv, results = I.add_aliases(sample, requests)
     assert [r["alias_id"] for r in results.orderBy("ord").collect()] == [2, 0, 0, 3, 0]
-    assert items_of(inv)[0][4] == [(1, "kal@day.club"), (2, "alice_alt@example.com"), (3, "third")]
+    assert items_of(inv)[0][4] == [(1, "kim@day.club"), (2, "alice_alt@example.com"), (3, "third")]
     bad = spark.createDataFrame([(1, 99, "x"), (2, 1, "  ")], "ord int, item_id bigint, surface string")
     _, reported = I.add_aliases(sample, bad, on_error="report")
     assert [(r["alias_id"], r["error"] is None) for r in reported.collect()] == [(None, False)] * 2
@@ -92,9 +92,9 @@ def test_aliases(spark, sample):
 def test_lookups(spark, sample):
     keys = spark.createDataFrame([(1, 1), (1, 9999), (5, 1)], "item_id bigint, alias_id bigint")
     got = {(r["item_id"], r["alias_id"]): r["surface"] for r in I.find_aliases(sample, keys).collect()}
-    assert got == {(1, 1): "kal@day.club", (1, 9999): None, (5, 1): None}
+    assert got == {(1, 1): "kim@day.club", (1, 9999): None, (5, 1): None}
     assert I.find_items(sample, keys.select("item_id")).filter("surface is null").count() == 1
-    assert [r["surface"] for r in I.list_aliases(sample, 1).collect()] == ["kal@day.club"]
+    assert [r["surface"] for r in I.list_aliases(sample, 1).collect()] == ["kim@day.club"]
     with pytest.raises(LookupError):
         I.list_aliases(sample, 2)
 
@@ -111,7 +111,7 @@ def test_last_of_equal_ids_and_surfaces_wins(spark):
 
 def test_listing_and_snapshot(spark, sample):
     assert I.list_items(sample).first()["line"] == (
-        "- #1 (1)(A)(c): email address (kal@knight.club)  (aliases: 1:kal@day.club)"
+        "- #1 (1)(A)(c): email address (kim@knight.club)  (aliases: 1:kim@day.club)"
     )
     assert I.snapshot(I.empty_inventory(spark)).first()[0] == "(empty inventory)"
     many = I.from_nested(nested(spark, [(i, "(1)(A)", "d", f"s{i}", []) for i in range(1, 6)]))
