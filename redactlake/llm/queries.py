@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ensure_checkpoint_dir
 from ..sources.tables import spread
-from . import bpe
+from . import bpe, chat, langid, quality, toxicity, warc
 from .vocabularies import BYTE_BPE, vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,3 +47,65 @@ def op10_bpe(spark, sf):
         F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op5_langid(spark, sf):
+    """The language of every text, learned from the folds other than 0."""
+    docs = _documents(spark, sf, "lang")
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
+    model = langid.train(docs.filter(~held_out), "doc_id", "text", "lang")
+    scored = langid.predict(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected")
+    )
+
+
+@query
+def op2_toxicity(spark, sf):
+    """The toxicity of every text, learned from labels outside fold 1."""
+    docs = _documents(spark, sf)
+    held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
+    labels = _table(spark, sf, "labels").select("doc_id", "toxic").filter(~held_out)
+    model = toxicity.train(docs, labels, "doc_id", "text", "toxic")
+    scored = toxicity.score(docs, model)
+    return scored.select(
+        "doc_id", held_out.alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").alias("predicted")
+    )
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/llm-{uuid.uuid4().hex}"
+
+
+@query
+def op4_arc_to_warc(spark, sf):
+    """Pages as legacy archives, converted to WARC files, and the files read back."""
+    pages = spread(_table(spark, sf, "pages").select("page_id", "url", "html"), "page_id")
+    records = warc.mark_revisits(warc.convert(warc.to_arc(pages, "page_id", "url", "html")))
+    folder = scratch(spark)
+    warc.write_warc(records, folder)
+    return warc.read_warc(spark, folder, with_payload=False).select(
+        F.col("record_key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
+@query
+def op8_quality(spark, sf):
+    """Statistics of every text, the fixed rules and the trees' verdict."""
+    docs = _documents(spark, sf)
+    model = quality.train(docs, _table(spark, sf, "labels"), "doc_id", "text", "quality")
+    judged = quality.judge(quality.add_statistics(docs), model)
+    return judged.select("doc_id", *quality.COUNTS, "base_failed", "kept", "quality")
+
+
+@query
+def op9_chat_format(spark, sf):
+    """Conversations formatted as token ids, and what can be read back from those."""
+    turns = _table(spark, sf, "conversations").select("conv_id", F.col("turn").cast("bigint").alias("turn"), "role", "text")
+    tricky = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], turns.schema)
+    path = vocabulary_path(BYTE_BPE)
+    return chat.read_back(chat.format_conversations(turns.unionByName(more), path), path)
