@@ -27,7 +27,7 @@ from .sampling import MAX_SAMPLE_CHARS, sample_rows
 
 BUCKET_BITS = 16
 DIMENSIONS = 16
-SAMPLE_PER_LANGUAGE = 800
+SAMPLE_PER_LANGUAGE = 600
 #: Share of known-language documents the rejection threshold may turn away.
 REJECT_SHARE = 0.001
 MAX_THRESHOLD = 0.5
@@ -45,7 +45,7 @@ def subwords(texts: K.Texts) -> tuple[np.ndarray, np.ndarray]:
     """
     data = _BLANK[texts.data].astype(np.uint32)
     n = len(data)
-    text_of = np.repeat(np.arange(len(texts)), np.diff(texts.bounds))
+    text_of = np.repeat(np.arange(len(texts), dtype=np.int32), np.diff(texts.bounds))
     buckets, owners = [], []
     for size, seed in ((3, 0x9E3779B1), (4, 0x85EBCA77)):
         if n < size:
@@ -74,6 +74,16 @@ def lowered(column: pa.Array) -> K.Texts:
     return K.texts_of(pc.utf8_lower(column.fill_null("")))
 
 
+def subwords_of(texts: list[str], at_once: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """``subwords`` of texts in memory, a few at a time."""
+    parts, counts = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for begin in range(0, len(texts), at_once):
+        flat, bounds = subwords(lowered(pa.array(texts[begin : begin + at_once], pa.large_string())))
+        parts.append(flat)
+        counts.append(np.diff(bounds))
+    return np.concatenate(parts), np.cumsum(np.concatenate(counts))
+
+
 def _sums(rows: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     out = np.zeros((len(bounds) - 1, rows.shape[1]), np.float64)
     full = np.flatnonzero(np.diff(bounds))
@@ -123,7 +133,7 @@ def train_on(
     rng = np.random.default_rng(seed)
     target = np.array([languages.index(x) for x in labels])
     kept_out = np.arange(len(texts)) % 5 == 4 if len(texts) >= 10 else np.zeros(len(texts), bool)
-    flat, bounds = subwords(lowered(pa.array(texts, pa.large_string())))
+    flat, bounds = subwords_of(texts)
     embedding = rng.normal(0, 0.1, (1 << BUCKET_BITS, DIMENSIONS)).astype(np.float32)
     softmax = np.zeros((DIMENSIONS, len(languages)), np.float32)
     bias = np.zeros(len(languages), np.float32)
@@ -157,7 +167,9 @@ def _calibrate(model: Model, texts: list[str], target: np.ndarray) -> None:
     """The temperature of least log loss, and the threshold that few known documents fall under."""
     if not texts:
         return
-    logits = model.logits(lowered(pa.array(texts, pa.large_string())))
+    logits = np.concatenate(
+        [model.logits(lowered(pa.array(texts[i : i + 64], pa.large_string()))) for i in range(0, len(texts), 64)]
+    )
     losses = {}
     for t in np.geomspace(0.05, 5, 40):
         p = _softmax(logits / t)
