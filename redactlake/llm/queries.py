@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ensure_checkpoint_dir
 from ..sources.tables import spread
-from . import bpe, chat, langid, quality, toxicity, warc
+from . import bpe, chat, decontaminate, hmm, html_text, jaccard, langid, quality, toxicity, warc
 from .vocabularies import BYTE_BPE, vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -109,3 +109,50 @@ def op9_chat_format(spark, sf):
     more = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], turns.schema)
     path = vocabulary_path(BYTE_BPE)
     return chat.read_back(chat.format_conversations(turns.unionByName(more), path), path)
+
+
+@query
+def op6_lm(spark, sf):
+    """The log10 probability of every text, learned from the folds other than 1."""
+    docs = _documents(spark, sf)
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 1, F.lit(False))
+    scored = hmm.score_documents(docs.withColumn("learn", ~held_out), "doc_id", "text", "learn", scratch(spark))
+    return scored.select(
+        "doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+def contamination(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
+    """Words of each document that lie in a window of a benchmark item, and the items' ids as a digest."""
+    hits = decontaminate.find_hits(docs, _table(spark, sf, "benchmark"))
+    n_hit = decontaminate.covered(F.col("spans")).cast("bigint")
+    names = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return hits.select(
+        *[F.col(f"`{c}`") for c in docs.columns if c != "text"],
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(names, 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+@query
+def op1_decontaminate(spark, sf):
+    """Which words of every text some benchmark item holds."""
+    return contamination(spark, _table(spark, sf, "documents").select("doc_id", "text"), sf)
+
+
+@query
+def op7_jaccard_join(spark, sf):
+    """Groups of texts whose shingle sets are at least 75 % alike."""
+    grouped = jaccard.group_similar(_documents(spark, sf), "doc_id", "text", scratch(spark))
+    return grouped.select("doc_id", "n_shingles", "component_id")
+
+
+@query
+def op3_html_text(spark, sf):
+    """The main text of every page."""
+    pages = spread(_table(spark, sf, "pages").select("page_id", "url", "html"), "page_id")
+    texts = html_text.extract(pages, html_text.train(pages, "page_id", "html"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
