@@ -1,8 +1,7 @@
 """Segmentation, masking, tag rendering and splicing as SQL expressions.
 
 They are written as SQL text, which the driver hands to Spark in one piece; assembling the
-same trees call by call costs more than planning the query. Arguments named ``text`` are SQL
-expressions, usually a column name.
+same trees call by call costs more than planning the query. Arguments named ``text`` are column names.
 """
 
 from __future__ import annotations
@@ -19,6 +18,11 @@ NONCHARACTERS = [chr((plane << 16) | low) for plane in range(16, -1, -1) for low
 BLOCK = 4096
 
 
+def quoted(name: str) -> str:
+    """A column name as SQL."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _pieces(text: str, pattern: str, mark: str) -> str:
     """Alternate gaps and regex hits of ``text`` as array<struct<piece, is_hit>>, empties dropped.
 
@@ -38,6 +42,7 @@ def segments(text: str) -> Column:
 
     array<struct<seg_no int, seg_start int, chunk string, redactable boolean>>
     """
+    text = quoted(text)
     return F.expr(f"""
       aggregate({_pieces(text, T.FENCE, '```')},
         struct(0 AS at, cast(array() AS array<struct<seg_no:int,seg_start:int,chunk:string,redactable:boolean>>) AS out),
@@ -56,7 +61,7 @@ def _masked(text: str) -> str:
 
 def mask_tags(text: str) -> Column:
     """Existing tags become as many mask characters; the length is kept."""
-    return F.expr(_masked(text))
+    return F.expr(_masked(quoted(text)))
 
 
 def searchable(text: str, fill: str) -> Column:
@@ -64,6 +69,7 @@ def searchable(text: str, fill: str) -> Column:
 
     ``fill`` must not occur in any surface.
     """
+    text = quoted(text)
     return F.expr(f"""
       if(contains({text}, '```'),
         array_join(transform({_pieces(text, T.FENCE, '```')},
@@ -89,6 +95,7 @@ def splice(df: DataFrame, text: str, spans: str, name: str) -> DataFrame:
     covers, which keeps the whole splice linear. There is one gap more than there are spans;
     the last is the tail.
     """
+    text = quoted(text)
     until = f"coalesce(s.start, length({text}))"
     gap = f"""
       CASE WHEN {until} <= at THEN ''
@@ -99,7 +106,7 @@ def splice(df: DataFrame, text: str, spans: str, name: str) -> DataFrame:
       END"""
     pieces = f"""
       zip_with({spans}, concat(array(0), transform({spans}, s -> s.end)),
-        (s, at) -> concat({gap}, coalesce(s.tag, '')))"""
+        (s, at) -> concat({gap}, if(s IS NULL, '', coalesce(s.tag, cast(raise_error('a span has no tag') AS string)))))"""
     return (
         df.withColumn(
             "_blocks", F.expr(f"if(size({spans}) > 0, regexp_extract_all({text}, r'(?s).{{1,{BLOCK}}}', 0), NULL)")
@@ -115,6 +122,7 @@ def tag_pieces(text: str) -> Column:
     array<struct<pos int, gap string, tag string, item_id bigint, alias_id bigint>>; ``alias_id``
     is null for the canonical variant and ``tag`` is null for the tail.
     """
+    text = quoted(text)
     # A tag starts "[REDACTED(#<id>|var=<variant>)", so its parts need no further regex.
     item = "substring_index(substring(z.`1`, 12), '|', 1)"
     alias = f"if(substring(z.`1`, length({item}) + 17, 1) = 'c', NULL, substring_index(substring(z.`1`, length({item}) + 18), ')', 1))"

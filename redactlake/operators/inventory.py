@@ -9,12 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas
 from ..functions import text as T
-from ..runtime import salted_join
 from .numbering import number_rows
 
 
@@ -41,25 +40,37 @@ def empty_inventory(spark: SparkSession) -> Inventory:
     return Inventory(empty(schemas.ITEMS), empty(schemas.ALIASES))
 
 
+def _item_error(alias_blank: Column) -> Column:
+    """What is wrong with a nested item, or null."""
+    blank = F.coalesce(T.strip(F.col("surface")), F.lit("")) == ""
+    named = F.concat(F.lit("inventory item "), F.coalesce(F.col("id").cast("string"), F.lit("without id")))
+    return (
+        F.when(F.col("id").isNull(), F.concat(F.lit("inventory item at position "), F.col("item_pos").cast("string"), F.lit(" has no id")))
+        .when(~F.coalesce(T.is_code(F.col("code")), F.lit(False)), F.concat(named, F.lit(": code is not in the legend")))
+        .when(F.col("desc").isNull(), F.concat(named, F.lit(": no description")))
+        .when(blank, F.concat(named, F.lit(": blank surface")))
+        .when(alias_blank, F.concat(named, F.lit(": an alias without id or surface")))
+    )
+
+
 def from_nested(nested: DataFrame) -> Inventory:
-    """Flatten rows (item_pos, id, code, desc, surface, aliases, scope), rejecting bad ones."""
-    surface = T.strip(F.col("surface"))
-    item_error = (
-        F.when(~F.coalesce(T.is_code(F.col("code")), F.lit(False)), F.lit("invalid code in inventory item "))
-        .when(F.coalesce(surface, F.lit("")) == "", F.lit("surface cannot be empty or whitespace in item "))
-    )
+    """Flatten rows (item_pos, id, code, desc, surface, aliases, scope), rejecting incomplete ones.
+
+    The check is a filter, which stays whatever columns are read later.
+    """
+    bad_alias = F.coalesce(
+        F.exists("aliases", lambda a: a["id"].isNull() | (F.coalesce(T.strip(a["surface"]), F.lit("")) == "")), F.lit(False)
+    )
+    error = _item_error(bad_alias)
+    nested = nested.filter(F.when(error.isNull(), F.lit(True)).otherwise(F.raise_error(error).cast("boolean")))
     items = nested.select(
         F.col("item_pos").cast("bigint").alias("item_pos"),
         F.col("id").cast("bigint").alias("id"),
         "code",
         "desc",
-        F.when(item_error.isNotNull(), F.raise_error(F.concat(item_error, F.col("id").cast("string"))))
-        .otherwise(surface)
-        .cast("string")
-        .alias("surface"),
+        T.strip(F.col("surface")).alias("surface"),
         F.coalesce(F.col("scope"), F.lit("global")).alias("scope"),
     )
-    alias = T.strip(F.col("a.surface"))
     aliases = nested.select(
         F.col("item_pos").cast("bigint").alias("item_pos"),
         F.col("id").cast("bigint").alias("item_id"),
@@ -69,13 +80,7 @@ def from_nested(nested: DataFrame) -> Inventory:
         "item_id",
         F.col("alias_pos").cast("bigint").alias("alias_pos"),
         F.col("a.id").cast("bigint").alias("alias_id"),
-        F.when(
-            F.coalesce(alias, F.lit("")) == "",
-            F.raise_error(F.concat(F.lit("alias surface cannot be empty in item "), F.col("item_id").cast("string"))),
-        )
-        .otherwise(alias)
-        .cast("string")
-        .alias("surface"),
+        T.strip(F.col("a.surface")).alias("surface"),
     )
     return Inventory(items, aliases)
 
@@ -134,14 +139,13 @@ def merge_badges(inv: Inventory, badges: DataFrame) -> MergeResult:
     surface) with the first description seen, numbered on in order of first appearance.
     """
     stripped = T.strip(F.col("surface"))
-    clean = (
-        F.when(stripped == "", F.raise_error(F.lit("surface cannot be empty or whitespace")))
-        .otherwise(stripped)
-        .cast("string")
+    usable = F.when(F.coalesce(stripped, F.lit("")) != "", F.lit(True)).otherwise(
+        F.raise_error(F.lit("a badge has a blank surface")).cast("boolean")
     )
     # Copies of a badge collapse map-side, before any join.
     distinct = (
-        badges.select("ord", "code", "desc", clean.alias("surface"))
+        badges.filter(usable)
+        .select("ord", "code", "desc", stripped.alias("surface"))
         .groupBy("code", "desc", "surface")
         .agg(F.min("ord").alias("ord"))
     )
@@ -186,7 +190,7 @@ def merge_badges(inv: Inventory, badges: DataFrame) -> MergeResult:
 def assign_badges(result: MergeResult, badges: DataFrame) -> DataFrame:
     """The item each single badge resolves to."""
     keyed = badges.withColumn("surface", T.strip(F.col("surface")))
-    return salted_join(keyed, result.assigned, ["code", "desc", "surface"], ["ord"])
+    return keyed.join(result.assigned, ["code", "desc", "surface"], "left")
 
 
 def add_aliases(inv: Inventory, requests: DataFrame, on_error: str = "raise") -> tuple[Inventory, DataFrame]:
@@ -203,9 +207,9 @@ def add_aliases(inv: Inventory, requests: DataFrame, on_error: str = "raise") ->
     )
     distinct = requests.groupBy("item_id", "surface").agg(F.min("ord").alias("first_ord"))
     error = F.when(
-        F.col("known").isNull(), F.concat(F.lit("item not found: "), F.col("item_id").cast("string"))
-    ).when(F.col("surface") == "", F.lit("alias surface cannot be empty or whitespace"))
-    placed = salted_join(distinct, current, ["item_id"], ["surface"]).withColumn("error", error)
+        F.col("known").isNull(), F.concat(F.lit("no item with id "), F.coalesce(F.col("item_id").cast("string"), F.lit("null")))
+    ).when(F.col("surface") == "", F.lit("an alias needs a surface that is not blank"))
+    placed = distinct.join(current, "item_id", "left").withColumn("error", error)
     usable = F.col("error").isNull()
     if on_error == "raise":
         usable = F.when(usable, True).otherwise(F.raise_error("error").cast("boolean"))
@@ -217,7 +221,7 @@ def add_aliases(inv: Inventory, requests: DataFrame, on_error: str = "raise") ->
     tops = inv.aliases.groupBy("item_pos").agg(
         F.max("alias_id").alias("top_id"), F.max("alias_pos").alias("top_pos")
     )
-    added = salted_join(numbered, tops, ["item_pos"], ["surface"]).select(
+    added = numbered.join(tops, "item_pos", "left").select(
         "item_pos",
         "item_id",
         (F.coalesce("top_pos", F.lit(-1)) + F.col("rn")).alias("alias_pos"),
@@ -231,7 +235,7 @@ def add_aliases(inv: Inventory, requests: DataFrame, on_error: str = "raise") ->
     none = F.lit(None).cast("string")
     if on_error == "report":
         bad = placed.filter(F.col("error").isNotNull()).select("item_id", "surface", "error")
-        results = salted_join(results, bad, ["item_id", "surface"], ["ord"])
+        results = results.join(bad, ["item_id", "surface"], "left")
     else:
         results = results.withColumn("error", none)
     results = results.select(
@@ -259,7 +263,7 @@ def pattern_set(inv: Inventory) -> DataFrame:
         none.alias("alias_id"),
     )
     owners = inv.items.select("item_pos", F.col("id").alias("item_id"), "code", "desc")
-    alias = salted_join(inv.aliases.drop("item_id"), owners, ["item_pos"], ["surface"], "inner").select(
+    alias = inv.aliases.drop("item_id").join(owners, "item_pos").select(
         "item_pos", "alias_pos", "surface", "item_id", "code", "desc", F.lit("a").alias("variant"), "alias_id"
     )
     return (
@@ -287,6 +291,9 @@ def alias_notes(inv: Inventory) -> DataFrame:
     )
 
 
+# The display lines below, and the line that closes a cut snapshot, are fixed formats.
+
+
 def list_items(inv: Inventory) -> DataFrame:
     """Items by (code, surface) with an ``id:surface, ..`` note of their aliases and a display line."""
     note = F.when(
@@ -313,7 +320,7 @@ def list_aliases(inv: Inventory, item_id: int) -> DataFrame:
     """Aliases of one item in list order; an unknown item is an error."""
     found = by_id(inv).filter(F.col("id") == item_id).select("item_pos", "id", "code", "desc").first()
     if found is None:
-        raise LookupError(f"item #{item_id} not found in inventory")
+        raise LookupError(f"the inventory has no item with id {item_id}")
     return (
         inv.aliases.filter(F.col("item_pos") == found["item_pos"])
         .orderBy("alias_pos")

@@ -5,8 +5,8 @@ Two physical forms, chosen by the measured size of the pattern set:
 * up to ``max_broadcast_bytes`` the patterns are broadcast and each document is matched where
   it lies: one map-only pass, no shuffle;
 * beyond it only a bitmap of bounded size is broadcast. It screens the texts down to windows
-  that almost surely are surfaces, and those few rows are joined to the patterns by a salted
-  equi-join. Documents without a candidate never move.
+  that almost surely are surfaces; those few rows are stored and joined to the patterns, and each
+  document's list is joined back to its text, which is read twice and moved once.
 
 Both give the same array column, ordered by (start, longest first).
 """
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels, tags
-from ..runtime import salted_join
+from ..runtime import materialize, null_safe
 
 MAX_BROADCAST_BYTES = 64 << 20
 MIN_BITS, MAX_BITS = 16, 27  # the bitmap takes 8 KiB to 16 MiB
@@ -144,23 +144,26 @@ def _selection():
 
 
 def _match_by_join(docs: DataFrame, matcher: Matcher, keys: list[str], seen: Column, name: str) -> DataFrame:
+    """The screen's candidates are stored, joined to the patterns, and their lists joined back to the texts.
+
+    Documents are told apart by keys and content, nulls being equal; keys get names of their own
+    meanwhile, so they may be called like pattern columns. Hot surfaces are left to adaptive
+    skew handling.
+    """
     cols = docs.columns
-    docs = docs.withColumn("_text_hash", F.xxhash64(seen))
-    keys = [*keys, "_text_hash"]  # documents that share a key do not share matches
+    ids = [f"_k{i}" for i in range(len(keys) + 1)]
+    own = [*[F.col(f"`{k}`") for k in keys], F.xxhash64(seen)]
     screen = kernels.make_screen(matcher.state).asNondeterministic()
-    screened = docs.withColumn("_candidates", screen(seen))
-    quiet = screened.filter(F.size("_candidates") == 0)
-    loud = screened.filter(F.size("_candidates") > 0)
-    candidates = loud.select(*keys, F.inline("_candidates"))
-    real = salted_join(candidates, matcher.patterns, ["surface"], [*keys, "start"], "inner")
+    screened = docs.select(*[c.alias(i) for c, i in zip(own, ids, strict=True)], screen(seen).alias("_candidates"))
+    candidates = materialize(screened.select(*ids, F.inline("_candidates")))
+    real = candidates.join(matcher.patterns, "surface")
     fields = ["start", "end", *PATTERN_COLUMNS]
     order = F.struct("start", (-F.col("end")).alias("neg_end"), F.struct(*fields).alias("m"))
-    lists = real.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_set(order)), lambda r: r["m"]).alias(name)
-    )
+    lists = real.groupBy(*ids).agg(F.transform(F.array_sort(F.collect_set(order)), lambda r: r["m"]).alias("_matches"))
+    joined = docs.join(lists, null_safe(own, [lists[i] for i in ids]), "left")
     none = F.array().cast(kernels.MATCH_TYPE)
-    hit = loud.join(lists, keys, "left").withColumn(name, F.coalesce(F.col(name).cast(kernels.MATCH_TYPE), none))
-    return quiet.withColumn(name, none).select(*cols, name).unionByName(hit.select(*cols, name))
+    found = F.coalesce(F.col("_matches").cast(kernels.MATCH_TYPE), none)
+    return joined.select(*[docs[f"`{c}`"] for c in cols], found.alias(name))
 
 
 def match_all(
@@ -169,9 +172,10 @@ def match_all(
     """One row per occurrence, overlaps included (or resolved, with ``select``).
 
     ``start`` and ``end`` count from the segment the match lies in, ``doc_start`` from the
-    beginning of the document.
+    beginning of the document. A match column called like a key gets the prefix ``match_``.
     """
     found = with_matches(docs, matcher, keys, text, select=select)
+    ids = {k: f"_k{i}" for i, k in enumerate(keys)}
     whole = F.array(F.struct(F.lit(0).alias("seg_no"), F.lit(0).alias("seg_start")))
     cuts = F.transform(
         tags.segments(text), lambda s: F.struct(s["seg_no"].alias("seg_no"), s["seg_start"].alias("seg_start"))
@@ -179,21 +183,37 @@ def match_all(
     fenced = F.contains(F.col(text), F.lit("```"))
     return (
         found.filter(F.size("matches") > 0)
-        .select(*keys, "matches", F.when(fenced, cuts).otherwise(whole).alias("_cuts"))
-        .select(*keys, "_cuts", F.inline("matches"))
+        .select(
+            *[F.col(f"`{k}`").alias(i) for k, i in ids.items()],
+            "matches",
+            F.when(fenced, cuts).otherwise(whole).alias("_cuts"),
+        )
+        .select(*ids.values(), "_cuts", F.inline("matches"))
         .withColumn("_seg", F.element_at(F.filter("_cuts", lambda s: s["seg_start"] <= F.col("start")), -1))
         .select(
-            *keys,
-            "_seg.seg_no",
-            "_seg.seg_start",
-            F.col("start").alias("doc_start"),
-            (F.col("start") - F.col("_seg.seg_start")).alias("start"),
-            (F.col("end") - F.col("_seg.seg_start")).alias("end"),
-            *PATTERN_COLUMNS,
+            *[F.col(i).alias(k) for k, i in ids.items()],
+            *[
+                c.alias(f"match_{n}" if n in ids else n)
+                for n, c in {
+                    "seg_no": F.col("_seg.seg_no"),
+                    "seg_start": F.col("_seg.seg_start"),
+                    "doc_start": F.col("start"),
+                    "start": F.col("start") - F.col("_seg.seg_start"),
+                    "end": F.col("end") - F.col("_seg.seg_start"),
+                    **{n: F.col(n) for n in PATTERN_COLUMNS},
+                }.items()
+            ],
         )
     )
 
 
+def _carry_over(rows: DataFrame, sums: DataFrame, on: list[str]) -> DataFrame:
+    """Each row with the sums of its range; null keys are a key like others."""
+    renamed = sums.withColumnsRenamed({c: f"_on{i}" for i, c in enumerate(on)})
+    matched = null_safe([rows[c] for c in on], [renamed[f"_on{i}"] for i in range(len(on))])
+    return rows.join(renamed, matched).drop(*[f"_on{i}" for i in range(len(on))])
+
+
 def select_spans(matches: DataFrame, keys: list[str], start: str = "start", end: str = "end") -> DataFrame:
     """Leftmost-longest selection over a table of spans: the kept rows.
 
@@ -211,7 +231,7 @@ def select_spans(matches: DataFrame, keys: list[str], start: str = "start", end:
     carried = carried.select(*keys, "_range", F.max("_top").over(before).alias("_carry"))
     reach = F.greatest(F.max(end).over(past), F.col("_carry"))
     opened = (
-        placed.join(carried, [*keys, "_range"])
+        _carry_over(placed, carried, [*keys, "_range"])
         .withColumn("_reach", reach)
         .withColumn("_opens", F.when(F.col("_reach").isNull() | (F.col(start) >= F.col("_reach")), F.col(start)))
     )
@@ -220,7 +240,7 @@ def select_spans(matches: DataFrame, keys: list[str], start: str = "start", end:
     last_open = last_open.select(*keys, "_range", F.max("_last").over(before).alias("_open_before"))
     island = F.coalesce(F.max("_opens").over(in_range.rowsBetween(Window.unboundedPreceding, 0)), "_open_before")
     group = [f"_g{i}" for i in range(len(keys))]
-    named = opened.join(last_open, [*keys, "_range"]).select(
+    named = _carry_over(opened, last_open, [*keys, "_range"]).select(
         *[F.col(k).alias(g) for k, g in zip(keys, group)],
         island.alias("_island"),
         F.col(start).alias("_start"),

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import tags
 from . import badges as B
 from .inventory import Inventory, snapshot
 
@@ -121,10 +122,13 @@ def propose_by_rules(
     docs: DataFrame, keys: list[str], text: str = "text", rules: tuple[Rule, ...] = DEFAULT_RULES
 ) -> DataFrame:
     """Badge lines from regular expressions, JVM-side: (keys, raw), first occurrence of each surface per rule."""
-    def lines(rule: Rule) -> str:
-        badge = f"""transform(array_distinct(regexp_extract_all({text}, r'{rule.pattern}', 0)),
-          s -> concat('[REDACTED: {rule.code}, {rule.desc}] => ', s))"""
-        return f"if(contains({text}, '{rule.needs}'), {badge}, array())" if rule.needs else badge
+    column = F.col(tags.quoted(text))
 
-    joined = f"array_join(concat({', '.join(map(lines, rules))}), '\\n')"
-    return docs.select(*keys, F.expr(joined).alias("raw"))
+    def lines(rule: Rule):
+        head = F.lit(f"[REDACTED: {rule.code}, {rule.desc}] => ")
+        hits = F.array_distinct(F.regexp_extract_all(column, F.lit(rule.pattern), F.lit(0)))
+        badges = F.transform(hits, lambda s: F.concat(head, s))
+        none = F.array().cast("array<string>")
+        return F.when(F.contains(column, F.lit(rule.needs)), badges).otherwise(none) if rule.needs else badges
+
+    return docs.select(*keys, F.array_join(F.concat(*map(lines, rules)), "\n").alias("raw"))

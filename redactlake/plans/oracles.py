@@ -11,6 +11,7 @@ from .derived import for_duckdb as d
 
 ORACLES: dict[str, str] = {}
 
+# Formats of codes, badge lines, tags and fences, which results must follow.
 CODE = r"\([1-4]\)\([A-EX]\)(?:\([a-ex]\))?"
 ARROW = rf"^\s*\[REDACTED:\s*({CODE})\s*,\s*([^\]]+?)\]\s*=>\s*(.+?)\s*$"
 PIPE = rf"^\s*({CODE})\s*\|\s*([^|]+?)\s*\|\s*(.+?)\s*$"
@@ -19,6 +20,7 @@ FENCE = r"(?ms)^```.*?$.*?^```$"
 MAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 CARD = r"[0-9]{16}"
 IPV4 = r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"
+# End of fixed values. The display lines of listings and snapshots below are fixed formats too.
 
 
 # --- badges -----------------------------------------------------------------
@@ -367,7 +369,26 @@ ORACLES["output_names"] = rf"""
   FROM {d("paths")} p
   WHERE lower(regexp_extract(rel_path, '[^/](\.[^./]+)$', 1))
     IN ('.md', '.markdown', '.txt', '.0', '.asc', '.csv', '.odt', '.rtf')"""
-ORACLES["corpus_files"] = """
-  SELECT 'p' || (page_id % 16) || '/' || page_id || '.md' AS rel_path, md5(regexp_replace(html, '\r\n?', chr(10), 'g')) AS text_md5 FROM pages"""
+_PAGE_FILES = """
+  SELECT concat('p', page_id % 16, CASE page_id % 5 WHEN 0 THEN '/_' WHEN 1 THEN '/.x' ELSE '/' END, page_id, '.md') AS rel_path,
+    md5(regexp_replace(html, '\r\n?', chr(10), 'g')) AS text_md5 FROM pages"""
+ORACLES["corpus_files"] = _PAGE_FILES
+ORACLES["text_files"] = _PAGE_FILES
 ORACLES["lenient_decode"] = r"""
-  SELECT doc_id, md5(regexp_replace(text, '\r\n?', chr(10), 'g')) AS text_md5 FROM documents"""
+  SELECT doc_id, md5(chr(65533) || regexp_replace(text, '\r\n?', chr(10), 'g')) AS text_md5 FROM documents"""
+ORACLES["redact_benchmark"] = f"""
+  WITH RECURSIVE {DOC_INVENTORY}, {redaction('(SELECT item_id AS doc_id, text FROM benchmark)')}
+  SELECT doc_id AS item_id, n_matches, redacted FROM redacted"""
+ORACLES["redact_benchmark_large_inventory"] = ORACLES["redact_benchmark"]
+ORACLES["redact_null_keys_large_inventory"] = f"""
+  {_redact_documents} SELECT CASE WHEN doc_id % 2 = 1 THEN doc_id END AS doc_id, n_matches, redacted FROM redacted"""
+ORACLES["redact_empty_inventory"] = "SELECT doc_id, 0::BIGINT AS n_matches, text AS redacted FROM documents"
+ORACLES["restore_shared_keys_large_inventory"] = f"SELECT doc_id % 5 AS doc_id, n_tags, restored FROM ({ORACLES['restore_tagged']})"
+ORACLES["select_spans_null_key"] = f"SELECT nullif(doc_id, 1) AS doc_id, start, stop FROM ({ORACLES['select_spans']})"
+ORACLES["redact_folder"] = f"SELECT doc_id, n_matches FROM ({ORACLES['redact_markdown']})"
+ORACLES["redact_folder_files"] = f"SELECT doc_id, redacted FROM ({ORACLES['redact_markdown']})"
+ORACLES["restore_folder"] = ORACLES["restore_tagged"]
+ORACLES["badge_files"] = f"""
+  SELECT kind, code, "desc", surface, count(*) AS n_lines FROM ({ORACLES['badge_parse_arrow']}) GROUP BY ALL"""
+ORACLES["validate_badges_job"] = f"""
+  SELECT cast(sum(n_valid) AS BIGINT) AS n_valid, cast(sum(n_skipped) AS BIGINT) AS n_skipped FROM ({ORACLES['badge_validate_counts']})"""

@@ -202,8 +202,8 @@ def merge_upsert(spark, sf):
 
 @query
 def next_id(spark, sf):
-    items = _derived(spark, sf, "customer_items")
-    return items.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("next_id"))
+    following = I.next_item_id(_derived(spark, sf, "customer_items"))
+    return spark.range(1).select(F.lit(following).cast("bigint").alias("next_id"))
 
 
 @query
@@ -255,12 +255,10 @@ def inventory_snapshot(spark, sf):
 
 @query
 def inventory_json(spark, sf):
-    """Items to JSON lines in the nested form and back."""
-    nested = I.to_nested(_customer_inventory(spark, sf))
-    item = F.struct("id", "code", "desc", "surface", "aliases", "scope")
-    lines = nested.select("item_pos", F.to_json(item).alias("line"))
-    schema = "id bigint, code string, desc string, surface string, aliases array<struct<id:bigint,surface:string>>, scope string"
-    back = I.from_nested(lines.select("item_pos", F.from_json("line", schema).alias("i")).select("item_pos", "i.*"))
+    """Saved as a JSON file and loaded again."""
+    path = f"{_scratch(spark)}/inventory.json"
+    store.save_json(_customer_inventory(spark, sf), path)
+    back = store.load_json(spark, path)
     items = back.items.select("item_pos", "id", "surface", F.lit(-1).cast("bigint").alias("alias_pos"), "code", "desc")
     none = F.lit(None).cast("string")
     aliases = back.aliases.select(
@@ -330,6 +328,13 @@ def select_spans(spark, sf):
     return M.select_spans(spans, ["doc_id"], "start", "stop").select("doc_id", "start", "stop")
 
 
+@query
+def select_spans_null_key(spark, sf):
+    """The spans of supplier 1 without a key."""
+    spans = _derived(spark, sf, "spans").withColumn("doc_id", F.expr("nullif(doc_id, 1)"))
+    return M.select_spans(spans, ["doc_id"], "start", "stop").select("doc_id", "start", "stop")
+
+
 @query
 def select_matches(spark, sf):
     """Overlapping word matches of the conversations, resolved."""
@@ -381,6 +386,37 @@ def redact_pages(spark, sf):
     return _redacted(R.redact_documents(_pages(spark, sf), matcher, ["page_id"], "html"), "page_id")
 
 
+def _benchmark(spark, sf):
+    return read_documents(spark, f"{sf}/benchmark.parquet", ["item_id"], schema="item_id bigint, text string")
+
+
+@query
+def redact_benchmark(spark, sf):
+    """A key called like a column of the matches."""
+    _, matcher = _document_matcher(spark, sf)
+    return _redacted(R.redact_documents(_benchmark(spark, sf), matcher, ["item_id"]), "item_id")
+
+
+@query
+def redact_benchmark_large_inventory(spark, sf):
+    matcher = R.matcher_for(_document_inventory(spark, sf), max_broadcast_bytes=0)
+    return _redacted(R.redact_documents(_benchmark(spark, sf), matcher, ["item_id"]), "item_id")
+
+
+@query
+def redact_null_keys_large_inventory(spark, sf):
+    """Documents half of which have no key."""
+    matcher = R.matcher_for(_document_inventory(spark, sf), max_broadcast_bytes=0)
+    docs = _documents(spark, sf).withColumn("doc_id", F.when(F.col("doc_id") % 2 == 1, F.col("doc_id")))
+    return _redacted(R.redact_documents(docs, matcher, ["doc_id"]), "doc_id")
+
+
+@query
+def redact_empty_inventory(spark, sf):
+    matcher = R.matcher_for(I.empty_inventory(spark))
+    return _redacted(R.redact_documents(_documents(spark, sf), matcher, ["doc_id"]), "doc_id")
+
+
 @query
 def match_counts(spark, sf):
     _, matcher = _document_matcher(spark, sf)
@@ -415,6 +451,14 @@ def restore_tagged_large_inventory(spark, sf):
     return _wide(restored.select("doc_id", "n_tags", "restored"))
 
 
+@query
+def restore_shared_keys_large_inventory(spark, sf):
+    """Many documents with the same key stay apart."""
+    docs = _derived(spark, sf, "tagged").withColumn("doc_id", F.col("doc_id") % 5)
+    restored = S.restore_documents(docs, _customer_inventory(spark, sf), ["doc_id"], max_broadcast_bytes=0)
+    return _wide(restored.select("doc_id", "n_tags", "restored"))
+
+
 @query
 def unredact_documents(spark, sf):
     inv, matcher = _document_matcher(spark, sf)
@@ -474,19 +518,96 @@ def _scratch(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/scratch-{uuid.uuid4().hex}"
 
 
+#: How the pages are named as files; some names are of the kind Spark's file index passes over.
+PAGE_PATH = "concat('p', page_id % 16, CASE page_id % 5 WHEN 0 THEN '/_' WHEN 1 THEN '/.x' ELSE '/' END, page_id, '.md')"
+
+
+def _page_files(spark, sf, root):
+    docs = _pages(spark, sf).select(F.expr(PAGE_PATH).alias("rel_path"), "html")
+    return corpus.write_files(docs, root, text="html")
+
+
 @query
 def corpus_files(spark, sf):
     """Pages written as one file each and scanned back."""
     root = _scratch(spark)
-    name = F.concat(F.lit("p"), (F.col("page_id") % 16).cast("string"), F.lit("/"), F.col("page_id").cast("string"))
-    docs = _pages(spark, sf).select(F.concat(name, F.lit(".md")).alias("rel_path"), "html")
-    corpus.write_files(docs, root, text="html")
+    _page_files(spark, sf, root)
     return corpus.read_markdown(spark, root).select("rel_path", F.md5("text").alias("text_md5"))
 
 
+@query
+def text_files(spark, sf):
+    """The same through the scan for text files of any kind."""
+    root = _scratch(spark)
+    _page_files(spark, sf, root)
+    return corpus.read_text_files(spark, root).select("rel_path", F.md5("text").alias("text_md5"))
+
+
+def _saved_customers(spark, sf, path):
+    store.save(_customer_inventory(spark, sf), path)
+    return path
+
+
+def _customer_files(spark, sf, root):
+    docs = _derived(spark, sf, "markdown").select(F.expr("concat(doc_id, '.md')").alias("rel_path"), "text")
+    corpus.write_files(docs, root)
+    return root
+
+
+@query
+def redact_folder(spark, sf):
+    """The counts of a folder redacted with an inventory file."""
+    root = _scratch(spark)
+    src, inv = _customer_files(spark, sf, f"{root}/src"), _saved_customers(spark, sf, f"{root}/inventory.json")
+    run = jobs.redact_folder(spark, src, f"{root}/redacted", inv)
+    return _wide(run.counts.select(F.expr("cast(replace(rel_path, '.md', '') as bigint)").alias("doc_id"), "n_matches"))
+
+
+@query
+def redact_folder_files(spark, sf):
+    """The files such a run leaves."""
+    root = _scratch(spark)
+    src, inv = _customer_files(spark, sf, f"{root}/src"), _saved_customers(spark, sf, f"{root}/inventory.json")
+    jobs.redact_folder(spark, src, f"{root}/redacted", inv)
+    files = corpus.read_markdown(spark, f"{root}/redacted")
+    return files.select(F.expr("cast(replace(rel_path, '.md', '') as bigint)").alias("doc_id"), F.col("text").alias("redacted"))
+
+
+@query
+def restore_folder(spark, sf):
+    """Tagged orders as files, restored."""
+    root = _scratch(spark)
+    docs = _derived(spark, sf, "tagged").select(F.expr("concat(doc_id % 8, '/', doc_id, '.md')").alias("rel_path"), "text")
+    written = corpus.write_table(docs, f"{root}/table") or spark.read.parquet(f"{root}/table")
+    inv = store.load(spark, _saved_customers(spark, sf, f"{root}/inventory.json"))
+    restored = S.restore_documents(written, inv, ["rel_path"])
+    return _wide(restored.select(F.expr("cast(split(replace(rel_path, '.md', ''), '/')[1] as bigint)").alias("doc_id"), "n_tags", "restored"))
+
+
+def _badge_file(spark, sf, path):
+    lines = _derived(spark, sf, "arrow_lines").orderBy("src", "line_no")
+    lines.select(F.col("raw").alias("value")).write.text(path)
+    return path
+
+
+@query
+def badge_files(spark, sf):
+    """Badge lines written as text files and read back; every line is read or told why not."""
+    path = _badge_file(spark, sf, f"{_scratch(spark)}/badges")
+    parsed = B.parse_badges(corpus.read_badge_files(spark, path))
+    return parsed.groupBy("kind", "code", "desc", "surface").agg(F.count("*").alias("n_lines"))
+
+
+@query
+def validate_badges_job(spark, sf):
+    path = _badge_file(spark, sf, f"{_scratch(spark)}/badges")
+    counts = jobs.validate_badges(spark, path)
+    return counts.agg(F.sum("n_valid").cast("bigint").alias("n_valid"), F.sum("n_skipped").cast("bigint").alias("n_skipped"))
+
+
 @query
 def lenient_decode(spark, sf):
-    """Bytes that are not UTF-8 are dropped."""
-    broken: Column = F.concat(F.unhex(F.lit("FF")), F.encode("text", "UTF-8"), F.unhex(F.lit("C3")))
+    """Bytes that are not UTF-8 are dropped; a replacement character that was in the text stays."""
+    broken: Column = F.concat(F.unhex(F.lit("FFEFBFBD")), F.encode("text", "UTF-8"), F.unhex(F.lit("C3")))
     docs = _documents(spark, sf).select("doc_id", corpus.decode_utf8(broken, "ignore").alias("text"))
     return docs.select("doc_id", F.md5("text").alias("text_md5"))

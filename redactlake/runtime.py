@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,8 +13,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         sc.setCheckpointDir(shared)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="redactlake-checkpoint-"))
+    elif sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
+        # One process, so its warehouse folder is shared by all tasks.
+        sc.setCheckpointDir(f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     else:
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
 
@@ -31,15 +30,9 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def salted_join(
-    big: DataFrame, small: DataFrame, on: list[str], spread_by: list[str], how: str = "left", buckets: int = 8
-) -> DataFrame:
-    """Equi-join in which one hot key of ``big`` is spread over ``buckets`` tasks.
-
-    ``small`` has one row per key (or a few) and is repeated once per bucket. What is still too
-    large for a task is split further by adaptive skew-join handling.
-    """
-    salt = "_salt"
-    left = big.withColumn(salt, F.pmod(F.xxhash64(*spread_by), F.lit(buckets)).cast("int"))
-    right = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
-    return left.join(right, [*on, salt], how).drop(salt)
+def null_safe(left: list[Column], right: list[Column]) -> Column:
+    """All pairs equal, nulls being equal to each other."""
+    out = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        out = out & a.eqNullSafe(b)
+    return out

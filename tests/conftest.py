@@ -8,7 +8,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master("local[8]")
         .appName("redactlake-tests")
@@ -17,6 +17,7 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
@@ -25,11 +26,11 @@ def spark():
 
 
 @pytest.fixture(scope="session")
-def sample(spark):
-    """One item with one alias."""
+def depot(spark):
+    """A depot's gate code, item 12, with two other spellings."""
     from redactlake.operators.inventory import from_nested
 
-    return from_nested(nested(spark, [(1, "(1)(A)(c)", "email address", "kim@knight.club", [(1, "kim@day.club")])]))
+    return from_nested(nested(spark, [(12, "(2)(B)(a)", "gate code", "7731-QX", [(1, "7731QX"), (4, "7731 qx")])]))
 
 
 def nested(spark, items):
