@@ -6,7 +6,7 @@ symbols of all their pieces lie in one flat array, and each round merges the low
 every piece that still has one.
 
 Null texts count as empty: no ids, and an empty text back. Row order, repeats and other columns
-are kept; ``token_ids`` and ``decoded`` must not be names of columns already there.
+are kept; a column already called ``token_ids`` or ``decoded`` is replaced.
 """
 
 from __future__ import annotations
@@ -190,6 +190,8 @@ def load(path: str) -> Bpe:
 def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
     """Add ``token_ids``: binary, little-endian unsigned 32-bit integers. The file must be on every node."""
 
+    docs = K.without(docs, "token_ids")
+
     def work(batch, texts):
         bpe = load(vocabulary)
         column = batch.column(batch.schema.get_field_index(text)).fill_null("").to_pylist()
@@ -201,6 +203,8 @@ def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text") -> Da
 def decode_documents(encoded: DataFrame, vocabulary: str, ids: str = "token_ids") -> DataFrame:
     """Add ``decoded``: the text of the ids; bytes that are not UTF-8 become U+FFFD. Null ids give an empty text."""
 
+    encoded = K.without(encoded, "decoded")
+
     def run(batches):
         for batch in batches:
             bpe = load(vocabulary)

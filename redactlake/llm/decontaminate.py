@@ -140,7 +140,7 @@ def find_hits(
 ) -> DataFrame:
     """All of ``docs`` but ``text``, with ``n_words``, ``spans`` (begin, end of shared spans) and ``items``.
 
-    Other columns ride along; none may be called ``n_words``, ``spans`` or ``items``.
+    Other columns ride along; those called ``n_words``, ``spans`` or ``items`` are replaced.
     """
     prints = item_fingerprints(items, item, item_text)
     size = prints.groupBy("length").agg(F.sum(F.lit(200) + 16 * F.size("items")).alias("bytes")).collect()
@@ -148,7 +148,8 @@ def find_hits(
     small = sum(r["bytes"] for r in size) <= max_broadcast_bytes
     prints = prints.select(*[F.col(c).alias(f"i_{c}") for c in prints.columns])
 
-    rest = F.struct(F.monotonically_increasing_id().alias("row"), *[F.col(f"`{c}`") for c in docs.columns if c != text])
+    kept = [c for c in docs.columns if c != text and c.lower() not in ("n_words", "spans", "items")]
+    rest = F.struct(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("own"))
     worded = docs.select(rest.alias("doc"), word_hashes(F.col(text)).alias("words"))
     words = F.col("words")
     rows = fingerprints(worded.withColumn("n_words", F.size(words)), lengths)
@@ -178,7 +179,7 @@ def find_hits(
         F.collect_set(F.when(hit, F.struct("begin", "end"))).alias("spans"),
         F.array_distinct(F.flatten(F.collect_set(F.when(hit, F.col("i_items"))))).alias("items"),
     )
-    columns = [F.col(f"doc.`{c}`") for c in docs.columns if c != text]
+    columns = [F.col(f"doc.own.`{c}`") for c in kept]
     return by_doc.select(*columns, "n_words", "spans", "items")
 
 

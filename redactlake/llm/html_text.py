@@ -12,7 +12,8 @@ tree; so no block can be main inside one that is not.
 The trees learn from a bounded sample of the given pages, labelled by their own semantic elements,
 and from the same texts in made-up page layouts that name their parts in other ways.
 
-Null, empty and text-free pages give an empty text. Row order, repeats and other columns stay.
+Null, empty and text-free pages give an empty text. Row order, repeats and other columns stay; a
+column already called ``text`` is replaced.
 """
 
 from __future__ import annotations
@@ -372,7 +373,8 @@ def extract_texts(pages: list[str], trees: gbt.Trees) -> list[str]:
 def extract(pages: DataFrame, trees: gbt.Trees, html: str = "html") -> DataFrame:
     """Add ``text``, the main text; ``html`` goes."""
     shared = pages.sparkSession.sparkContext.broadcast(trees)
-    rest = pages.select(*[F.col(f"`{c}`") for c in pages.columns if c != html])
+    pages = K.without(pages, *([] if html.lower() == "text" else ["text"]))
+    rest = K.without(pages, html)
 
     def work(batch, texts):
         column = batch.column(batch.schema.get_field_index(html)).fill_null("").to_pylist()

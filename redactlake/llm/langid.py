@@ -9,7 +9,8 @@ a rejection threshold are then fitted on sample documents kept out of training.
 As both layers are linear, they are multiplied into one (subword, language) table for scoring.
 
 Texts that are null or hold no letter get ``und``, score 0, and are rejected. Without training
-rows every text is ``und``. Row order, repeats and other columns stay.
+rows every text is ``und``. Row order, repeats and other columns stay; columns already called like the
+added ones are replaced.
 """
 
 from __future__ import annotations
@@ -188,6 +189,7 @@ def train(rows: DataFrame, key: str, text: str, label: str, per_language: int =
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """Add ``lang_pred``, ``lang_score`` (the calibrated probability) and ``lang_rejected``."""
+    docs = K.without(docs, "lang_pred", "lang_score", "lang_rejected")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batch, texts):

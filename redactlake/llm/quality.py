@@ -6,7 +6,8 @@ hashes. The trees say how likely a document is labelled good; a share of symbols
 of repeated words or of capitals can only lower that (monotonic constraints).
 
 Null and empty texts have no words and fail the fixed rules. Without labels of both kinds only the
-fixed rules decide. Row order, repeats and other columns stay.
+fixed rules decide. Row order, repeats and other columns stay; columns already called like the added
+ones are replaced.
 """
 
 from __future__ import annotations
@@ -110,7 +111,8 @@ def statistics(texts: K.Texts) -> dict[str, np.ndarray]:
 
 def add_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the columns of ``COUNTS`` and ``MORE``, as long; ``text`` goes."""
-    rest = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != text])
+    docs = K.without(docs, *COUNTS, *MORE)
+    rest = K.without(docs, text)
 
     def work(batch, texts):
         columns = {k: v.astype(np.int64) for k, v in statistics(texts).items()}
@@ -163,6 +165,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, p
 
 def judge(stats: DataFrame, model: gbt.Trees | None, threshold: float = THRESHOLD) -> DataFrame:
     """Add ``base_failed``, ``quality`` (the trees' probability) and ``kept`` to rows with statistics."""
+    stats = K.without(stats, "base_failed", "quality", "kept")
     shared = stats.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from ..runtime import ensure_checkpoint_dir
 from ..sources.tables import spread
 from . import bpe, chat, decontaminate, hmm, html_text, jaccard, langid, quality, toxicity, warc
+from .shipping import ship
 from .vocabularies import BYTE_BPE, vocabulary_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,8 +20,13 @@ QUERIES: dict[str, Query] = {}
 
 
 def query(f: Query) -> Query:
-    QUERIES[f.__name__] = f
-    return f
+    @wraps(f)
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf)
+
+    QUERIES[f.__name__] = run
+    return run
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:

@@ -175,6 +175,12 @@ def added(batch: pa.RecordBatch, **columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, *columns])
 
 
+def without(df, *names: str):
+    """``df`` less the columns that are about to be added, in any spelling."""
+    gone = {n.lower() for n in names}
+    return df.select(*[f"`{c.replace('`', '``')}`" for c in df.columns if c.lower() not in gone])
+
+
 def schema_with(df, more: str) -> str:
     """The DDL of ``df`` with columns added, for ``mapInArrow``."""
     fields = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields]

@@ -6,7 +6,8 @@ Every one is hashed to a bucket. FTRL-proximal gives each bucket its own learnin
 term keeps the weights of nearly all at zero; what is left is small enough to broadcast.
 
 Null and empty texts have no feature and get the score of the bias alone. Without training rows
-every score is 0. Row order, repeats and other columns stay.
+every score is 0. Row order, repeats and other columns stay; columns already called ``toxicity`` or
+``toxic`` are replaced.
 """
 
 from __future__ import annotations
@@ -136,6 +137,7 @@ def train(
 
 def score(docs: DataFrame, model: Model, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Add ``toxicity`` (0 to 1) and ``toxic`` (1 from the threshold on)."""
+    docs = K.without(docs, "toxicity", "toxic")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
