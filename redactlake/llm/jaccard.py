@@ -11,8 +11,8 @@ once on the whole sets.
 Within one shared shingle not all pairs are made. Groups with few unlinked pairs are joined in full;
 in a large group one class, the pivot, is compared with all others, the links found so far join
 classes into components, and what is still in different components goes to the next round. Once the
-remaining pairs across components are few for the number of rows, or after ``ROUNDS`` rounds, they are
-all compared, so no link between components can be missed.
+remaining pairs across components are few for the number of rows, or in the last of ``ROUNDS`` rounds,
+they are all compared, so no link between components can be missed.
 
 Documents with fewer words than a shingle are one shingle of all their words; null, empty and blank
 texts have no shingle and are linked with nothing. Repeated rows and null ids keep rows of their own;
@@ -37,10 +37,10 @@ SKETCH_BITS = 20
 CHUNK_BITS = 14
 #: Prefix shingles joined together.
 RANGE_ROWS = 500_000
-FLUSH_ROWS = 1_000_000
+FLUSH_ROWS = 250_000
 ROUNDS = 6
 #: A group is joined in full while its unlinked pairs are at most this many times its members.
-FULL_FACTOR = 4
+FULL_FACTOR = 1
 #: Hash ranges of the suffix filter.
 SUFFIX_RANGES = 16
 
@@ -306,7 +306,7 @@ def sets_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(values, pa.binary())], ["class", "shingles"])
 
     found = docs.select(F.col(text).alias("x")).mapInArrow(run, "class bigint, shingles binary")
-    return found.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
+    return found.dropDuplicates(["class"]).join(wanted, "class", "left_semi")
 
 
 def suffix_bound(x: np.ndarray, y: np.ndarray) -> int:
@@ -385,8 +385,7 @@ def group_similar(docs: DataFrame, key: str, text: str, folder: str) -> DataFram
     shared = _store(shared_prefixes(prefixes(docs, text, sketch_of(scanned), bits)), f"{folder}/shared")
     labels = None
     if not shared.isEmpty():
-        sets = _store(sets_of(docs, text, shared.select("class").distinct()), f"{folder}/sets")
-        links, done, most = None, None, FULL_FACTOR * shared.count()
+        links, done, most = None, None, 2 * shared.count()
         for number in range(ROUNDS):
             if labels is None:
                 here = shared.withColumn("component", F.col("class"))
@@ -396,11 +395,13 @@ def group_similar(docs: DataFrame, key: str, text: str, folder: str) -> DataFram
             unlinked = groups.agg(F.coalesce(F.sum("unlinked"), F.lit(0))).first()[0]
             if not unlinked:
                 break
-            last = number == ROUNDS - 1 or unlinked <= most
+            last = number == ROUNDS - 1 or (number > 0 and unlinked <= most)
             pairs, remaining = next_candidates(here, groups, last)
             pairs = _store(pairs, f"{folder}/pairs-{number}")
             shared = remaining if last else _store(remaining, f"{folder}/shared-{number}")
-            new = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
+            new = pairs if done is None else _store(pairs.join(done, ["a", "b"], "left_anti"), f"{folder}/new-{number}")
+            wanted = new.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+            sets = _store(sets_of(docs, text, wanted), f"{folder}/sets-{number}")
             found = _store(verify(new, sets), f"{folder}/links-{number}")
             links = found if links is None else links.unionByName(found)
             done = pairs if done is None else done.unionByName(pairs)
