@@ -249,6 +249,8 @@ class Model:
     @staticmethod
     def of(start, inner, move, emitted: np.ndarray, corpus: Corpus) -> Model:
         """From expected counts; ``emitted`` is (classes, states)."""
+        emitted = emitted.copy()
+        emitted[UNSEEN] = 0
         total = emitted.sum(axis=0)
         share = emitted / np.where(total > 0, total, 1)
         emit = (1 - BACKGROUND) * share + BACKGROUND * corpus.background()[:, None]

@@ -78,13 +78,14 @@ def train_on(
     texts: list[str],
     labels: list[int],
     epochs: int = 4,
+    least_steps: int = 20_000,
     alpha: float = 0.3,
     beta: float = 1.0,
     l1: float = 1.5,
     l2: float = 0.1,
     seed: int = 7,
 ) -> Model:
-    """FTRL-proximal, one text at a time."""
+    """FTRL-proximal, one text at a time; few texts are gone through more often (up to 40 times)."""
     none = Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -35.0)
     if not texts:
         return none
@@ -100,7 +101,7 @@ def train_on(
         rows += [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
     order = np.arange(len(rows))
     rng = np.random.default_rng(seed)
-    for _ in range(epochs):
+    for _ in range(max(epochs, min(40, -(-least_steps // len(texts))))):
         rng.shuffle(order)
         for i in order:
             at = rows[i]

@@ -26,6 +26,7 @@ from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -192,12 +193,15 @@ def convert(archives: DataFrame, arc: str = "arc") -> DataFrame:
     """ARC archives (one per row, gzipped or not) to record parts in the columns of ``RECORD_SCHEMA``."""
 
     def run(batches):
+        task, number = TaskContext.get().partitionId(), 0
         for batch in batches:
             for value in batch.column(0):
                 data = value.as_buffer().to_pybytes() if value.is_valid else b""
                 if data[:2] == b"\x1f\x8b":
                     data = gzip.decompress(data)
-                source = hashlib.sha1(data).hexdigest()
+                # Two archives may hold the same bytes, so their place counts too.
+                number += 1
+                source = f"{hashlib.sha1(data).hexdigest()} {task} {number}"
                 rows, size = [], 0
                 for version, offset, fields, body in parse_arc(data):
                     head, payload = split_http(body)

@@ -54,7 +54,7 @@ def test_nothing_to_learn_languages_from(spoken, docs):
 def insults(spark):
     rng = random.Random(4)
     rows, labels = [], []
-    for i in range(400):
+    for i in range(1600):
         words, bad = say(rng, "xx", rng.randint(5, 50)).split(), int(rng.random() < 0.3)
         if bad:  # a word, a pair with one word between, or a stem with any ending
             words[1:1] = rng.choice([["grak"], ["ka", "vor", rng.choice("abc"), "dul"], ["blarg" + "".join(rng.choices(VOICES["yy"], k=2))]])
