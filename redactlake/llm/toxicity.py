@@ -26,6 +26,8 @@ BUCKET_BITS = 22
 SAMPLE_PER_LABEL = 3_000
 THRESHOLD = 0.7
 HEADS = (4, 5, 6)
+#: Features of fewer training texts than this are left out.
+LEAST_TEXTS = 3
 
 
 def features(texts: K.Texts) -> tuple[np.ndarray, np.ndarray]:
@@ -78,14 +80,13 @@ def train_on(
     texts: list[str],
     labels: list[int],
     epochs: int = 4,
-    least_steps: int = 20_000,
-    alpha: float = 0.3,
+    alpha: float = 1.0,
     beta: float = 1.0,
-    l1: float = 1.5,
+    l1: float = 3.0,
     l2: float = 0.1,
     seed: int = 7,
 ) -> Model:
-    """FTRL-proximal, one text at a time; few texts are gone through more often (up to 40 times)."""
+    """FTRL-proximal, one text at a time."""
     none = Model(np.zeros(0, np.int64), np.zeros(0, np.float32), -35.0)
     if not texts:
         return none
@@ -93,15 +94,19 @@ def train_on(
     n = np.zeros(1 << BUCKET_BITS, np.float32)
     bias_z = bias_n = 0.0
     rows = []
+    seen = np.zeros(1 << BUCKET_BITS, np.int32)
     for begin in range(0, len(texts), 200):
         bucket, owner = features(K.texts_of(pa.array(texts[begin : begin + 200], pa.large_string())))
         pairs = np.unique((owner.astype(np.int64) << BUCKET_BITS) | bucket)
         cuts = np.searchsorted(pairs >> BUCKET_BITS, np.arange(min(200, len(texts) - begin) + 1))
         flat = (pairs & ((1 << BUCKET_BITS) - 1)).astype(np.int32)
         rows += [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        seen += np.bincount(flat, minlength=1 << BUCKET_BITS).astype(np.int32)
+    # A feature of one or two texts can only be learned by heart.
+    rows = [r[seen[r] >= LEAST_TEXTS] for r in rows]
     order = np.arange(len(rows))
     rng = np.random.default_rng(seed)
-    for _ in range(max(epochs, min(40, -(-least_steps // len(texts))))):
+    for _ in range(epochs):
         rng.shuffle(order)
         for i in order:
             at = rows[i]
