@@ -38,7 +38,9 @@ CHUNK_BITS = 14
 #: Prefix shingles joined together.
 RANGE_ROWS = 500_000
 FLUSH_ROWS = 250_000
-ROUNDS = 6
+ROUNDS = 3
+#: From the second round on, all unlinked pairs are compared at once if they are at most so many a row.
+PAIRS_PER_ROW = 100
 #: A group is joined in full while its unlinked pairs are at most this many times its members.
 FULL_FACTOR = 1
 #: Hash ranges of the suffix filter.
@@ -385,7 +387,7 @@ def group_similar(docs: DataFrame, key: str, text: str, folder: str) -> DataFram
     shared = _store(shared_prefixes(prefixes(docs, text, sketch_of(scanned), bits)), f"{folder}/shared")
     labels = None
     if not shared.isEmpty():
-        links, done, most = None, None, 2 * shared.count()
+        links, done, most = None, None, PAIRS_PER_ROW * shared.count()
         for number in range(ROUNDS):
             if labels is None:
                 here = shared.withColumn("component", F.col("class"))
