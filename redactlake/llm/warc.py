@@ -30,6 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..runtime import ensure_checkpoint_dir
+
 CHUNK_BYTES = 4 << 20
 CHUNKS_PER_FILE = 8
 
@@ -189,6 +191,14 @@ def http_field(head: bytes, name: str) -> str | None:
     return found[1].decode("latin-1").strip() if found else None
 
 
+def archive_key(head: bytes) -> int | None:
+    """The key in HTTP headers; what is no integer of 64 bits is no key."""
+    text = http_field(head, KEY_HEADER)
+    if not text or not re.fullmatch(r"-?[0-9]{1,19}", text):
+        return None
+    return key if -(1 << 63) <= (key := int(text)) < 1 << 63 else None
+
+
 def convert(archives: DataFrame, arc: str = "arc") -> DataFrame:
     """ARC archives (one per row, gzipped or not) to record parts in the columns of ``RECORD_SCHEMA``."""
 
@@ -205,7 +215,6 @@ def convert(archives: DataFrame, arc: str = "arc") -> DataFrame:
                 rows, size = [], 0
                 for version, offset, fields, body in parse_arc(data):
                     head, payload = split_http(body)
-                    key = http_field(head, KEY_HEADER)
                     rows.append(
                         {
                             "url": None if fields["url"] == "-" else fields["url"],
@@ -213,7 +222,7 @@ def convert(archives: DataFrame, arc: str = "arc") -> DataFrame:
                             "warc_date": warc_date(fields["date"]),
                             "record_id": str(uuid.uuid5(uuid.NAMESPACE_URL, f"{source} {offset} {fields['url']}")),
                             "arc_version": version,
-                            "record_key": int(key) if key and re.fullmatch(r"-?\d{1,18}", key) else None,
+                            "record_key": archive_key(head),
                             "http_head": head,
                             "payload": payload,
                             "payload_bytes": len(payload),
@@ -236,13 +245,26 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("content").alias("arc"))
 
 
+def _stored(records: DataFrame) -> DataFrame:
+    """Written once to the shared folder and read from there."""
+    spark = records.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/records-{uuid.uuid4().hex}"
+    records.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(records.schema).parquet(path)
+
+
 def mark_revisits(records: DataFrame, least_bytes: int = 0) -> DataFrame:
     """Add ``record_type`` and, for revisits, ``refers_to`` (the response's key) and ``refers_to_id``.
 
     Of records with equal payloads of at least ``least_bytes``, the one with the largest key (then
     the largest record id) is the response. Copies are counted before anything is joined, and only
     payloads that occur twice are looked up.
+
+    The records are stored first: their ids depend on how rows were packed into archives, which may
+    differ if they are made again, and all copies must name the same one.
     """
+    records = _stored(records)
     rank = F.struct("record_key", "record_id")
     best = (
         records.filter(F.col("payload_bytes") >= least_bytes)
@@ -366,7 +388,7 @@ _WARC = pa.schema(
 def _warc_row(fields: dict[str, str], block: bytes, with_payload: bool) -> dict:
     head, payload = split_http(block)
     revisit = fields["warc-type"] == "revisit"
-    key, refers = http_field(head, KEY_HEADER), fields.get("x-refers-to-key")
+    refers = fields.get("x-refers-to-key")
     named = fields["warc-payload-digest"].removeprefix("sha1:")
     if not revisit and digest(payload) != named:
         raise ValueError(f"payload of {fields['warc-record-id']} does not have its digest")
@@ -375,7 +397,7 @@ def _warc_row(fields: dict[str, str], block: bytes, with_payload: bool) -> dict:
         "record_id": fields["warc-record-id"][10:-1],
         "warc_date": fields["warc-date"],
         "url": None if fields["warc-target-uri"] == "-" else fields["warc-target-uri"],
-        "record_key": int(key) if key else None,
+        "record_key": archive_key(head),
         "payload": payload if with_payload and not revisit else None,
         "payload_bytes": int(http_field(head, "Content-Length") or 0) if revisit else len(payload),
         "payload_digest": named,

@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import random
 
 import pytest
 
@@ -52,6 +53,34 @@ def test_repeated_rows_null_keys_and_empty_tables(spark, folder):
     assert W.read_warc(spark, folder + "-2").collect() == []
 
 
+def test_rows_that_arrive_in_another_order_when_computed_again(spark, folder):
+    rows = [(i, "u", f"text {i % 5}") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+
+    def arrive(batches):
+        for batch in batches:
+            places = list(range(batch.num_rows))
+            random.SystemRandom().shuffle(places)
+            yield batch.take(places)
+
+    got = archived(pages.mapInArrow(arrive, pages.schema), folder)
+    assert sorted(got) == list(range(60))
+    for key, _, html in rows:
+        best = 55 + key % 5
+        kind = ("response", None, None) if key == best else ("revisit", best, got[best].record_id)
+        assert (got[key].record_type, got[key].refers_to, got[key].refers_to_id) == kind
+        assert got[key].payload == (html.encode() if key == best else None)
+
+
+def test_keys_of_64_bits(spark, folder):
+    keys = [(1 << 63) - 1, -(1 << 63), 10**18, -(10**18), 0]
+    got = archived(spark.createDataFrame([(k, "u", "x") for k in keys], "page_id long, url string, html string"), folder)
+    assert {k: (r.record_type, r.refers_to) for k, r in got.items()} == {
+        k: ("revisit", keys[0]) if k != keys[0] else ("response", None) for k in keys}
+    for text, key in [(b"9223372036854775808", None), (b"x1", None), (b"", None), (b"-9", -9)]:
+        assert W.archive_key(b"HTTP/1.1 200 OK\r\nX-Archive-Key: " + text + b"\r\n\r\n") == key
+
+
 def test_both_versions_and_plain_files(spark, tmp_path):
     body = b"HTTP/1.0 200 OK\r\nServer: s\r\n\r\nhello"
     one = W.version_block(1) + b"\nhttp://a/b c 1.2.3.4 20010203040506 text/html %d\n%s\n" % (len(body), body)
