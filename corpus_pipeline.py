@@ -36,12 +36,18 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return toxicity.score(docs, model).filter("toxic = 0").select(*_names(docs))
 
 
-def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """With a number for each row: the same for the same files, so it tells rows apart in two scans."""
+def _numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """With a number for each row, stored once.
+
+    The number depends on how Spark splits the files, which may differ from scan to scan, so rows
+    are told apart only by numbers read from this one table.
+    """
     name = "_row"
     while name in {c.lower() for c in docs.columns}:
         name += "_"
-    return docs.withColumn(name, F.monotonically_increasing_id()), name
+    numbered, path = docs.withColumn(name, F.monotonically_increasing_id()), f"{scratch(spark)}/numbered"
+    numbered.write.parquet(path)
+    return spark.read.schema(numbered.schema).parquet(path), name
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +56,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Texts without words are in no group and stay; so does one of a group without ids.
     """
     ship(spark)
-    numbered, row = _numbered(docs)
+    numbered, row = _numbered(spark, docs)
     # Null ids rank last.
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("row"))
     grouped = jaccard.group_similar(numbered.select(key.alias("key"), "text"), "key", "text", scratch(spark))
@@ -60,7 +66,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a window of a benchmark item."""
-    numbered, row = _numbered(docs)
+    numbered, row = _numbered(spark, docs)
     hits = decontaminate.find_hits(numbered.select(row, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return numbered.join(hits.filter(F.size("spans") > 0).select(row), row, "left_anti").select(*_names(docs))
 

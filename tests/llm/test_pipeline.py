@@ -67,3 +67,45 @@ def test_run_gives_the_tokens_of_what_is_left(spark, tables):
     for r in got:
         assert np.frombuffer(r.token_ids, "<u4").tolist() == library.encode(texts[r.doc_id], add_special_tokens=False).ids
         assert r.n_tokens == len(r.token_ids) // 4
+
+
+@pytest.fixture
+def resplit(spark, tmp_path):
+    """Documents in 8 files, which are one split at first, and a function after which each file is its own."""
+    rows = [(i, f"only {i} here are a few words of text {i} and {i + 1} more", "xx", "s", 0) for i in range(40)]
+    rows += [(100 + i, "one two three four five six seven eight nine ten", "xx", "s", 0) for i in range(4)]
+    path, changed = str(tmp_path / "documents.parquet"), {"spark.sql.files.maxPartitionBytes": "1m", "spark.sql.files.minPartitionNum": "8"}
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(8).write.parquet(path)
+    spark.createDataFrame([(1, rows[-1][1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.conf.set("spark.sql.files.minPartitionNum", "1")
+    assert spark.read.parquet(path).rdd.getNumPartitions() < 3
+
+    def change():
+        for k, v in changed.items():
+            spark.conf.set(k, v)
+        assert spark.read.parquet(path).rdd.getNumPartitions() == 8
+
+    yield spark.read.parquet(path), str(tmp_path), change
+    for k in changed:
+        spark.conf.unset(k)
+
+
+def test_near_duplicates_with_other_splits_in_the_last_scan(spark, resplit):
+    docs, folder, change = resplit
+    out = P.near_duplicates(spark, docs, folder)
+    change()
+    assert sorted(r.doc_id for r in out.collect()) == [*range(40), 100]
+
+
+def test_decontamination_with_other_splits_in_the_last_scan(spark, resplit, monkeypatch):
+    docs, folder, change = resplit
+    find = P.decontaminate.find_hits
+
+    def find_then_change(*args):
+        find(*args).write.parquet(f"{folder}/hits")
+        change()
+        return spark.read.parquet(f"{folder}/hits")
+
+    monkeypatch.setattr(P.decontaminate, "find_hits", find_then_change)
+    out = P.benchmark_decontamination(spark, docs, folder)
+    assert sorted(r.doc_id for r in out.collect()) == [*range(40)]
