@@ -38,7 +38,9 @@ LAYOUTS_PER_PAGE = 2
 
 #: Elements of HTML by how a browser treats them.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = set("script style noscript template head title iframe svg math object select option datalist button textarea audio video canvas".split())
+HIDDEN = set("script style noscript template head title iframe svg annotation annotation-xml object select option datalist button textarea audio video canvas".split())
+#: What may stand in the head; all else ends it.
+IN_HEAD = set("html head base basefont bgsound link meta title noscript noframes script style template".split())
 BLOCKS = set(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption"
     " blockquote pre figure figcaption address header footer nav aside form fieldset legend details summary dialog menu hgroup hr center".split()
@@ -76,6 +78,11 @@ class Node:
     children: list[int] = field(default_factory=list)
 
 
+def _tokens(values: dict) -> list[str]:
+    words = " ".join(str(values.get(k) or "") for k in ("class", "id", "role", "itemprop"))
+    return [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", words)]
+
+
 class Page(HTMLParser):
     """Block elements in page order, and runs of text with the block they stand in."""
 
@@ -87,6 +94,7 @@ class Page(HTMLParser):
         self.broken = True
         self.hidden = 0
         self.links = 0
+        self.body = 0  # its node, if there is one yet
 
     def _close(self, at: int) -> None:
         for tag, _ in self.open[at:]:
@@ -103,9 +111,31 @@ class Page(HTMLParser):
             if self.open[i][0] in limits:
                 return
 
+    def _in_body(self) -> None:
+        """For what cannot stand in the head: it ends the head, and stands in a body, written or not."""
+        if self.open[-1][0] == "head":
+            self._close(len(self.open) - 1)
+        if self.hidden or self.open[-1][1]:
+            return
+        if not self.body:
+            self.body = self._node("body", 0, {})
+        self.open.append(("body", self.body))
+        self.broken = True
+
+    def _node(self, tag: str, inside: int, values: dict) -> int:
+        parent = self.nodes[inside]
+        self.nodes.append(Node(tag, inside, parent.depth + 1, _tokens(values), values.get("data-y")))
+        parent.children.append(len(self.nodes) - 1)
+        return len(self.nodes) - 1
+
     def handle_starttag(self, tag, attrs):
-        if tag == "html":
+        if tag == "html" or (tag == "head" and self.body):
+            return
+        if tag == "body" and self.body:
+            self.nodes[self.body].tokens += _tokens(dict(attrs))
             return
+        if tag not in IN_HEAD and tag != "body":
+            self._in_body()
         if tag in ENDS_P:
             self._close_open({"p"}, BLOCKS - {"p"})
         if tag in ENDS:
@@ -117,13 +147,9 @@ class Page(HTMLParser):
         inside = self.open[-1][1]
         if tag in BLOCKS:
             self.broken = True
-            parent = self.nodes[inside]
-            values = dict(attrs)
-            words = " ".join(str(values.get(k) or "") for k in ("class", "id", "role", "itemprop"))
-            tokens = [w.lower() for w in re.findall(r"[A-Z]?[a-z]+|[A-Z]+", words)]
-            self.nodes.append(Node(tag, inside, parent.depth + 1, tokens, values.get("data-y")))
-            inside = len(self.nodes) - 1
-            parent.children.append(inside)
+            inside = self._node(tag, inside, dict(attrs))
+            if tag == "body" and not self.hidden:
+                self.body = inside
         if tag == "br":
             self._put(" ")
         if tag in VOID:
@@ -134,8 +160,16 @@ class Page(HTMLParser):
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
+        # Nothing else may close these, and what follows is not in them.
+        if (tag in HIDDEN or tag == "math") and self.open[-1][0] == tag:
+            self._close(len(self.open) - 1)
 
     def handle_endtag(self, tag):
+        if tag == "body" and ("body", self.body) in self.open:
+            # What follows still stands in the body.
+            self._close(self.open.index(("body", self.body)) + 1)
+            self.broken = True
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] == tag:
                 self._close(i)
@@ -149,6 +183,8 @@ class Page(HTMLParser):
         self.runs[-1][1].append(data)
 
     def handle_data(self, data):
+        if data.strip():
+            self._in_body()
         if self.hidden:
             return
         self._put(data)

@@ -58,3 +58,40 @@ def test_nothing_to_learn_from(spark):
     df = spark.createDataFrame([(1, None)], "page_id long, html string")
     trees = H.train(df, "page_id", "html")
     assert H.extract_texts(["<main><p>Some words of an article, as such.</p></main>"], trees)[0].startswith("Some words")
+
+
+def standing(html):
+    """(tag of the block, text) of all text that the trees decide on."""
+    page = H.parse(html)
+    return [(page.nodes[b].tag, t) for b, t in page.blocks()]
+
+
+@pytest.mark.parametrize("tag", ["svg", "math", "iframe", "script", "textarea", "video"])
+def test_self_closed_elements_hide_nothing_after_them(tag, trees):
+    assert standing(f"<body><p>a <{tag} class='x'/>b</p><p>c</p>") == [("p", "a b"), ("p", "c")]
+    page = PAGES[3].replace("<h1>", f"<{tag}/><h1>")
+    assert H.extract_texts([page], trees) == ["Head 3\nFirst & foremost 3\nSecond part 3"]
+
+
+def test_head_without_an_end(trees):
+    head = "<html><head><meta charset=utf-8><title>t</title><style>p{}</style><noscript><img src=x></noscript>"
+    assert standing(head + "<p>a<p>b") == [("p", "a"), ("p", "b")]
+    assert standing(head + "\n bare") == [("body", "bare")]
+    page = PAGES[3].replace("</head><body>", "")
+    assert "</head>" not in page and H.extract_texts([page], trees) == ["Head 3\nFirst & foremost 3\nSecond part 3"]
+
+
+def test_text_without_a_body_stands_in_one():
+    import numpy as np
+
+    for html in ("a b", "<title>t</title>a b", "<html>a <b>b</b>", "<body></body>a b", "a b<body class=x>", "<head></head>a b</html>"):
+        assert standing(html) == [("body", "a b")]
+        page = H.parse(html)
+        assert [x.tag for x in page.nodes] == ["html", "body"]
+        assert H.decode(page, np.array([0.1, 0.9])) == [False, True]
+    assert standing("<body><div>a</body>b") == [("div", "a"), ("body", "b")]
+
+
+def test_formulas_are_text():
+    formula = "<math><semantics><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation encoding='application/x-tex'>x=1</annotation></semantics></math>"
+    assert standing(f"<body><p>Let {formula} be</p>") == [("p", "Let x=1 be")]
