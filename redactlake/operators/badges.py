@@ -6,6 +6,8 @@ A badge names one sensitive string, as ``[REDACTED: code, desc] => surface`` or
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,11 +61,17 @@ def parse_badges(lines: DataFrame) -> DataFrame:
     )
 
 
-def valid_badges(parsed: DataFrame, on_error: str = "raise") -> DataFrame:
-    """Rows holding a badge. An invalid line fails the job, or is left out with ``on_error='skip'``."""
+def valid_badges(parsed: DataFrame, on_error: str = "raise", order: Sequence[str] | None = ("line_no",)) -> DataFrame:
+    """Rows holding a badge. An invalid line fails the job, or is left out with ``on_error='skip'``.
+
+    The job stops with the error of the first invalid line by ``order``. A scalar subquery finds it
+    before any row is returned, so the message does not depend on which task fails first; the lines
+    are read once more for it. Without an ``order`` they are read once, and any invalid line may be named.
+    """
     if on_error == "raise":
-        checked = F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.col("kind"))
-        parsed = parsed.withColumn("kind", checked.cast("string"))
+        first = F.col("error") if order is None else invalid_badges(parsed).agg(F.min_by("error", F.struct(*order)).alias("first_error")).scalar()
+        checked = F.when(first.isNotNull(), F.raise_error(first).cast("string")).otherwise(F.col("kind"))
+        parsed = parsed.withColumn("kind", checked)
     return parsed.filter(F.col("kind").isin("arrow", "pipe")).drop("error")
 
 

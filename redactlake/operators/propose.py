@@ -97,7 +97,7 @@ def parse_proposals(raw: DataFrame, keys: list[str], on_error: str = "raise") ->
     """
     lines = B.badge_lines(raw, "raw", keys, drop_blank_first=True)
     parsed = B.parse_badges(lines)
-    return B.valid_badges(parsed, on_error).select(*keys, "line_no", "code", "desc", "surface")
+    return B.valid_badges(parsed, on_error, order=None).select(*keys, "line_no", "code", "desc", "surface")
 
 
 @dataclass(frozen=True)

@@ -4,6 +4,8 @@ import sys
 import pytest
 from pyspark.sql import SparkSession
 
+from helpers import nested
+
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -31,16 +33,3 @@ def depot(spark):
     from redactlake.operators.inventory import from_nested
 
     return from_nested(nested(spark, [(12, "(2)(B)(a)", "gate code", "7731-QX", [(1, "7731QX"), (4, "7731 qx")])]))
-
-
-def nested(spark, items):
-    rows = [(pos, i, code, desc, surface, aliases, "global") for pos, (i, code, desc, surface, aliases) in enumerate(items)]
-    return spark.createDataFrame(
-        rows,
-        "item_pos bigint, id bigint, code string, desc string, surface string,"
-        " aliases array<struct<id:bigint,surface:string>>, scope string",
-    )
-
-
-def texts(spark, values):
-    return spark.createDataFrame(list(enumerate(values)), "doc_id bigint, text string")

@@ -44,11 +44,19 @@ def test_counts_and_errors(spark):
     bad = parse(spark, ["(2)(D) | berth | B9", "(2)(D) | berth | B10", "no badge", "(8)(D) | berth | x"])
     assert B.first_error(bad, ["line_no"]).endswith("no badge") and "line 3" in B.first_error(bad, ["line_no"])
     assert "line 3" in B.validation_counts(bad, ["src"]).first()["first_error"]
-    with pytest.raises(PySparkException, match="no badge"):
+    with pytest.raises(PySparkException, match="line 3.*no badge"):
         B.valid_badges(bad).collect()
     assert B.valid_badges(bad, "skip").count() == 2
 
 
+def test_the_first_bad_line_is_named_however_the_lines_are_dealt(spark):
+    lines = ["(2)(D) | berth | B9"] * 40 + ["broken 41"] + ["(2)(D) | berth | B9"] * 60 + [f"broken {i}" for i in range(102, 140)]
+    parsed = parse(spark, lines).repartition(16)
+    for rows in (parsed, parsed.orderBy(F.col("line_no").desc())):
+        with pytest.raises(PySparkException, match="line 41:.*broken 41"):
+            B.valid_badges(rows).collect()
+
+
 def test_line_splitting(spark):
     samples = ["", "a", "a\n", "a\r\nb\rc", "a\n\nb\n\n", "x\x0by\x85z w ", "\n"]
     df = spark.createDataFrame([(i, s) for i, s in enumerate(samples)], "i int, s string")

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.errors import PySparkException
 
-from conftest import nested
+from helpers import nested
 from redactlake.operators import inventory as I
 from redactlake.operators.numbering import number_rows
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from conftest import texts
+from helpers import texts
 from redactlake.functions import tags, text as T
 from redactlake.operators import matching as M
 from redactlake.operators import redact as R

@@ -1,6 +1,6 @@
 import pytest
 
-from conftest import nested, texts
+from helpers import nested, texts
 from redactlake.operators import audit as A
 from redactlake.operators import redact as R
 from redactlake.operators import restore as S
