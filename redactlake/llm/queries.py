@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ensure_checkpoint_dir
 from ..sources.tables import spread
-from . import bpe, chat, decontaminate, hmm, html_text, jaccard, langid, quality, toxicity, warc
+from . import bpe, chat, decontaminate, hmm, html_text, jaccard, langid, quality, token_counts, toxicity, warc
 from .shipping import ship
 from .vocabularies import BYTE_BPE, vocabulary_path
 
@@ -163,3 +163,10 @@ def op3_html_text(spark, sf):
     pages = spread(_table(spark, sf, "pages").select("page_id", "url", "html"), "page_id")
     texts = html_text.extract(pages, html_text.train(pages, "page_id", "html"))
     return texts.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query
+def op13_token_counts(spark, sf):
+    """How many tokens every text has, and whether those are more than 512."""
+    counted = token_counts.count_tokens(_documents(spark, sf), vocabulary_path(BYTE_BPE))
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
