@@ -32,3 +32,32 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hi
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+ORACLES["op12_phrases"] = rf"""
+WITH pieces AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang
+), counts AS (
+  SELECT lang, k, array_to_string(w[s : s + k - 1], ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM pieces, (VALUES (1), (2), (3), (4)) AS v(k) WHERE len(w) >= k)
+  GROUP BY ALL HAVING count(*) >= 30
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, j, f.a AS l, g.a AS r, (2000000::HUGEINT * c.a) // (f.a + g.a) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j, string_split(phrase, ' ') AS w FROM counts WHERE k > 1) c
+  JOIN counts f ON f.lang = c.lang AND f.k = j AND f.phrase = array_to_string(c.w[1 : j], ' ')
+  JOIN counts g ON g.lang = c.lang AND g.k = c.k - j AND g.phrase = array_to_string(c.w[j + 1 : c.k], ' ')
+), lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), inside AS (
+  SELECT lang, array_to_string(w[s : s + m - 1], ' ') AS phrase, max(a) AS above
+  FROM (SELECT lang, a, k, w, m, unnest(range(1, k - m + 2)) AS s
+        FROM (SELECT *, string_split(phrase, ' ') AS w FROM counts WHERE k > 2), (VALUES (2), (3)) AS v(m) WHERE m < k)
+  GROUP BY ALL
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, score
+  FROM lowest LEFT JOIN inside USING (lang, phrase) WHERE above IS NULL OR 100::HUGEINT * above < 80::HUGEINT * a
+)
+SELECT lang, rank::BIGINT AS rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ensure_checkpoint_dir
 from ..sources.tables import spread
-from . import bpe, chat, decontaminate, hmm, html_text, jaccard, langid, quality, token_counts, toxicity, warc
+from . import bpe, chat, decontaminate, hmm, html_text, jaccard, langid, phrases, quality, token_counts, toxicity, warc
 from .shipping import ship
 from .vocabularies import BYTE_BPE, vocabulary_path
 
@@ -170,3 +170,9 @@ def op13_token_counts(spark, sf):
     """How many tokens every text has, and whether those are more than 512."""
     counted = token_counts.count_tokens(_documents(spark, sf), vocabulary_path(BYTE_BPE))
     return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
+@query
+def op12_phrases(spark, sf):
+    """The best phrases of two to four words of every language."""
+    return phrases.mine(spread(_table(spark, sf, "documents").select("text", "lang")), scratch(spark))
