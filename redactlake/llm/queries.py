@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import ensure_checkpoint_dir
 from ..sources.tables import spread
-from . import bpe, chat, decontaminate, hmm, html_text, jaccard, langid, phrases, quality, token_counts, toxicity, warc
+from . import bpe, chat, conversation_repair, decontaminate, hmm, html_text, jaccard, langid, phrases, quality, token_counts, toxicity, warc
 from .shipping import ship
 from .vocabularies import BYTE_BPE, vocabulary_path
 
@@ -176,3 +176,11 @@ def op13_token_counts(spark, sf):
 def op12_phrases(spark, sf):
     """The best phrases of two to four words of every language."""
     return phrases.mine(spread(_table(spark, sf, "documents").select("text", "lang")), scratch(spark))
+
+
+@query
+def op11_conversation_repair(spark, sf):
+    """Damaged conversations, what is wrong with them, and the cheapest edits that give them a proper form."""
+    conversations = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    edits = conversation_repair.repair(conversation_repair.damage(conversations), scratch(spark))
+    return conversation_repair.report(edits, conversations)
