@@ -18,7 +18,7 @@ import sys
 
 import numpy as np
 import pyarrow as pa
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import functions as F
 
 # Executors need no installed copy of this module.
@@ -274,26 +274,146 @@ def make_leftmost_longest(element_type: str):
     return F.arrow_udf(leftmost_longest, element_type)
 
 
-def make_greedy_scan(group: list[str], out: list[str]):
-    """Batches sorted by (group, _start, longest first) -> the greedily kept rows.
+def _spans_of(batch, keys: list[str], start: str, end: str):
+    """(key, start, end) of the rows, keys as tuples."""
+    columns = [batch.column(batch.schema.names.index(c)).to_pylist() for c in (*keys, start, end)]
+    return zip(zip(*columns[:-2]) if keys else ((),) * batch.num_rows, columns[-2], columns[-1])
 
-    Only the last group and where its last kept span ends are carried from batch to batch.
+
+def make_span_summary(keys: list[str], start: str, end: str):
+    """One row per partition of spans sorted by (keys, start, longest first).
+
+    It gives the partition's first key and where that begins, its last key, whether those are one run, how far
+    the last run's spans reach, and where the greedy choice over that run ends if nothing is carried into it.
+    """
+
+    def summary(batches):
+        part = TaskContext.get().partitionId()
+        types, first, key = None, None, None
+        reach = last = one = None
+        for batch in batches:
+            types = types or [batch.schema.field(c).type for c in (*keys, start, end)]
+            for k, s, e in _spans_of(batch, keys, start, end):
+                if first is None:
+                    first, one = (k, s), True
+                if k != key or reach is None:
+                    one = reach is None
+                    key, reach, last = k, e, e
+                else:
+                    reach = max(reach, e)
+                    if s >= last:
+                        last = e
+        if first is not None:
+            row = [part, *first[0], *key, first[1], one, reach, last]
+            kinds = [pa.int32(), *types[:-2], *types[:-2], types[-2], pa.bool_(), types[-1], types[-1]]
+            names = ["part", *[f"f{i}" for i in range(len(keys))], *[f"l{i}" for i in range(len(keys))]]
+            names += ["first_start", "one_run", "reach", "fresh"]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, kinds, strict=True)], names)
+
+    return summary
+
+
+def make_carry_table(keys: list[str], start: str, end: str, reaches):
+    """(part, upto, fresh) of the partitions in ``reaches``: where the choice over the first run ends, by what is carried in.
+
+    A choice carried in up to ``upto`` (and beyond the row before) ends at ``fresh``; one beyond the last row passes through.
+    ``reaches`` is a broadcast of how far spans of earlier partitions reach into the run; rows beyond it need no entry.
+    """
+
+    def carry_table(batches):
+        part = TaskContext.get().partitionId()
+        if part not in reaches.value:
+            return
+        first, starts, ends = None, [], []
+        for batch in batches:
+            for k, s, e in _spans_of(batch, keys, start, end):
+                first = (k,) if first is None else first
+                if k != first[0]:
+                    break
+                starts.append(s)
+                ends.append(e)
+            else:
+                continue
+            break
+        if not starts:
+            return
+        starts, ends = np.array(starts, np.int64), np.array(ends, np.int64)
+        n = len(starts)
+        follows = np.maximum(np.searchsorted(starts, ends, "left"), np.arange(1, n + 1)).tolist()
+        final = ends.tolist()
+        for i in range(n - 1, -1, -1):
+            if follows[i] < n:
+                final[i] = final[follows[i]]
+        final = np.array(final)
+        # Equal starts: the first row of them is entered. Neighbouring entries that end alike are one.
+        entry = np.flatnonzero(np.concatenate(([True], starts[1:] != starts[:-1])))
+        entry = entry[np.concatenate(([True], starts[entry[:-1]] < reaches.value[part]))]
+        same = np.concatenate((final[entry[1:]] == final[entry[:-1]], [False]))
+        entry = entry[~same]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(entry), part, np.int32)), pa.array(starts[entry]), pa.array(final[entry])],
+            ["part", "upto", "fresh"],
+        )
+
+    return carry_table
+
+
+def make_carry_walk(runs):
+    """(part, carried) of the partitions a choice is carried into, from their carry tables in order of (part, upto).
+
+    ``runs`` is a broadcast of the summaries, in order: (part, continues, first_start, one_run, reach, fresh).
+    """
+
+    def carry_walk(batches):
+        entries = (
+            (part, upto, fresh)
+            for batch in batches
+            for part, upto, fresh in zip(*(batch.column(i).to_pylist() for i in range(3)))
+        )
+        entry = next(entries, None)
+        found, out = [], None
+        for part, continues, first_start, one_run, _, fresh in runs.value:
+            carried = out if continues else None
+            if carried is not None:
+                found.append((part, carried))
+            out = fresh
+            if one_run and carried is not None and carried > first_start:
+                out = carried
+                while entry is not None and entry[0] <= part:
+                    if entry[0] == part and entry[1] >= carried:
+                        out = entry[2]
+                        break
+                    entry = next(entries, None)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([p for p, _ in found], pa.int32()), pa.array([c for _, c in found], pa.int64())], ["part", "carried"]
+        )
+
+    return carry_walk
+
+
+def make_greedy_scan(keys: list[str], start: str, end: str, carried):
+    """Batches sorted by (keys, start, longest first) -> the greedily kept rows.
+
+    ``carried`` is a broadcast of where the choice of earlier partitions ends, for the first key of a partition.
+    Only the current key and where its last kept span ends go from batch to batch.
     """
 
     def scan(batches):
-        current, last = None, None
+        last, current = carried.value.get(TaskContext.get().partitionId()), None
         for batch in batches:
-            names = batch.schema.names
-            columns = [batch.column(names.index(c)).to_pylist() for c in (*group, "_start", "_end")]
             keep = []
-            for *key, start, end in zip(*columns):
-                take = key != current or start >= last
+            for k, s, e in _spans_of(batch, keys, start, end):
+                if current is None:
+                    take = last is None or s >= last
+                    current = k
+                elif k != current:
+                    take, current = True, k
+                else:
+                    take = last is None or s >= last
                 if take:
-                    current, last = key, end
+                    last = e
                 keep.append(take)
-            kept = batch.filter(pa.array(keep, pa.bool_()))
-            first = len(names) - len(out)
-            yield pa.RecordBatch.from_arrays(kept.columns[first:], names=out)
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
     return scan
 

@@ -18,6 +18,7 @@ from ..operators import redact as R
 from ..operators import restore as S
 from ..operators.numbering import number_rows
 from ..operators.segments import mask_documents, segment_documents
+from ..operators.spans import select_spans as select_spans_of
 from ..runtime import ensure_checkpoint_dir, materialize
 from ..sources import corpus, store
 from ..sources.tables import read_documents, read_table, spread
@@ -325,14 +326,14 @@ def match_markdown(spark, sf):
 @query
 def select_spans(spark, sf):
     spans = _derived(spark, sf, "spans")
-    return M.select_spans(spans, ["doc_id"], "start", "stop").select("doc_id", "start", "stop")
+    return select_spans_of(spans, ["doc_id"], "start", "stop").select("doc_id", "start", "stop")
 
 
 @query
 def select_spans_null_key(spark, sf):
     """The spans of supplier 1 without a key."""
     spans = _derived(spark, sf, "spans").withColumn("doc_id", F.expr("nullif(doc_id, 1)"))
-    return M.select_spans(spans, ["doc_id"], "start", "stop").select("doc_id", "start", "stop")
+    return select_spans_of(spans, ["doc_id"], "start", "stop").select("doc_id", "start", "stop")
 
 
 @query

@@ -124,12 +124,6 @@ def test_keys_that_are_null_or_named_like_match_columns(spark):
     assert results[0] == results[1] and [r[2] for r in results[0]].count(1) == 2
 
 
-def test_select_spans_with_null_keys(spark):
-    rows = [(None, 1, 5), (None, 3, 9), (None, 6, 7), (2, 1, 2)]
-    got = M.select_spans(spark.createDataFrame(rows, "k int, s long, e long"), ["k"], "s", "e").collect()
-    assert {tuple(r) for r in got} == {(None, 1, 5), (None, 6, 7), (2, 1, 2)}
-
-
 def test_a_span_without_tag_fails(spark):
     df = spark.createDataFrame([("abc", [(0, 1, None)])], "text string, s array<struct<start:int,end:int,tag:string>>")
     with pytest.raises(Exception, match="no tag"):
@@ -166,28 +160,6 @@ def test_mask_keeps_length(spark):
         assert r["m"] == brute.TAG.sub(lambda m: T.MASK * len(m.group()), r["text"])
 
 
-def test_select_spans(spark):
-    rnd = random.Random(11)
-    rows = []
-    for d in range(40):
-        for _ in range(rnd.randrange(60)):
-            s = rnd.choice([rnd.randrange(50), 65530 + rnd.randrange(20), rnd.randrange(300000)])
-            rows.append((d, s, s + rnd.choice([1, 2, 5, 30, 90000])))
-    rows = sorted(set(rows))
-    df = spark.createDataFrame([(d, s, e, f"{s}-{e}") for d, s, e in rows], "d int, s long, e long, note string")
-    got = {(r["d"], r["s"], r["e"]) for r in M.select_spans(df, ["d"], "s", "e").collect()}
-    want = set()
-    for d in range(40):
-        want |= {(d, s, e) for s, e in brute.greedy([(s, e) for k, s, e in rows if k == d])}
-    assert got == want
-
-
-def test_long_island(spark):
-    """Greedy choice stays linear when every span overlaps the next."""
-    df = spark.range(200000).select(F.lit(1).alias("d"), F.col("id").alias("s"), (F.col("id") + 2).alias("e"))
-    assert M.select_spans(df, ["d"], "s", "e").count() == 100000
-
-
 def test_small_inventory_needs_no_shuffle(spark):
     matcher = M.prepare_matcher(patterns(spark, ["x", "yy"]))
     df = R.redact_documents(texts(spark, ["x"]), matcher, ["doc_id"])
