@@ -170,12 +170,9 @@ def scan(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return rows.mapInArrow(run, f"{_BLOCK}, id bigint, lang string, word string, n bigint")
 
 
-# --- from R(k - 1) to R(k) and the counts of k + 1 ------------------------------------------
+# --- from R(k - 1) to R(k), and the counts of k + 1 -----------------------------------------
 
-_PAIRS = pa.schema(
-    [("block", pa.int64()), ("places", pa.binary()), ("ids", pa.binary())]
-    + [("id", pa.int64()), ("left", pa.int64()), ("right", pa.int64()), ("n", pa.int64())]
-)
+_RELATION = pa.schema([("block", pa.int64()), ("places", pa.binary()), ("ids", pa.binary())])
 
 
 def merge_join(places: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,10 +181,13 @@ def merge_join(places: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndar
     return places[at], ids[at], ids[at + 1]
 
 
+def _stored(block: pa.RecordBatch | pa.Table, row: int) -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.frombuffer(block.column(c)[row].as_buffer(), t) for c, t in (("places", "<i4"), ("ids", "<u8")))
+
+
 def _relation(block: pa.RecordBatch | pa.Table, row: int, words: bool) -> tuple[np.ndarray, np.ndarray]:
     """The occurrences a block row stands for: its words, or the phrases made of neighbours in it."""
-    places = np.frombuffer(block.column("places")[row].as_buffer(), "<i4")
-    ids = np.frombuffer(block.column("ids")[row].as_buffer(), "<u8")
+    places, ids = _stored(block, row)
     if words:
         return places, ids
     places, left, right = merge_join(places, ids)
@@ -201,51 +201,26 @@ def _members(ids: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return frequent[np.minimum(np.searchsorted(frequent, ids), len(frequent) - 1)] == ids
 
 
-def _counted_pairs(places: np.ndarray, ids: np.ndarray):
-    """(id, n, left, right) of the distinct neighbours."""
-    _, left, right = merge_join(places, ids)
-    distinct, first, n = np.unique(pair_ids(left, right), return_index=True, return_counts=True)
-    return distinct, n, pa.array(_signed(left[first])), pa.array(_signed(right[first]))
-
-
-def _extended(block: int, places: np.ndarray, ids: np.ndarray, keep: bool, held: _Combined):
-    """The block of R(k), if it is needed again; its neighbours are counted."""
-    if keep and len(ids):
-        yield _block_rows(_PAIRS, block, places, ids)
-    held.add(*_counted_pairs(places, ids))
-
-
-def _pair_rows(held: _Combined, always: bool):
-    for ids, left, right, n in held.rows(always):
-        yield _batch(_PAIRS, id=ids, left=left, right=right, n=n)
-
-
-def extend(blocks: DataFrame, frequent: DataFrame, words: bool, keep: bool, max_sent: int = MAX_SENT) -> DataFrame:
-    """R(k) as block rows, if ``keep``, and rows of counts of longer phrases (id, left, right, n).
-
-    ``blocks`` hold R1 (``words``) or R(k - 1); ``frequent`` has the ids of the frequent phrases of length k.
-    """
-    schema = f"{_BLOCK}, id bigint, left bigint, right bigint, n bigint"
+def extend(blocks: DataFrame, frequent: DataFrame, words: bool, max_sent: int = MAX_SENT) -> DataFrame:
+    """R(k) as block rows, from R1 (``words``) or R(k - 1) and the ids of the ``frequent`` phrases of length k."""
     blocks = blocks.select("block", "places", "ids")
     if frequent.count() > max_sent:
-        return _extend_by_shuffle(blocks, frequent, words, keep, schema)
+        return _extend_by_shuffle(blocks, frequent, words)
     ids = frequent.select("id").toArrow().column("id").to_numpy().view(np.uint64)
     shared = blocks.sparkSession.sparkContext.broadcast(np.sort(ids))
 
     def run(batches):
-        held = _Combined([pa.int64(), pa.int64()])
         for batch in batches:
             for row in range(batch.num_rows):
                 places, ids = _relation(batch, row, words)
                 stay = _members(ids, shared.value)
-                yield from _extended(batch.column("block")[row].as_py(), places[stay], ids[stay], keep, held)
-                yield from _pair_rows(held, False)
-        yield from _pair_rows(held, True)
+                if stay.any():
+                    yield _block_rows(_RELATION, batch.column("block")[row].as_py(), places[stay], ids[stay])
 
-    return blocks.mapInArrow(run, schema)
+    return blocks.mapInArrow(run, _BLOCK)
 
 
-def _extend_by_shuffle(blocks: DataFrame, frequent: DataFrame, words: bool, keep: bool, schema: str) -> DataFrame:
+def _extend_by_shuffle(blocks: DataFrame, frequent: DataFrame, words: bool) -> DataFrame:
     def distinct_ids(batches):
         for batch in batches:
             for row in range(batch.num_rows):
@@ -254,18 +229,36 @@ def _extend_by_shuffle(blocks: DataFrame, frequent: DataFrame, words: bool, keep
                 yield pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(_signed(ids))], ["block", "id"])
 
     def run(key, block, found):
-        held = _Combined([pa.int64(), pa.int64()])
-        out = []
-        if block.num_rows:
-            places, ids = _relation(block, 0, words)
-            stay = _members(ids, np.sort(found.column("id").to_numpy().view(np.uint64)))
-            out.extend(_extended(key[0].as_py(), places[stay], ids[stay], keep, held))
-        out.extend(_pair_rows(held, True))
-        return pa.Table.from_batches(out, _PAIRS)
+        if not block.num_rows or not found.num_rows:
+            return _RELATION.empty_table()
+        places, ids = _relation(block, 0, words)
+        stay = _members(ids, np.sort(found.column("id").to_numpy().view(np.uint64)))
+        return pa.Table.from_batches([_block_rows(_RELATION, key[0].as_py(), places[stay], ids[stay])])
 
     have = blocks.mapInArrow(distinct_ids, "block bigint, id bigint")
     kept = have.join(frequent.select("id"), "id", "left_semi")
-    return blocks.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(run, schema)
+    return blocks.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(run, _BLOCK)
+
+
+def pair_counts(blocks: DataFrame) -> DataFrame:
+    """(left, right, n) of the neighbours in R(k), combined in each task."""
+
+    def run(batches):
+        held = _Combined([pa.int64(), pa.int64()])
+
+        def counted(always=False):
+            for _, left, right, n in held.rows(always):
+                yield pa.RecordBatch.from_arrays([left, right, n], ["left", "right", "n"])
+
+        for batch in batches:
+            for row in range(batch.num_rows):
+                _, left, right = merge_join(*_stored(batch, row))
+                distinct, first, n = np.unique(pair_ids(left, right), return_index=True, return_counts=True)
+                held.add(distinct, n, pa.array(_signed(left[first])), pa.array(_signed(right[first])))
+                yield from counted()
+        yield from counted(always=True)
+
+    return blocks.mapInArrow(run, "left bigint, right bigint, n bigint")
 
 
 # --- the tables of frequent phrases, and the result ---------------------------------------------
@@ -280,13 +273,19 @@ def frequent_words(rows: DataFrame, min_count: int) -> DataFrame:
     )
 
 
-def frequent_phrases(rows: DataFrame, shorter: DataFrame, min_count: int) -> DataFrame:
-    """G(k) from the counts and G(k - 1).
+def frequent_phrases(pairs: DataFrame, shorter: DataFrame, min_count: int) -> DataFrame:
+    """G(k) from the counts of pairs in R(k - 1) and G(k - 1).
 
     ``heads`` has the counts of the phrase's first 1, 2, ... words, ``tails`` those of its last ones.
     """
-    counts = rows.filter("id is not null").groupBy("id", "left", "right").agg(F.sum("n").alias("a"))
-    counts = counts.filter(F.col("a") >= min_count)
+
+    def with_ids(batches):
+        for batch in batches:
+            left, right = (batch.column(c).to_numpy().view(np.uint64) for c in ("left", "right"))
+            yield K.added(batch, id=pa.array(_signed(pair_ids(left, right))))
+
+    counts = pairs.groupBy("left", "right").agg(F.sum("n").alias("a")).filter(F.col("a") >= min_count)
+    counts = counts.mapInArrow(with_ids, "left bigint, right bigint, a bigint, id bigint")
     first = shorter.select(F.col("id").alias("left"), "lang", "phrase", "heads")
     rest = shorter.select(F.col("id").alias("right"), "last", "tails")
     return (
@@ -352,11 +351,10 @@ def mine(
     scanned = _write(scan(docs, text, lang), f"{folder}/words")
     totals = scanned.filter("id is not null").groupBy("lang").agg(F.sum("n").alias("words"))
     tables = [_write(frequent_words(scanned, min_count), f"{folder}/frequent-1")]
-    blocks = scanned
+    blocks = scanned.filter("block is not null")
     for k in range(1, longest):
-        more = extend(blocks.filter("block is not null"), tables[-1], k == 1, k < longest - 1, max_sent)
-        blocks = _write(more, f"{folder}/relation-{k}")
-        tables.append(_write(frequent_phrases(blocks, tables[-1], min_count), f"{folder}/frequent-{k + 1}"))
+        blocks = _write(extend(blocks, tables[-1], k == 1, max_sent), f"{folder}/relation-{k}")
+        tables.append(_write(frequent_phrases(pair_counts(blocks), tables[-1], min_count), f"{folder}/frequent-{k + 1}"))
     scored = None
     for k in range(2, longest + 1):
         found = tables[k - 1] if k == longest else not_inside(tables[k - 1], tables[k], inside_percent)
