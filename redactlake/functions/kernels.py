@@ -31,6 +31,8 @@ MATCH_TYPE = (
     "code:string,desc:string,variant:string,alias_id:bigint>>"
 )
 CANDIDATE_TYPE = "array<struct<start:int,end:int,surface:string>>"
+SEGMENT_TYPE = "array<struct<seg_no:int,seg_start:int,chunk:string,redactable:boolean>>"
+PLACE_TYPE = "array<struct<seg_no:int,seg_start:int>>"
 
 
 def _u64(x: int) -> np.uint64:
@@ -418,6 +420,103 @@ def make_greedy_scan(keys: list[str], start: str, end: str, carried):
     return scan
 
 
+def _fences(data: np.ndarray, bounds: np.ndarray):
+    """(begin, end) of the fenced ranges in the bytes of all rows, ascending.
+
+    A range begins at a line that starts with three backticks and ends with the next line that is nothing else.
+    """
+    none = np.zeros(0, np.int64)
+    if len(data) < 6:
+        return none, none
+    tick = data == 0x60
+    at = np.flatnonzero(tick[:-2] & tick[1:-1] & tick[2:])
+    row = np.searchsorted(bounds, at, side="right") - 1
+    opens = (at == bounds[row]) | (data[at - 1] == 10)
+    opens &= at + 3 <= bounds[row + 1]
+    at, row = at[opens], row[opens]
+    if len(at) < 2:
+        return none, none
+    behind = at + 3
+    closes = (behind == bounds[row + 1]) | (data[np.minimum(behind, len(data) - 1)] == 10)
+    # The next closing line of the same row, for every line that may open.
+    place = np.arange(len(at))
+    upto = np.minimum.accumulate(np.where(closes, place, len(at))[::-1])[::-1]
+    later = np.append(upto[1:], len(at))
+    inside = later < len(at)
+    inside[inside] = row[later[inside]] == row[inside]
+    begin, end = [], []
+    i, later, inside, rows = 0, later.tolist(), inside.tolist(), np.searchsorted(row, row, side="right").tolist()
+    while i < len(later):
+        if inside[i]:
+            begin.append(i)
+            end.append(later[i])
+            i = later[i] + 1
+        else:  # nor can any later line of this row
+            i = rows[i]
+    return at[begin], at[end] + 3
+
+
+def _cuts(data: np.ndarray, bounds: np.ndarray):
+    """Segments of all rows: first byte, row, number in the row, first character in the row, whether fenced."""
+    begin, end = _fences(data, bounds)
+    starts = np.unique(np.concatenate([bounds[:-1][np.diff(bounds) > 0], begin, end]))
+    starts = starts[starts < len(data)].astype(np.int64)
+    row = np.searchsorted(bounds, starts, side="right") - 1
+    first = np.searchsorted(row, row)
+    chars = np.zeros(len(starts) + 1, np.int64)
+    if len(starts):
+        np.cumsum(np.add.reduceat((data & 0xC0) != 0x80, starts, dtype=np.int64), out=chars[1:])
+    fenced = np.zeros(len(starts), bool)
+    fenced[np.searchsorted(starts, begin)] = True
+    return starts, row, np.arange(len(starts)) - first, chars[:-1] - chars[first], fenced
+
+
+def make_segmenter():
+    """text -> its segments, cut at fences; a null text has a null list. The chunks share the batch's bytes."""
+
+    def segment(arr: pa.Array) -> pa.Array:
+        data, bounds = _utf8(arr)
+        starts, row, number, first_char, fenced = _cuts(data, bounds)
+        wide = len(data) > np.iinfo(np.int32).max
+        offsets = np.append(starts, len(data)).astype(np.int64 if wide else np.int32)
+        kind = pa.large_string() if wide else pa.string()
+        chunks = pa.Array.from_buffers(kind, len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+        found = _as_lists(
+            len(arr),
+            row,
+            {
+                "seg_no": pa.array(number, pa.int32()),
+                "seg_start": pa.array(first_char, pa.int32()),
+                "chunk": chunks,
+                "redactable": pa.array(~fenced),
+            },
+        )
+        if not arr.null_count:
+            return found
+        return pa.ListArray.from_arrays(found.offsets, found.values, mask=arr.is_null())
+
+    return F.arrow_udf(segment, SEGMENT_TYPE)
+
+
+def make_locator():
+    """(text, ascending character positions) -> the segment each lies in."""
+
+    def locate(arr: pa.Array, positions: pa.Array) -> pa.Array:
+        data, bounds = _utf8(arr)
+        _, row, number, first_char, _ = _cuts(data, bounds)
+        counts = positions.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        place = positions.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        own = np.repeat(np.arange(len(arr)), counts)
+        # Rows and characters as one ascending number.
+        width = int(max(place.max(initial=0), first_char.max(initial=0))) + 1
+        at = np.searchsorted(row * width + first_char, own * width + place, side="right") - 1
+        return _as_lists(
+            len(arr), own, {"seg_no": pa.array(number[at], pa.int32()), "seg_start": pa.array(first_char[at], pa.int32())}
+        )
+
+    return F.arrow_udf(locate, PLACE_TYPE)
+
+
 def make_lookup(state):
     """array of (item_id, alias_id) keys -> array of surfaces from a small inventory.
 

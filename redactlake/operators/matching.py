@@ -176,20 +176,13 @@ def match_all(
     """
     found = with_matches(docs, matcher, keys, text, select=select)
     ids = {k: f"_k{i}" for i, k in enumerate(keys)}
-    whole = F.array(F.struct(F.lit(0).alias("seg_no"), F.lit(0).alias("seg_start")))
-    cuts = F.transform(
-        tags.segments(text), lambda s: F.struct(s["seg_no"].alias("seg_no"), s["seg_start"].alias("seg_start"))
-    )
-    fenced = F.contains(F.col(text), F.lit("```"))
+    starts = F.transform("matches", lambda m: m["start"])
+    locate = kernels.make_locator().asNondeterministic()
     return (
         found.filter(F.size("matches") > 0)
-        .select(
-            *[F.col(f"`{k}`").alias(i) for k, i in ids.items()],
-            "matches",
-            F.when(fenced, cuts).otherwise(whole).alias("_cuts"),
-        )
-        .select(*ids.values(), "_cuts", F.inline("matches"))
-        .withColumn("_seg", F.element_at(F.filter("_cuts", lambda s: s["seg_start"] <= F.col("start")), -1))
+        .select(*[F.col(f"`{k}`").alias(i) for k, i in ids.items()], "matches", locate(F.col(f"`{text}`"), starts).alias("_places"))
+        .select(*ids.values(), F.inline(F.zip_with("matches", "_places", lambda m, p: F.struct(m.alias("_match"), p.alias("_seg")))))
+        .select(*ids.values(), "_seg", "_match.*")
         .select(
             *[F.col(i).alias(k) for k, i in ids.items()],
             *[

@@ -10,7 +10,8 @@ from ..functions import tags
 
 def segment_documents(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, seg_no, seg_start, chunk, redactable); the chunks of a document joined give its text."""
-    return docs.select(*keys, F.inline_outer(tags.segments(text))).filter(F.col("seg_no").isNotNull())
+    cut = docs.select(*[F.col(tags.quoted(k)) for k in keys], tags.segments(text).alias("_segments"))
+    return cut.select(*[F.col(tags.quoted(k)) for k in keys], F.inline_outer("_segments")).filter(F.col("seg_no").isNotNull())
 
 
 def mask_documents(docs: DataFrame, text: str = "text", name: str = "masked") -> DataFrame:

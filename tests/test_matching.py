@@ -130,25 +130,6 @@ def test_a_span_without_tag_fails(spark):
         tags.splice(df, "text", "s", "out").collect()
 
 
-def test_segments(spark):
-    fence = brute.FENCE
-    cases = [
-        "tide table",
-        f"high\n{fence}csv\n06:10,3.2\n{fence}\nlow",
-        f"high\n{fence}\nto the end",
-        f"high\n{fence}\n06:10\n{fence}\t\nstill open",
-        f"{fence}`\n06:10\n{fence}\n{fence}\n{fence}\nlow",
-        f"{fence}\n{fence}",
-        f" {fence}\nindented\n{fence}",
-        "",
-    ]
-    df = texts(spark, cases).select("doc_id", tags.segments("text").alias("s"))
-    for r in df.collect():
-        got = [(s["seg_start"], s["chunk"], s["redactable"]) for s in r["s"]]
-        assert got == list(brute.chunks(cases[r["doc_id"]]))
-        assert [s["seg_no"] for s in r["s"]] == list(range(len(got)))
-
-
 def test_mask_keeps_length(spark):
     cases = [
         "at [REDACTED(#40|var=a2): (4)(B), call sign], then [REDACTED(#41|var=c):\nberth,\nold]",
