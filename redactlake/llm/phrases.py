@@ -39,7 +39,9 @@ NO_LANGUAGE = "und"
 #: Frequent groups sent to every task; more are joined by shuffle.
 MAX_SENT = 1 << 21
 #: Groups that a task holds before it passes their counts on.
-HELD_GROUPS = 1 << 19
+HELD_GROUPS = 1 << 17
+#: Bytes of text whose words make a block; a longer text makes one by itself.
+BLOCK_BYTES = 1 << 20
 #: Parts of each language ranked apart before their best are ranked together.
 RANKED_PARTS = 64
 _BLOCK = "block bigint, places binary, ids binary"
@@ -150,7 +152,7 @@ def scan(docs: DataFrame, text: str, lang: str) -> DataFrame:
                 yield _batch(_WORDS, id=ids, lang=langs, word=words, n=n)
 
         for batch in batches:
-            for piece in K.slices(batch, "x"):
+            for piece in K.slices(batch, "x", BLOCK_BYTES):
                 coded = piece.column(0).dictionary_encode()
                 names = coded.dictionary.cast(pa.string())
                 spelled = K.texts_of(names)
