@@ -8,11 +8,13 @@ also pass the length filter, the positional filter (what can still follow the sh
 suffix filter (how many hashes of each range the two sets can share); each surviving pair is verified
 once on the whole sets.
 
-Within one shared shingle not all pairs are made. Groups with few unlinked pairs are joined in full;
-in a large group one class, the pivot, is compared with all others, the links found so far join
-classes into components, and what is still in different components goes to the next round. Once the
-remaining pairs across components are few for the number of rows, or in the last of ``ROUNDS`` rounds,
-they are all compared, so no link between components can be missed.
+Within one shared shingle not all pairs are made. Groups with no more unlinked pairs than members are
+joined in full; in a larger group some classes of different components, the pivots, are compared with all
+others, the links found join classes into components, and what is still in different components goes to the
+next round, with four times the pivots. Pairs of a round are linear in the rows that remain, a group of near
+copies is linked after a round or two, and rounds end when no shingle has members in two
+components, so no link between components can be missed. The sets of all classes that share a prefix shingle
+are stored once; of a pair, sizes and range counts are compared before the sets are brought together.
 
 Documents with fewer words than a shingle are one shingle of all their words; null, empty and blank
 texts have no shingle and are linked with nothing. Repeated rows and null ids keep rows of their own;
@@ -38,9 +40,8 @@ CHUNK_BITS = 14
 #: Prefix shingles joined together.
 RANGE_ROWS = 500_000
 FLUSH_ROWS = 250_000
-ROUNDS = 3
-#: From the second round on, all unlinked pairs are compared at once if they are at most so many a row.
-PAIRS_PER_ROW = 100
+#: Pivots of a large group in the first round, and how many times more there are in each later one.
+PIVOTS, MORE_PIVOTS = 4, 4
 #: A group is joined in full while its unlinked pairs are at most this many times its members.
 FULL_FACTOR = 1
 #: Hash ranges of the suffix filter.
@@ -237,38 +238,44 @@ def _least_overlap(a: str, b: str) -> Column:
     return F.ceil(NUMERATOR * (F.col(a) + F.col(b)).cast("bigint") / F.lit(NUMERATOR + DENOMINATOR))
 
 
-def unlinked_groups(shared: DataFrame) -> DataFrame:
-    """(token, n, unlinked, pivot) of the shingles whose classes are not all of one component."""
+def group_parts(shared: DataFrame, pivots: int) -> DataFrame:
+    """(token, n, squares, first) of up to ``pivots`` parts of each shingle's components; ``first`` is a part's pivot."""
     parts = shared.groupBy("token", "component").agg(F.count("*").alias("n"), F.min("class").alias("first"))
+    part = F.pmod(F.xxhash64("component"), F.lit(pivots))
     return (
-        parts.groupBy("token")
-        .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.min("first").alias("pivot"))
-        .filter("squares < n * n")
-        .select("token", "n", ((F.col("n") * F.col("n") - F.col("squares")) / 2).alias("unlinked"), "pivot")
+        parts.groupBy("token", part.alias("part"))
+        .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.min("first").alias("first"))
+        .drop("part")
     )
 
 
-def next_candidates(shared: DataFrame, groups: DataFrame, last: bool) -> tuple[DataFrame, DataFrame]:
+def unlinked_groups(parts: DataFrame) -> DataFrame:
+    """(token, full) of the shingles whose classes are not all of one component, and whether they have few unlinked pairs."""
+    groups = parts.groupBy("token").agg(F.sum("n").alias("n"), F.sum("squares").alias("squares")).filter("squares < n * n")
+    return groups.select("token", ((F.col("n") * F.col("n") - F.col("squares")) / 2 <= FULL_FACTOR * F.col("n")).alias("full"))
+
+
+def next_candidates(shared: DataFrame, parts: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs to compare now, and the rows of large groups that remain without their pivots.
 
     ``shared`` is (token, class, size, place, component).
     """
-    full = F.lit(last) | (F.col("unlinked") <= FULL_FACTOR * F.col("n"))
-    rows = shared.join(groups.select("token", "pivot", full.alias("full")), "token")
+    pivots = parts.select("token", F.col("first").alias("class"), F.lit(True).alias("pivot"))
+    rows = shared.join(groups, "token").join(pivots, ["token", "class"], "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
     names = ["class", "size", "place", "component"]
-    left = rows.filter(F.col("full") | (F.col("class") == F.col("pivot"))).select("token", *[F.col(c).alias(f"a_{c}") for c in names])
-    right = rows.select("token", "full", *[F.col(c).alias(f"b_{c}") for c in names])
+    left = rows.filter(F.col("full") | F.col("pivot")).select("token", *[F.col(c).alias(f"a_{c}") for c in names])
+    right = rows.select("token", "full", "pivot", *[F.col(c).alias(f"b_{c}") for c in names])
     rest = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
     pairs = left.join(right, "token").filter(
         (F.col("a_component") != F.col("b_component"))
-        & (~F.col("full") | (F.col("a_class") < F.col("b_class")))
+        & ((~F.col("full") & ~F.col("pivot")) | (F.col("a_class") < F.col("b_class")))
         # The length filter.
         & (DENOMINATOR * F.least("a_size", "b_size") >= NUMERATOR * F.greatest("a_size", "b_size"))
         # The positional filter, for the case that this is the first shingle shared.
         & (rest >= _least_overlap("a_size", "b_size"))
     )
     pairs = pairs.select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b")).distinct()
-    remaining = rows.filter(~F.col("full") & (F.col("class") != F.col("pivot"))).select("token", "class", "size", "place")
+    remaining = rows.filter(~F.col("full") & ~F.col("pivot")).select("token", "class", "size", "place")
     return pairs, remaining
 
 
@@ -276,7 +283,10 @@ def next_candidates(shared: DataFrame, groups: DataFrame, last: bool) -> tuple[D
 
 
 def sets_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(class, shingles) of the wanted classes; a bitmap of fixed size keeps most others from being sent."""
+    """(class, ranges, shingles) of the wanted classes; a bitmap of fixed size keeps most others from being sent.
+
+    ``ranges`` counts a set's shingles in each of the ``SUFFIX_RANGES`` hash ranges.
+    """
 
     def mark(batches):
         bits = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -298,32 +308,44 @@ def sets_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
         sent: set[int] = set()
         for batch in batches:
             for piece in K.slices(batch, "x"):
-                classes, values = [], []
+                classes, ranges, values = [], [], []
                 for s in shingle_sets(K.texts_of(piece.column(0))):
                     if len(s) and bits[((c := class_of(s)) & 0xFFFFFFFFFFFFFFFF) >> (64 - SKETCH_BITS)] and c not in sent:
                         if len(sent) < FLUSH_ROWS:
                             sent.add(c)
                         classes.append(c)
+                        ranges.append(range_counts(s))
                         values.append(s.astype("<u8").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(values, pa.binary())], ["class", "shingles"])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(classes, pa.int64()), pa.array(ranges, pa.list_(pa.int32())), pa.array(values, pa.binary())],
+                    ["class", "ranges", "shingles"],
+                )
 
-    found = docs.select(F.col(text).alias("x")).mapInArrow(run, "class bigint, shingles binary")
+    found = docs.select(F.col(text).alias("x")).mapInArrow(run, "class bigint, ranges array<int>, shingles binary")
     return found.dropDuplicates(["class"]).join(wanted, "class", "left_semi")
 
 
-def suffix_bound(x: np.ndarray, y: np.ndarray) -> int:
-    """The most two ascending sets can share, by how many each has in every hash range."""
-    edges = np.arange(SUFFIX_RANGES + 1, dtype=np.float64) * (2.0**64 / SUFFIX_RANGES)
-    edges = edges[1:-1].astype(np.uint64)
-    nx = np.diff(np.concatenate(([0], np.searchsorted(x, edges), [len(x)])))
-    ny = np.diff(np.concatenate(([0], np.searchsorted(y, edges), [len(y)])))
-    return int(np.minimum(nx, ny).sum())
+def range_counts(shingles: np.ndarray) -> np.ndarray:
+    """How many of an ascending set lie in each hash range."""
+    edges = np.arange(1, SUFFIX_RANGES, dtype=np.uint64) * np.uint64((1 << 64) // SUFFIX_RANGES)
+    return np.diff(np.concatenate(([0], np.searchsorted(shingles, edges), [len(shingles)]))).astype(np.int32)
+
+
+def suffix_filter(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose sets can share enough, by how many shingles each has in every hash range."""
+    sides = [sets.select(F.col("class").alias(c), F.col("ranges").alias(f"{c}_ranges")) for c in ("a", "b")]
+    total = "aggregate({}, 0L, (s, x) -> s + x)"
+    both = total.format("zip_with(a_ranges, b_ranges, (x, y) -> least(x, y))")
+    sizes = f"({total.format('a_ranges')} + {total.format('b_ranges')})"
+    return (
+        pairs.join(sides[0], "a")
+        .join(sides[1], "b")
+        .filter(f"{NUMERATOR + DENOMINATOR} * {both} >= {NUMERATOR} * {sizes}")
+        .select("a", "b")
+    )
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
-    least = -(-NUMERATOR * (len(x) + len(y)) // (NUMERATOR + DENOMINATOR))
-    if suffix_bound(x, y) < least:
-        return False
     small, large = (x, y) if len(x) <= len(y) else (y, x)
     at = np.minimum(np.searchsorted(large, small), len(large) - 1)
     both = int((large[at] == small).sum())
@@ -377,6 +399,20 @@ def components(links: DataFrame, folder: str) -> DataFrame:
             return labels
 
 
+def merge_labels(labels: DataFrame | None, links: DataFrame, folder: str) -> DataFrame:
+    """``labels`` (class, component) after more links: components that a link joins become one."""
+    if labels is None:
+        return components(links, folder)
+    ends = links.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    known = ends.join(labels, "class", "left_anti").select("class", F.col("class").alias("component")).unionByName(labels)
+    known = _store(known, f"{folder}/known")
+    sides = [known.select(F.col("class").alias(c), F.col("component").alias(f"{c}_of")) for c in ("a", "b")]
+    between = links.join(sides[0], "a").join(sides[1], "b").filter("a_of != b_of")
+    between = _store(between.select(F.col("a_of").alias("a"), F.col("b_of").alias("b")).distinct(), f"{folder}/between")
+    joined = components(between, folder).select(F.col("class").alias("component"), F.col("component").alias("after"))
+    return _store(known.join(joined, "component", "left").select("class", F.coalesce("after", "component").alias("component")), f"{folder}/after")
+
+
 def group_similar(docs: DataFrame, key: str, text: str, folder: str) -> DataFrame:
     """(key, n_shingles, class, component_id) of every row. ``folder`` (shared, new) takes intermediate tables."""
     spark = docs.sparkSession
@@ -387,29 +423,26 @@ def group_similar(docs: DataFrame, key: str, text: str, folder: str) -> DataFram
     shared = _store(shared_prefixes(prefixes(docs, text, sketch_of(scanned), bits)), f"{folder}/shared")
     labels = None
     if not shared.isEmpty():
-        links, done, most = None, None, PAIRS_PER_ROW * shared.count()
-        for number in range(ROUNDS):
+        sets = _store(sets_of(docs, text, shared.select("class").distinct()), f"{folder}/sets")
+        done, number, pivots = None, 0, PIVOTS
+        while True:
             if labels is None:
                 here = shared.withColumn("component", F.col("class"))
             else:
                 here = shared.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
-            groups = _store(unlinked_groups(here), f"{folder}/groups-{number}")
-            unlinked = groups.agg(F.coalesce(F.sum("unlinked"), F.lit(0))).first()[0]
-            if not unlinked:
-                break
-            last = number == ROUNDS - 1 or (number > 0 and unlinked <= most)
-            pairs, remaining = next_candidates(here, groups, last)
-            pairs = _store(pairs, f"{folder}/pairs-{number}")
-            shared = remaining if last else _store(remaining, f"{folder}/shared-{number}")
-            new = pairs if done is None else _store(pairs.join(done, ["a", "b"], "left_anti"), f"{folder}/new-{number}")
-            wanted = new.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-            sets = _store(sets_of(docs, text, wanted), f"{folder}/sets-{number}")
-            found = _store(verify(new, sets), f"{folder}/links-{number}")
-            links = found if links is None else links.unionByName(found)
-            done = pairs if done is None else done.unionByName(pairs)
-            labels = components(links, f"{folder}/components-{number}")
-            if last:
+            parts = _store(group_parts(here, pivots), f"{folder}/parts-{number}")
+            groups = _store(unlinked_groups(parts), f"{folder}/groups-{number}")
+            if groups.isEmpty():
                 break
+            pairs, remaining = next_candidates(here, parts, groups)
+            new = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
+            new = _store(new, f"{folder}/pairs-{number}")
+            shared = _store(remaining, f"{folder}/shared-{number}")
+            found = _store(verify(suffix_filter(new, sets), sets), f"{folder}/links-{number}")
+            if not found.isEmpty():
+                labels = merge_labels(labels, found, f"{folder}/components-{number}")
+            done = new if done is None else done.unionByName(new)
+            number, pivots = number + 1, pivots * MORE_PIVOTS
     if labels is None:
         labels = spark.createDataFrame([], "class bigint, component bigint")
     joined = rows.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))

@@ -50,10 +50,11 @@ def near_copies(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("full_factor, first_bound", [(4, None), (0, 0)])
-def test_groups_against_brute_force(spark, folder, monkeypatch, full_factor, first_bound):
+@pytest.mark.parametrize("full_factor, pivots", [(4, 4), (0, 1), (0, 3)])
+def test_groups_against_brute_force(spark, folder, monkeypatch, full_factor, pivots):
     """Joined in full, and by pivots until the rounds are over."""
     monkeypatch.setattr(J, "FULL_FACTOR", full_factor)
+    monkeypatch.setattr(J, "PIVOTS", pivots)
     rows = near_copies(5) + [(None, near_copies(5)[7][1]), (3, near_copies(5)[3][1])]
     assert run(spark.createDataFrame(rows, "doc_id long, text string"), folder) == brute(rows)
 
@@ -78,5 +79,33 @@ def test_threshold_is_met_exactly(spark, folder):
     assert got == brute(rows) == [(1, 75, 1), (2, 100, 1), (3, 101, 3)]
 
 
+def test_one_group_of_many_near_copies_has_few_candidates(spark, folder):
+    """5,000 near copies of one text and 300 other texts with a line of it: candidates are linear in the rows."""
+    rng = random.Random(2)
+    base = [f"b{i}" for i in range(60)]
+    rows = []
+    for i in range(5000):
+        words = list(base)
+        words[rng.randrange(60)] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    for i in range(5000, 5300):
+        rows.append((i, " ".join(base[20:32] + [f"y{rng.randrange(90)}" for _ in range(30)])))
+    got = run(spark.createDataFrame(rows, "doc_id long, text string"), folder)
+    assert {r[2] for r in got if r[0] < 5000} == {0} and len({r[2] for r in got}) > 290
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [f.getPath().getName() for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)]
+    pairs = sum(spark.read.parquet(f"{folder}/{n}").count() for n in names if n.startswith("pairs-"))
+    assert pairs < 20 * len(rows)
+
+
+def test_ranges_bound_what_two_sets_share(spark):
+    sets = [J.shingle_sets(J.K.texts_of(J.pa.array([" ".join(f"w{j}" for j in range(a, b))])))[0] for a, b in ((0, 50), (5, 55), (40, 90))]
+    rows = [(i, J.range_counts(x).tolist()) for i, x in enumerate(sets)]
+    assert [sum(r) for _, r in rows] == [46, 46, 46]
+    df = spark.createDataFrame(rows, "class long, ranges array<int>")
+    pairs = spark.createDataFrame([(0, 1), (0, 2), (1, 2)], "a long, b long")
+    assert (0, 1) in {tuple(r) for r in J.suffix_filter(pairs, df).collect()}
+
+
 def test_empty_table(docs, folder):
     assert run(docs.filter("doc_id < -1"), folder) == []
