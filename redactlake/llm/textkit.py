@@ -8,7 +8,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -46,7 +46,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
             factors = np.full(size, base, np.uint64)
             factors[0] = 1
             out.append(np.multiply.accumulate(factors))
-        if n > 2 * SLICE_BYTES:  # one very long text: don't keep its tables
+        if n > 8 * SLICE_BYTES:  # one very long text: don't keep its tables
             return out[0], out[1]
         _powers = (out[0], out[1])
     return _powers
@@ -157,13 +157,13 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) ->
 
 
 def map_slices(
-    column: str, work: Callable[[pa.RecordBatch, Texts], Iterable[pa.RecordBatch]]
+    column: str, work: Callable[[pa.RecordBatch, Texts], Iterable[pa.RecordBatch]], max_bytes: int = SLICE_BYTES
 ) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """A ``mapInArrow`` function that hands ``work`` one slice and its texts at a time."""
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, column):
+            for part in slices(batch, column, max_bytes):
                 yield from work(part, texts_of(part.column(part.schema.get_field_index(column))))
 
     return run

@@ -35,6 +35,7 @@ BLANKS = "\t\n\x0b\x0c\r \x85\xa0               
 
 LETTER, DIGIT, BLANK, OTHER = 1, 2, 3, 4
 KNOWN_ENTRIES = 1 << 20
+SLICE_BYTES = 2 << 20
 _NONE = np.iinfo(np.int64).max
 
 
@@ -305,5 +306,5 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 512, text: str =
             batch, n_bytes=pa.array(np.diff(texts.bounds), pa.int64()), n_tokens=pa.array(load(vocabulary).count(texts), pa.int64())
         )
 
-    counted = docs.mapInArrow(K.map_slices(text, work), K.schema_with(docs, "n_bytes bigint, n_tokens bigint"))
+    counted = docs.mapInArrow(K.map_slices(text, work, SLICE_BYTES), K.schema_with(docs, "n_bytes bigint, n_tokens bigint"))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
