@@ -5,11 +5,15 @@
 partitioning, joins, grouping and text assembly stay with Spark.
 
 The screen is a k-gram pre-filter. A surface of L bytes belongs to the tier k = largest power
-of two <= L. Two fingerprints of it are set in one bitmap: of its first k bytes and of all of
+of two <= L. Two fingerprints of it are set in one filter: of its first k bytes and of all of
 its bytes. Over a text, a prefix sum of mixed bytes gives the fingerprint of any window in
 O(1), so a batch is tested with a few array operations per tier; positions that pass are
 tested again at each exact length of the tier. UTF-8 is self-synchronising, so byte equality
 is character equality.
+
+Two filters serve it. A small inventory has a bitmap with one flag per fingerprint. A large one has
+a split-block filter that grows with it: a fingerprint chooses one word of 64 bits and sets a bit
+in each of its four lanes, and the words come in slices of bounded size.
 """
 
 from __future__ import annotations
@@ -62,6 +66,27 @@ def _slot(fingerprint, length, bits: int):
     return ((fingerprint ^ key) * _u64(0xC2B2AE3D27D4EB4F)) >> np.uint64(64 - bits)
 
 
+#: A split-block filter: bits of a lane's number in a word, words per slice (16 MiB), words per fingerprint.
+LANES, LANE_BITS = 4, 16
+SLICE_WORDS = 1 << 21
+WORDS_PER_FINGERPRINT = 0.5
+
+
+def _mixed(fingerprint, length):
+    """64 mixed bits of fingerprints of one length, or of one length each; the same as behind ``_slot``."""
+    return _slot(fingerprint, length, 64)
+
+
+def _lanes(mixed: np.ndarray):
+    """The bit that each lane of the word has for these fingerprints."""
+    more = (mixed ^ (mixed >> np.uint64(31))) * _u64(0xD6E8FEB86659FD93)
+    return [(more >> np.uint64(60 - 4 * lane)) & np.uint64(LANE_BITS - 1) for lane in range(LANES)]
+
+
+def _word_of(mixed: np.ndarray, word_bits: int) -> np.ndarray:
+    return (mixed >> np.uint64(64 - word_bits)).astype(np.int64)
+
+
 def _tier(length: int) -> int:
     return 1 << (length.bit_length() - 1)
 
@@ -78,12 +103,12 @@ def _utf8(arr: pa.Array):
 
 
 def surface_slots(arr: pa.Array, bits: int):
-    """Bitmap positions of the prefix and of the whole of each (non-empty) surface."""
+    """Bitmap positions of the prefix and of the whole of each (non-empty) surface; with 64 bits, all mixed bits."""
     data, bounds = _utf8(arr)
     mixed = _mixed_bytes()
     size = np.diff(bounds)
     tier = np.int64(1) << (np.frexp(size)[1].astype(np.int64) - 1)
-    prefix, full = np.zeros(len(arr), np.int64), np.zeros(len(arr), np.int64)
+    prefix, full = np.zeros(len(arr), np.uint64), np.zeros(len(arr), np.uint64)
     row = 0
     while row < len(arr):
         stop = max(row + 1, int(np.searchsorted(bounds, bounds[row] + WINDOW, side="right")) - 1)
@@ -93,23 +118,65 @@ def surface_slots(arr: pa.Array, bits: int):
         at, n, k = bounds[row:stop] - bounds[row], size[row:stop], tier[row:stop]
         for out, length in ((prefix, k), (full, n)):
             value = (sums[at + length] - sums[at]) * down[at]
-            out[row:stop] = _slot(value, length.astype(np.uint64), bits).astype(np.int64)
+            out[row:stop] = _slot(value, length.astype(np.uint64), bits)
         row = stop
-    return prefix, full
+    return prefix.view(np.int64), full.view(np.int64)
+
+
+def filter_bits(arr: pa.Array, word_bits: int) -> np.ndarray:
+    """Numbers of the bits that each surface sets in a split-block filter, 2 * ``LANES`` per surface."""
+    out = []
+    for mixed in surface_slots(arr, 64):
+        mixed = mixed.view(np.uint64)
+        base = _word_of(mixed, word_bits) * 64
+        out += [base + LANE_BITS * lane + bit.astype(np.int64) for lane, bit in enumerate(_lanes(mixed))]
+    return np.stack(out, axis=1).ravel()
+
+
+def make_filter_bits(word_bits: int):
+    """surface -> array of bit numbers."""
+
+    def bits(arr: pa.Array) -> pa.Array:
+        offsets = np.arange(len(arr) + 1, dtype=np.int32) * (2 * LANES)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(filter_bits(arr, word_bits), pa.int64()))
 
+    return F.arrow_udf(bits, "array<bigint>")
 
-def make_slots(bits: int):
-    """surface -> struct<prefix_slot, full_slot>."""
 
-    def slots(arr: pa.Array) -> pa.Array:
-        fields = [pa.array(v, pa.int64()) for v in surface_slots(arr, bits)]
-        return pa.StructArray.from_arrays(fields, names=["prefix_slot", "full_slot"])
+def bitmap_probe(bitmap: np.ndarray, bits: int):
+    """(fingerprints, length) -> which of them have their flag set."""
+    flags = np.unpackbits(bitmap, bitorder="little").view(bool) if bits <= MAX_FLAG_BITS else None
 
-    return F.arrow_udf(slots, "struct<prefix_slot:bigint,full_slot:bigint>")
+    def probe(fingerprint: np.ndarray, length: int) -> np.ndarray:
+        at = _slot(fingerprint, length, bits).view(np.int64)
+        if flags is not None:
+            return flags.take(at)
+        return ((bitmap.take(at >> 3) >> (at & 7).astype(np.uint8)) & np.uint8(1)).view(bool)
+
+    return probe
+
+
+def block_probe(words: np.ndarray):
+    """(fingerprints, length) -> which of them have their bits in all lanes of their word."""
+    word_bits = len(words).bit_length() - 1
+
+    def probe(fingerprint: np.ndarray, length: int) -> np.ndarray:
+        mixed = _mixed(fingerprint, length)
+        found = words.take(_word_of(mixed, word_bits))
+        hit = np.ones(len(mixed), bool)
+        left = np.arange(len(mixed))
+        for lane, bit in enumerate(_lanes(mixed)):
+            # Few pass the first lanes, so the later ones are asked of those only.
+            here = ((found[left] >> (bit[left] + np.uint64(LANE_BITS * lane))) & np.uint64(1)).astype(bool)
+            hit[left[~here]] = False
+            left = left[here]
+        return hit
 
+    return probe
 
-def _survivors(data: np.ndarray, bounds: np.ndarray, bitmap: np.ndarray, bits: int, lengths, cache: dict):
-    """(position, length) byte windows of ``data`` that pass the bitmap and stay inside one row."""
+
+def _survivors(data: np.ndarray, bounds: np.ndarray, member, lengths, cache: dict):
+    """(position, length) byte windows of ``data`` that pass the filter and stay inside one row."""
     longest = max(lengths)
     width = max(WINDOW, 2 * longest)
     if "up" not in cache:
@@ -119,16 +186,6 @@ def _survivors(data: np.ndarray, bounds: np.ndarray, bitmap: np.ndarray, bits: i
     tiers: dict[int, list[int]] = {}
     for n in sorted(lengths):
         tiers.setdefault(_tier(n), []).append(n)
-    if bits <= MAX_FLAG_BITS and "flags" not in cache:
-        cache["flags"] = np.unpackbits(bitmap, bitorder="little").view(bool)
-    flags = cache.get("flags")
-
-    def member(slot):
-        at = slot.view(np.int64)
-        if flags is not None:
-            return flags.take(at)
-        return ((bitmap.take(at >> 3) >> (at & 7).astype(np.uint8)) & np.uint8(1)).view(bool)
-
     found_at, found_len = [], []
     for base in range(0, len(data), width):
         part = data[base : base + width + longest]
@@ -141,14 +198,14 @@ def _survivors(data: np.ndarray, bounds: np.ndarray, bitmap: np.ndarray, bits: i
             if n <= 0:
                 continue
             window = (sums[k : k + n] - sums[:n]) * down[:n]
-            at = np.flatnonzero(member(_slot(window, k, bits)))
+            at = np.flatnonzero(member(window, k))
             if not len(at):
                 continue
             room = bounds[np.searchsorted(bounds, at + base, side="right")] - base - at
             for length in exact:
                 ok = at[room >= length]
                 value = (sums[ok + length] - sums[ok]) * down[ok]
-                ok = ok[member(_slot(value, length, bits))] + base
+                ok = ok[member(value, length)] + base
                 found_at.append(ok)
                 found_len.append(np.full(len(ok), length, np.int64))
     at = np.concatenate(found_at) if found_at else np.zeros(0, np.int64)
@@ -186,18 +243,19 @@ def _as_lists(n_rows: int, row: np.ndarray, fields: dict[str, pa.Array]) -> pa.A
     return pa.ListArray.from_arrays(pa.array(offsets), structs)
 
 
-def make_screen(state):
+def make_screen(lengths: list[int], slices: list):
     """text -> array<struct<start, end, surface>>: windows that may be surfaces (no misses).
 
-    ``state`` is a broadcast of a bitmap whose size does not depend on the inventory.
+    ``slices`` are broadcasts of the words of a split-block filter, in order.
     """
     cache: dict = {}
 
     def screen(arr: pa.Array) -> pa.Array:
-        s = state.value
+        if "probe" not in cache:
+            words = [np.frombuffer(s.value, np.uint64) for s in slices]
+            cache["probe"] = block_probe(np.concatenate(words) if len(words) > 1 else words[0])
         data, bounds = _utf8(arr)
-        bitmap = np.frombuffer(s["bitmap"], np.uint8)
-        at, size = _survivors(data, bounds, bitmap, s["bits"], s["lengths"], cache)
+        at, size = _survivors(data, bounds, cache["probe"], lengths, cache)
         row, start, end = _char_offsets(data, bounds, at, size)
         raw = data.tobytes() if len(at) else b""
         words = [raw[a : a + n] for a, n in zip(at.tolist(), size.tolist())]
@@ -229,8 +287,9 @@ def make_matcher(state):
             s["words"] = {w.encode(): i for i, w in enumerate(s["table"].column("surface").to_pylist())}
         table, words = s["table"], s["words"]
         data, bounds = _utf8(arr)
-        bitmap = np.frombuffer(s["bitmap"], np.uint8)
-        at, size = _survivors(data, bounds, bitmap, s["bits"], s["lengths"], cache)
+        if "probe" not in cache:
+            cache["probe"] = bitmap_probe(np.frombuffer(s["bitmap"], np.uint8), s["bits"])
+        at, size = _survivors(data, bounds, cache["probe"], s["lengths"], cache)
         raw = data.tobytes() if len(at) else b""
         which = np.array(
             [words.get(raw[a : a + n], -1) for a, n in zip(at.tolist(), size.tolist())], np.int64

@@ -4,15 +4,18 @@ Two physical forms, chosen by the measured size of the pattern set:
 
 * up to ``max_broadcast_bytes`` the patterns are broadcast and each document is matched where
   it lies: one map-only pass, no shuffle;
-* beyond it only a bitmap of bounded size is broadcast. It screens the texts down to windows
-  that almost surely are surfaces; those few rows are stored and joined to the patterns, and each
-  document's list is joined back to its text, which is read twice and moved once.
+* beyond it only a split-block filter is broadcast, in slices. It grows with the inventory up to a stated
+  bound and screens the texts down to windows that almost surely are surfaces. Documents with such a
+  window are stored and numbered, their windows are joined to the patterns and the lists of matches
+  back to the stored documents. All others stay where they lie: texts are read twice, and only those with
+  a hit move.
 
 Both give the same array column, ordered by (start, longest first).
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,10 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels, tags
-from ..runtime import materialize, null_safe
+from ..runtime import materialize
 
 MAX_BROADCAST_BYTES = 64 << 20
-MIN_BITS, MAX_BITS = 16, 27  # the bitmap takes 8 KiB to 16 MiB
+MIN_BITS, MAX_BITS = 16, 27  # the bitmap of a small inventory takes 8 KiB to 16 MiB
+MIN_WORD_BITS, MAX_WORD_BITS = 9, 23  # the filter of a large one takes 4 KiB to 64 MiB, in slices of 16 MiB
 ROW_OVERHEAD = 64
 NONCHARACTER = "[" + "".join(tags.NONCHARACTERS) + "]"
 PATTERN_COLUMNS = ["surface", "item_id", "code", "desc", "variant", "alias_id"]
@@ -36,6 +40,7 @@ class Matcher:
 
     patterns: DataFrame
     state: object | None
+    """In place, a broadcast of the bitmap and the patterns; else (lengths, broadcast slices of the filter)."""
     in_place: bool
     fill: str = tags.NONCHARACTERS[0]
 
@@ -45,7 +50,7 @@ class Matcher:
 
 
 def prepare_matcher(
-    patterns: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_BYTES, max_bits: int = MAX_BITS
+    patterns: DataFrame, max_broadcast_bytes: int = MAX_BROADCAST_BYTES, max_word_bits: int = MAX_WORD_BITS
 ) -> Matcher:
     """Measure ``patterns`` and build what the executors need."""
     patterns = patterns.select(*PATTERN_COLUMNS)
@@ -60,23 +65,19 @@ def prepare_matcher(
         ).first()
         if size["n"] == 0:
             return Matcher(patterns, None, True)
-        bits = min(max_bits, max(MIN_BITS, int(32 * size["n"]).bit_length()))
-        in_place = size["bytes"] <= max_broadcast_bytes
-        state = {"bits": bits, "lengths": sorted(size["lengths"])}
-        if in_place:
-            table = kept.toArrow().combine_chunks()
-            surfaces = table.column("surface").combine_chunks()
-            flags = np.zeros(1 << bits, np.uint8)
-            for slots in kernels.surface_slots(surfaces, bits):
-                flags[slots] = 1
-            bitmap = np.packbits(flags, bitorder="little")
-            state["patterns"] = ipc_bytes(table)
-        else:
-            bitmap = _bitmap(kept, bits)
-        state["bitmap"] = bitmap.tobytes()
+        lengths = sorted(size["lengths"])
         fill = _unused_fill(kept) if size["odd"] else tags.NONCHARACTERS[0]
-        shared = patterns.sparkSession.sparkContext.broadcast(state)
-        return Matcher(patterns, shared, in_place, fill)
+        if size["bytes"] > max_broadcast_bytes:
+            return Matcher(patterns, (lengths, _filter_slices(kept, size["n"], max_word_bits)), False, fill)
+        bits = min(MAX_BITS, max(MIN_BITS, int(32 * size["n"]).bit_length()))
+        table = kept.toArrow().combine_chunks()
+        surfaces = table.column("surface").combine_chunks()
+        flags = np.zeros(1 << bits, np.uint8)
+        for slots in kernels.surface_slots(surfaces, bits):
+            flags[slots] = 1
+        state = {"bits": bits, "lengths": lengths, "patterns": ipc_bytes(table)}
+        state["bitmap"] = np.packbits(flags, bitorder="little").tobytes()
+        return Matcher(patterns, patterns.sparkSession.sparkContext.broadcast(state), True, fill)
     finally:
         kept.unpersist()
 
@@ -98,21 +99,24 @@ def ipc_bytes(table: pa.Table) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _bitmap(patterns: DataFrame, bits: int) -> np.ndarray:
-    """OR the fingerprints together on the executors; at most 2**bits / 32768 rows of 4 KiB return."""
-    slotted = patterns.select(kernels.make_slots(bits)(F.col("surface")).alias("_s"))
-    slot = slotted.select(F.explode(F.array(F.col("_s.prefix_slot") + 1, F.col("_s.full_slot") + 1)).alias("slot"))
-    rows = (
-        slot.groupBy(F.bitmap_bucket_number("slot").alias("bucket"))
-        .agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits"))
-        .collect()
+def _filter_slices(patterns: DataFrame, n: int, max_word_bits: int) -> list:
+    """The words of the filter, ORed together on the executors; the driver holds one slice at a time."""
+    wanted = 2 * n * kernels.WORDS_PER_FINGERPRINT
+    word_bits = min(max_word_bits, max(MIN_WORD_BITS, math.ceil(math.log2(wanted))))
+    bit = patterns.select(F.explode(kernels.make_filter_bits(word_bits)(F.col("surface"))).alias("bit")).select((F.col("bit") + 1).alias("bit"))
+    pages = materialize(
+        bit.groupBy((F.bitmap_bucket_number("bit") - 1).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
     )
-    page = 4096
-    out = np.zeros(max((1 << bits) // 8, page), np.uint8)
-    for row in rows:
-        at = (row["bucket"] - 1) * page
-        out[at : at + page] = np.frombuffer(bytes(row["bits"]), np.uint8)
-    return out
+    page_bytes = 4096
+    per_slice = min(1 << word_bits, kernels.SLICE_WORDS) * 8 // page_bytes
+    slices = []
+    for first in range(0, (1 << word_bits) * 8 // page_bytes, per_slice):
+        out = np.zeros(per_slice * page_bytes, np.uint8)
+        for row in pages.filter(F.col("page").between(first, first + per_slice - 1)).collect():
+            at = (row["page"] - first) * page_bytes
+            out[at : at + page_bytes] = np.frombuffer(bytes(row["bits"]), np.uint8)
+        slices.append(patterns.sparkSession.sparkContext.broadcast(out.tobytes()))
+    return slices
 
 
 def with_matches(
@@ -125,8 +129,8 @@ def with_matches(
 ) -> DataFrame:
     """Add the array of all matches of each document, or with ``select`` of the leftmost-longest ones.
 
-    ``keys`` say which matches belong to which document. Filter documents before, not after: the match is marked
-    so that filters stay above it, which keeps it from being evaluated twice per row.
+    Filter documents before, not after: the match is marked so that filters stay above it, which keeps it from
+    being evaluated twice per row. With a large inventory ``docs`` are read twice and must be the same both times.
     """
     none = F.array().cast(kernels.MATCH_TYPE)
     if matcher.is_empty:
@@ -135,7 +139,7 @@ def with_matches(
     if matcher.in_place:
         match = kernels.make_matcher(matcher.state).asNondeterministic()
         return docs.withColumn(name, _selection()(match(seen)) if select else match(seen))
-    found = _match_by_join(docs, matcher, keys, seen, name)
+    found = _match_by_join(docs, matcher, seen, name)
     return found.withColumn(name, _selection()(F.col(name))) if select else found
 
 
@@ -143,27 +147,25 @@ def _selection():
     return kernels.make_leftmost_longest(kernels.MATCH_TYPE).asNondeterministic()
 
 
-def _match_by_join(docs: DataFrame, matcher: Matcher, keys: list[str], seen: Column, name: str) -> DataFrame:
-    """The screen's candidates are stored, joined to the patterns, and their lists joined back to the texts.
+def _match_by_join(docs: DataFrame, matcher: Matcher, seen: Column, name: str) -> DataFrame:
+    """Documents the screen passes are stored with a number, which their matches are joined back by.
 
-    Documents are told apart by keys and content, nulls being equal; keys get names of their own
-    meanwhile, so they may be called like pattern columns. Hot surfaces are left to adaptive
-    skew handling.
+    Whether it passes depends on the text alone, so the second reading takes exactly the others. Hot surfaces
+    are left to adaptive skew handling.
     """
-    cols = docs.columns
-    ids = [f"_k{i}" for i in range(len(keys) + 1)]
-    own = [*[F.col(f"`{k}`") for k in keys], F.xxhash64(seen)]
-    screen = kernels.make_screen(matcher.state).asNondeterministic()
-    screened = docs.select(*[c.alias(i) for c, i in zip(own, ids, strict=True)], screen(seen).alias("_candidates"))
-    candidates = materialize(screened.select(*ids, F.inline("_candidates")))
-    real = candidates.join(matcher.patterns, "surface")
+    cols = [F.col(tags.quoted(c)) for c in docs.columns]
+    screen = kernels.make_screen(*matcher.state).asNondeterministic()
+    screened = docs.withColumn("_candidates", screen(seen))
+    none = F.array().cast(kernels.MATCH_TYPE)
+    missed = screened.filter(F.size("_candidates") == 0).select(*cols, none.alias(name))
+    passed = screened.filter(F.size("_candidates") > 0).withColumn("_row", F.monotonically_increasing_id())
+    passed = materialize(passed)
+    real = passed.select("_row", F.inline("_candidates")).join(matcher.patterns, "surface")
     fields = ["start", "end", *PATTERN_COLUMNS]
     order = F.struct("start", (-F.col("end")).alias("neg_end"), F.struct(*fields).alias("m"))
-    lists = real.groupBy(*ids).agg(F.transform(F.array_sort(F.collect_set(order)), lambda r: r["m"]).alias("_matches"))
-    joined = docs.join(lists, null_safe(own, [lists[i] for i in ids]), "left")
-    none = F.array().cast(kernels.MATCH_TYPE)
+    lists = real.groupBy("_row").agg(F.transform(F.array_sort(F.collect_set(order)), lambda r: r["m"]).alias("_matches"))
     found = F.coalesce(F.col("_matches").cast(kernels.MATCH_TYPE), none)
-    return joined.select(*[docs[f"`{c}`"] for c in cols], found.alias(name))
+    return passed.join(lists, "_row", "left").select(*cols, found.alias(name)).unionByName(missed)
 
 
 def match_all(

@@ -1,11 +1,13 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import brute
 from helpers import texts
-from redactlake.functions import tags, text as T
+from redactlake.functions import kernels, tags, text as T
 from redactlake.operators import matching as M
 from redactlake.operators import redact as R
 
@@ -84,19 +86,67 @@ def test_null_text(spark):
         assert (row["redacted"], row["n_matches"]) == (None, 0)
 
 
-def test_crowded_bitmap_still_exact(spark):
-    """A bitmap far too small for the inventory lets false candidates through, never wrong results."""
+def test_crowded_filter_still_exact(spark):
+    """A filter far too small for the inventory lets false candidates through, never wrong results."""
     rnd = random.Random(3)
     surfaces = sorted({"".join(rnd.choice("abcd") for _ in range(rnd.randrange(3, 9))) for _ in range(3000)})
     docs = ["".join(rnd.choice("abcde") for _ in range(200)) for _ in range(20)]
     df = texts(spark, docs)
     want = {i: brute.redact(d, tag_of(surfaces)) for i, d in enumerate(docs)}
     for bound in (1 << 20, 0):
-        matcher = M.prepare_matcher(patterns(spark, surfaces), bound, max_bits=16)
+        matcher = M.prepare_matcher(patterns(spark, surfaces), bound, max_word_bits=M.MIN_WORD_BITS)
         got = R.redact_documents(df, matcher, ["doc_id"]).collect()
         assert {r["doc_id"]: (r["redacted"], r["n_matches"]) for r in got} == want
 
 
+def made_words(rng, n):
+    """``n`` random words of 8 to 24 letters (so that hardly any is met by chance), as an Arrow array."""
+    size = rng.integers(8, 25, n)
+    bounds = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    letters = rng.integers(97, 123, int(bounds[-1]), dtype=np.uint8)
+    return pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(bounds), pa.py_buffer(letters)])
+
+
+def test_false_candidates_of_five_million_surfaces_are_few():
+    """The filter takes 64 MiB, and of a text's windows one in a thousand at most passes without being a surface."""
+    rng = np.random.default_rng(4)
+    words = np.zeros(1 << M.MAX_WORD_BITS, np.uint64)
+    for _ in range(10):
+        last = made_words(rng, 500_000)
+        bit = kernels.filter_bits(last, M.MAX_WORD_BITS)
+        np.bitwise_or.at(words, bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64))
+    text = " ".join(made_words(rng, 60_000).to_pylist())
+    known = last.slice(0, 500).to_pylist()
+    data = np.frombuffer((text + " " + " ".join(known)).encode(), np.uint8)
+    at, size = kernels._survivors(data, np.array([0, len(data)]), kernels.block_probe(words), range(8, 25), {})
+    found = {data[a : a + n].tobytes().decode() for a, n in zip(at.tolist(), size.tolist())}
+    assert set(known) <= found
+    assert len(at) - len(known) < len(data) / 1000
+
+
+def test_the_filter_built_by_tasks_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(kernels, "SLICE_WORDS", 512)
+    surfaces = [f"surface number {i} é" for i in range(2000)]
+    slices = M._filter_slices(patterns(spark, surfaces).repartition(5), len(surfaces), M.MAX_WORD_BITS)
+    words = np.concatenate([np.frombuffer(s.value, np.uint64) for s in slices])
+    assert len(slices) == 4 and len(words) == 2048
+    expected = np.zeros(2048, np.uint64)
+    bit = kernels.filter_bits(pa.array(surfaces), 11)
+    np.bitwise_or.at(expected, bit >> 6, np.uint64(1) << (bit & 63).astype(np.uint64))
+    assert (words == expected).all()
+
+
+def test_only_documents_with_a_candidate_are_stored_and_joined(spark, monkeypatch):
+    stored = []
+    keep = M.materialize
+    monkeypatch.setattr(M, "materialize", lambda df: stored.append(keep(df)) or stored[-1])
+    docs = texts(spark, ["nothing here"] * 500 + ["a hot one", "hot hot"])
+    matcher = M.prepare_matcher(patterns(spark, ["hot"]), 0)
+    got = R.redact_documents(docs, matcher, ["doc_id"])
+    assert [r["n_matches"] for r in got.filter("n_matches > 0").orderBy("n_matches").collect()] == [1, 2]
+    assert got.count() == 502 and stored[-1].count() < 10
+
+
 def test_hot_surface_join(spark):
     docs = ["hot " * 500, *["cold hot"] * 50]
     check(spark, docs, ["hot", "cold"], 0)
