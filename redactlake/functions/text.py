@@ -5,8 +5,9 @@ from __future__ import annotations
 import sys
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # --- fixed values: formats that must stay as they are for results to agree ---
 CODE = r"\([1-4]\)\([A-EX]\)(?:\([a-ex]\))?"
@@ -76,3 +77,8 @@ def number(sql: str) -> str:
     """SQL: digits of any script to a long; null when it does not fit one."""
     source, target = _decimal_digits()
     return f"try_cast(translate({sql}, '{source}', '{target}') AS bigint)"
+
+
+def schema_with(df: DataFrame, name: str, kind: str) -> StructType:
+    """The schema of ``df`` and one column more."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(f"{name} {kind}").fields])
