@@ -9,12 +9,13 @@ suffix filter (how many hashes of each range the two sets can share); each survi
 once on the whole sets.
 
 Within one shared shingle not all pairs are made. Groups with no more unlinked pairs than members are
-joined in full; in a larger group some classes of different components, the pivots, are compared with all
-others, the links found join classes into components, and what is still in different components goes to the
-next round, with four times the pivots. Pairs of a round are linear in the rows that remain, a group of near
-copies is linked after a round or two, and rounds end when no shingle has members in two
-components, so no link between components can be missed. The sets of all classes that share a prefix shingle
-are stored once; of a pair, sizes and range counts are compared before the sets are brought together.
+joined in full; in a larger group some classes, the pivots, are compared with all others, the links found
+join classes into components, and what is still in different components goes to the next round, with four
+times the pivots. Pivots are chosen by a hash of the class, so groups with the same members have the same ones. Pairs of a
+round are linear in the rows that remain, a group of near copies is linked after a round or two, and
+rounds end when no shingle has members in two components, so no link between components can be missed. The
+suffix filter compares the range counts of two sets before any set is brought together; the sets a round needs
+are taken from the texts and kept for later rounds.
 
 Documents with fewer words than a shingle are one shingle of all their words; null, empty and blank
 texts have no shingle and are linked with nothing. Repeated rows and null ids keep rows of their own;
@@ -40,8 +41,8 @@ CHUNK_BITS = 14
 #: Prefix shingles joined together.
 RANGE_ROWS = 500_000
 FLUSH_ROWS = 250_000
-#: Pivots of a large group in the first round, and how many times more there are in each later one.
-PIVOTS, MORE_PIVOTS = 4, 4
+#: Expected pivots of a large group in the first round, and how many times more there are in each later one.
+PIVOTS, MORE_PIVOTS = 2, 4
 #: A group is joined in full while its unlinked pairs are at most this many times its members.
 FULL_FACTOR = 1
 #: Hash ranges of the suffix filter.
@@ -88,7 +89,10 @@ def _chunk_rows(sketch: np.ndarray):
 
 
 def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_shingles, class) rows, class null if there is none, and sketch rows (chunk, part, counts)."""
+    """(key, n_shingles, class, ranges) rows, class null if there is none, and sketch rows (chunk, part, counts).
+
+    ``ranges`` counts the shingles in each of the ``SUFFIX_RANGES`` hash ranges.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -107,11 +111,12 @@ def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
                         piece.column(0),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
+                        pa.array([range_counts(s) for s in sets], pa.list_(pa.int32())),
                         pa.nulls(n, pa.int32()),
                         pa.nulls(n, pa.int32()),
                         pa.nulls(n, pa.binary()),
                     ],
-                    ["key", "n_shingles", "class", "chunk", "part", "counts"],
+                    ["key", "n_shingles", "class", "ranges", "chunk", "part", "counts"],
                 )
         rows = list(_chunk_rows(sketch))
         if rows:
@@ -120,13 +125,14 @@ def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
                     pa.nulls(len(rows), kind_of),
                     pa.nulls(len(rows), pa.int64()),
                     pa.nulls(len(rows), pa.int64()),
+                    pa.nulls(len(rows), pa.list_(pa.int32())),
                     *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))),
                 ],
-                ["key", "n_shingles", "class", "chunk", "part", "counts"],
+                ["key", "n_shingles", "class", "ranges", "chunk", "part", "counts"],
             )
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("x"))
-    return rows.mapInArrow(run, f"key {kind}, n_shingles bigint, class bigint, chunk int, part int, counts binary")
+    return rows.mapInArrow(run, f"key {kind}, n_shingles bigint, class bigint, ranges array<int>, chunk int, part int, counts binary")
 
 
 def _sum_chunks(table: pa.Table) -> pa.Table:
@@ -210,7 +216,7 @@ def prefixes(docs: DataFrame, text: str, sketch: np.ndarray, bits: int) -> DataF
 
 
 def shared_prefixes(packed: DataFrame) -> DataFrame:
-    """(token, class, size, place) of the prefix shingles that several classes have."""
+    """(token, class, size, place, n) of the prefix shingles that ``n`` > 1 classes have."""
 
     def keep(table: pa.Table) -> pa.Table:
         token, cls, size, place = (
@@ -221,13 +227,14 @@ def shared_prefixes(packed: DataFrame) -> DataFrame:
         token, cls, size, place = token[order], cls[order], size[order], place[order]
         once = np.concatenate(([True], (token[1:] != token[:-1]) | (cls[1:] != cls[:-1])))
         token, cls, size, place = token[once], cls[once], size[once], place[once]
-        same = token[1:] == token[:-1]
-        many = np.concatenate((same, [False])) | np.concatenate(([False], same))
+        heads = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        n = np.repeat(sizes := np.diff(np.append(heads, len(token))), sizes)
+        many = n > 1
         return pa.table(
-            {"token": token[many].astype(np.int64), "class": cls[many], "size": size[many], "place": place[many]}
+            {"token": token[many].astype(np.int64), "class": cls[many], "size": size[many], "place": place[many], "n": n[many]}
         )
 
-    return packed.groupBy("range").applyInArrow(keep, "token bigint, class bigint, size int, place int")
+    return packed.groupBy("range").applyInArrow(keep, "token bigint, class bigint, size int, place int, n bigint")
 
 
 # --- candidates --------------------------------------------------------------------------------
@@ -238,30 +245,27 @@ def _least_overlap(a: str, b: str) -> Column:
     return F.ceil(NUMERATOR * (F.col(a) + F.col(b)).cast("bigint") / F.lit(NUMERATOR + DENOMINATOR))
 
 
-def group_parts(shared: DataFrame, pivots: int) -> DataFrame:
-    """(token, n, squares, first) of up to ``pivots`` parts of each shingle's components; ``first`` is a part's pivot."""
-    parts = shared.groupBy("token", "component").agg(F.count("*").alias("n"), F.min("class").alias("first"))
-    part = F.pmod(F.xxhash64("component"), F.lit(pivots))
-    return (
-        parts.groupBy("token", part.alias("part"))
-        .agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("squares"), F.min("first").alias("first"))
-        .drop("part")
-    )
-
+def in_groups(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(token, class, size, place, component, n, full): the rows of groups that are not all of one component.
 
-def unlinked_groups(parts: DataFrame) -> DataFrame:
-    """(token, full) of the shingles whose classes are not all of one component, and whether they have few unlinked pairs."""
-    groups = parts.groupBy("token").agg(F.sum("n").alias("n"), F.sum("squares").alias("squares")).filter("squares < n * n")
-    return groups.select("token", ((F.col("n") * F.col("n") - F.col("squares")) / 2 <= FULL_FACTOR * F.col("n")).alias("full"))
+    A group with no more unlinked pairs than ``FULL_FACTOR`` times its members is ``full``.
+    """
+    n = F.col("n")
+    if labels is None:  # every class is a component, and its groups have been counted
+        return shared.withColumn("component", F.col("class")).withColumn("full", n * (n - 1) / 2 <= FULL_FACTOR * n)
+    here = shared.drop("n").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    parts = here.groupBy("token", "component").agg(F.count("*").alias("n"))
+    groups = parts.groupBy("token").agg(F.sum("n").alias("n"), F.sum(n * n).alias("squares")).filter("squares < n * n")
+    return here.join(groups.select("token", "n", ((n * n - F.col("squares")) / 2 <= FULL_FACTOR * n).alias("full")), "token")
 
 
-def next_candidates(shared: DataFrame, parts: DataFrame, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+def next_candidates(rows: DataFrame, number: int, pivots: int) -> tuple[DataFrame, DataFrame]:
     """Pairs to compare now, and the rows of large groups that remain without their pivots.
 
-    ``shared`` is (token, class, size, place, component).
+    ``rows`` are those of ``in_groups``; about ``pivots`` of a large group are its pivots, all of a small one.
     """
-    pivots = parts.select("token", F.col("first").alias("class"), F.lit(True).alias("pivot"))
-    rows = shared.join(groups, "token").join(pivots, ["token", "class"], "left").withColumn("pivot", F.coalesce("pivot", F.lit(False)))
+    chance = F.pmod(F.xxhash64("class", F.lit(number)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = rows.withColumn("pivot", chance < pivots / F.col("n"))
     names = ["class", "size", "place", "component"]
     left = rows.filter(F.col("full") | F.col("pivot")).select("token", *[F.col(c).alias(f"a_{c}") for c in names])
     right = rows.select("token", "full", "pivot", *[F.col(c).alias(f"b_{c}") for c in names])
@@ -275,7 +279,7 @@ def next_candidates(shared: DataFrame, parts: DataFrame, groups: DataFrame) -> t
         & (rest >= _least_overlap("a_size", "b_size"))
     )
     pairs = pairs.select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b")).distinct()
-    remaining = rows.filter(~F.col("full") & ~F.col("pivot")).select("token", "class", "size", "place")
+    remaining = rows.filter(~F.col("full") & ~F.col("pivot")).select("token", "class", "size", "place", "n")
     return pairs, remaining
 
 
@@ -283,10 +287,7 @@ def next_candidates(shared: DataFrame, parts: DataFrame, groups: DataFrame) -> t
 
 
 def sets_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
-    """(class, ranges, shingles) of the wanted classes; a bitmap of fixed size keeps most others from being sent.
-
-    ``ranges`` counts a set's shingles in each of the ``SUFFIX_RANGES`` hash ranges.
-    """
+    """(class, shingles) of the wanted classes; a bitmap of fixed size keeps most others from being sent."""
 
     def mark(batches):
         bits = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -308,20 +309,16 @@ def sets_of(docs: DataFrame, text: str, wanted: DataFrame) -> DataFrame:
         sent: set[int] = set()
         for batch in batches:
             for piece in K.slices(batch, "x"):
-                classes, ranges, values = [], [], []
+                classes, values = [], []
                 for s in shingle_sets(K.texts_of(piece.column(0))):
                     if len(s) and bits[((c := class_of(s)) & 0xFFFFFFFFFFFFFFFF) >> (64 - SKETCH_BITS)] and c not in sent:
                         if len(sent) < FLUSH_ROWS:
                             sent.add(c)
                         classes.append(c)
-                        ranges.append(range_counts(s))
                         values.append(s.astype("<u8").tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(classes, pa.int64()), pa.array(ranges, pa.list_(pa.int32())), pa.array(values, pa.binary())],
-                    ["class", "ranges", "shingles"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(classes, pa.int64()), pa.array(values, pa.binary())], ["class", "shingles"])
 
-    found = docs.select(F.col(text).alias("x")).mapInArrow(run, "class bigint, ranges array<int>, shingles binary")
+    found = docs.select(F.col(text).alias("x")).mapInArrow(run, "class bigint, shingles binary")
     return found.dropDuplicates(["class"]).join(wanted, "class", "left_semi")
 
 
@@ -331,9 +328,9 @@ def range_counts(shingles: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate(([0], np.searchsorted(shingles, edges), [len(shingles)]))).astype(np.int32)
 
 
-def suffix_filter(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def suffix_filter(pairs: DataFrame, ranges: DataFrame) -> DataFrame:
     """The pairs whose sets can share enough, by how many shingles each has in every hash range."""
-    sides = [sets.select(F.col("class").alias(c), F.col("ranges").alias(f"{c}_ranges")) for c in ("a", "b")]
+    sides = [ranges.select(F.col("class").alias(c), F.col("ranges").alias(f"{c}_ranges")) for c in ("a", "b")]
     total = "aggregate({}, 0L, (s, x) -> s + x)"
     both = total.format("zip_with(a_ranges, b_ranges, (x, y) -> least(x, y))")
     sizes = f"({total.format('a_ranges')} + {total.format('b_ranges')})"
@@ -423,24 +420,32 @@ def group_similar(docs: DataFrame, key: str, text: str, folder: str) -> DataFram
     shared = _store(shared_prefixes(prefixes(docs, text, sketch_of(scanned), bits)), f"{folder}/shared")
     labels = None
     if not shared.isEmpty():
-        sets = _store(sets_of(docs, text, shared.select("class").distinct()), f"{folder}/sets")
-        done, number, pivots = None, 0, PIVOTS
+        ranges = scanned.filter("class is not null").select("class", "ranges").dropDuplicates(["class"])
+        ranges = _store(ranges.join(shared.select("class").distinct(), "class", "left_semi"), f"{folder}/ranges")
+        done = sets = None
+        number, pivots = 0, PIVOTS
         while True:
-            if labels is None:
-                here = shared.withColumn("component", F.col("class"))
-            else:
-                here = shared.join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
-            parts = _store(group_parts(here, pivots), f"{folder}/parts-{number}")
-            groups = _store(unlinked_groups(parts), f"{folder}/groups-{number}")
-            if groups.isEmpty():
-                break
-            pairs, remaining = next_candidates(here, parts, groups)
+            rows_now = in_groups(shared, labels)
+            if number:
+                rows_now = _store(rows_now, f"{folder}/groups-{number}")
+                if rows_now.isEmpty():
+                    break
+            pairs, remaining = next_candidates(rows_now, number, pivots)
             new = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
             new = _store(new, f"{folder}/pairs-{number}")
             shared = _store(remaining, f"{folder}/shared-{number}")
-            found = _store(verify(suffix_filter(new, sets), sets), f"{folder}/links-{number}")
+            likely = _store(suffix_filter(new, ranges), f"{folder}/likely-{number}")
+            wanted = likely.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+            if sets is not None:
+                wanted = _store(wanted.join(sets.select("class"), "class", "left_anti"), f"{folder}/wanted-{number}")
+            if sets is None or not wanted.isEmpty():
+                more = _store(sets_of(docs, text, wanted), f"{folder}/sets-{number}")
+                sets = more if sets is None else sets.unionByName(more)
+            found = _store(verify(likely, sets), f"{folder}/links-{number}")
             if not found.isEmpty():
                 labels = merge_labels(labels, found, f"{folder}/components-{number}")
+            elif labels is None:
+                labels = spark.createDataFrame([], "class bigint, component bigint")
             done = new if done is None else done.unionByName(new)
             number, pivots = number + 1, pivots * MORE_PIVOTS
     if labels is None:
