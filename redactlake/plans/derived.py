@@ -107,10 +107,6 @@ DERIVED: dict[str, str] = {
         FROM {{orders}}""",
     "spans": """
         SELECT DISTINCT l_suppkey AS doc_id, l_orderkey AS start, l_orderkey + cast(l_quantity as bigint) AS stop FROM {lineitem}""",
-    "words": """
-        SELECT min(conv_id * 1000 + turn) AS item_pos, word FROM (
-          SELECT conv_id, turn, regexp_extract(text, '[A-Za-z]{{6,}}', 0) AS word FROM {conversations}) w
-        WHERE word <> '' GROUP BY word""",
     "hosts": """
         SELECT min(page_id) AS item_pos, host FROM (
           SELECT page_id, regexp_extract(url, '://([^/]+)', 1) AS host FROM {pages}) w

@@ -301,10 +301,15 @@ def restored(texts: str, owners: str, aliases: str) -> str:
 
 _ROWS = "doc_id, ds AS doc_start, s AS start, e AS \"end\", seg_no, item_id, variant, alias_id, surface"
 _CUSTOMER_PATTERNS = f"patterns AS ({_customer})"
-_words = f"""(SELECT item_pos, item_pos + 1 AS id, '(1)(A)(b)' AS code, 'word' AS descr, word AS surface FROM {d("words")} w)"""
-_word_alts = f"""(SELECT item_pos, cast(0 AS BIGINT) AS alias_pos, cast(1 AS BIGINT) AS alias_id, lower(word) AS surface FROM {d("words")} w)"""
+_LONG_WORDS = """(SELECT row_number() OVER (ORDER BY conv_id, turn, place) AS item_pos, word FROM (
+    SELECT * FROM (
+      SELECT conv_id, turn, unnest(range(1, len(words) + 1)) AS place, unnest(words) AS word
+      FROM (SELECT conv_id, turn, regexp_extract_all(text, '[A-Za-z]{6,}') AS words FROM conversations) t) u
+    QUALIFY row_number() OVER (PARTITION BY word ORDER BY conv_id, turn, place) = 1) p)"""
+_words = f"""(SELECT item_pos, item_pos + 1 AS id, '(1)(A)(b)' AS code, 'word' AS descr, word AS surface FROM {_LONG_WORDS} w)"""
+_word_alts = f"""(SELECT item_pos, cast(0 AS BIGINT) AS alias_pos, cast(1 AS BIGINT) AS alias_id, lower(word) AS surface FROM {_LONG_WORDS} w)"""
 _WORD_PATTERNS = f"patterns AS ({all_patterns(_words, _word_alts)})"
-_TURNS = "(SELECT conv_id * 1000 + turn AS doc_id, text FROM conversations)"
+_TURNS = "(SELECT concat(conv_id, ':', turn) AS doc_id, text FROM conversations)"
 _HOST_PATTERNS = f"""patterns AS (SELECT host AS surface, item_pos + 1 AS item_id, '(3)(B)(c)' AS code, 'host name' AS descr,
     'c' AS variant, cast(NULL AS BIGINT) AS alias_id FROM {d("hosts")} h)"""
 _NO_ALIASES = "(SELECT cast(0 AS BIGINT) AS item_id, cast(0 AS BIGINT) AS alias_id, '' AS surface WHERE false)"
@@ -392,3 +397,7 @@ ORACLES["badge_files"] = f"""
   SELECT kind, code, "desc", surface, count(*) AS n_lines FROM ({ORACLES['badge_parse_arrow']}) GROUP BY ALL"""
 ORACLES["validate_badges_job"] = f"""
   SELECT cast(sum(n_valid) AS BIGINT) AS n_valid, cast(sum(n_skipped) AS BIGINT) AS n_skipped FROM ({ORACLES['badge_validate_counts']})"""
+ORACLES["autoredact_folder"] = f"SELECT doc_id, redacted FROM ({ORACLES['redact_documents']})"
+ORACLES["import_badges_job"] = f"""
+  WITH {BADGES}, {ITEMS} SELECT id, code, descr AS "desc", surface, (SELECT count(*) FROM badges) AS n_badges FROM items"""
+ORACLES["alias_add_job"] = f"SELECT *, CASE WHEN alias_id > 0 THEN surface END AS stored FROM ({ORACLES['alias_add']})"

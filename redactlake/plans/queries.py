@@ -81,8 +81,11 @@ def _customer_inventory(spark: SparkSession, sf: str) -> I.Inventory:
 
 
 def _word_inventory(spark: SparkSession, sf: str) -> I.Inventory:
-    """A word of each turn, with its lower-case form as alias 1."""
-    words = _derived(spark, sf, "words")
+    """All long words of the turns in order of first use, with their lower-case forms as alias 1."""
+    turns = _table(spark, sf, "conversations")
+    found = turns.select("conv_id", "turn", F.posexplode(F.regexp_extract_all("text", F.lit("[A-Za-z]{6,}"), F.lit(0))).alias("place", "word"))
+    first = found.groupBy("word").agg(F.min(F.struct("conv_id", "turn", "place")).alias("first"))
+    words = number_rows(first, ["first"], name="item_pos").select("item_pos", "word")
     items = words.select(
         "item_pos",
         (F.col("item_pos") + 1).alias("id"),
@@ -368,7 +371,7 @@ def redact_markdown(spark, sf):
 
 def _conversations(spark, sf):
     docs = read_documents(spark, f"{sf}/conversations.parquet", ["conv_id", "turn"], schema="conv_id bigint, turn bigint, text string")
-    return docs.select((F.col("conv_id") * 1000 + F.col("turn")).alias("doc_id"), "text")
+    return docs.select(F.concat_ws(":", "conv_id", "turn").alias("doc_id"), "text")
 
 
 @query
@@ -576,13 +579,64 @@ def redact_folder_files(spark, sf):
 
 @query
 def restore_folder(spark, sf):
-    """Tagged orders as files, restored."""
+    """Tagged orders as files, restored by the job."""
     root = _scratch(spark)
     docs = _derived(spark, sf, "tagged").select(F.expr("concat(doc_id % 8, '/', doc_id, '.md')").alias("rel_path"), "text")
-    written = corpus.write_table(docs, f"{root}/table") or spark.read.parquet(f"{root}/table")
-    inv = store.load(spark, _saved_customers(spark, sf, f"{root}/inventory.json"))
-    restored = S.restore_documents(written, inv, ["rel_path"])
-    return _wide(restored.select(F.expr("cast(split(replace(rel_path, '.md', ''), '/')[1] as bigint)").alias("doc_id"), "n_tags", "restored"))
+    corpus.write_files(docs, f"{root}/src")
+    inv = _saved_customers(spark, sf, f"{root}/inventory.json")
+    counts = jobs.restore_folder(spark, f"{root}/src", f"{root}/restored", inv)
+    texts = corpus.read_markdown(spark, f"{root}/restored")
+    doc_id = F.expr("cast(split(replace(rel_path, '.md', ''), '/')[1] as bigint)").alias("doc_id")
+    return _wide(counts.join(texts, "rel_path").select(doc_id, "n_tags", F.col("text").alias("restored")))
+
+
+def _rule_proposer():
+    """A proposer that answers a prompt with the badge lines that the default rules find in it."""
+    rules = [(f"[REDACTED: {r.code}, {r.desc}] => ", r.pattern) for r in P.DEFAULT_RULES]
+
+    def propose(batch):
+        import re
+
+        found = ([head + s for head, pattern in rules for s in dict.fromkeys(re.findall(pattern, user))] for user in batch["user"])
+        return ["\n".join(lines) for lines in found]
+
+    return propose
+
+
+@query
+def autoredact_folder(spark, sf):
+    """Documents as text files, badges proposed inside the tasks, and the redacted files that the job leaves."""
+    root = _scratch(spark)
+    docs = _documents(spark, sf).select(F.expr("concat(lpad(doc_id, 12, '0'), '.txt')").alias("rel_path"), "text")
+    corpus.write_files(docs, f"{root}/src")
+    policy = spark.createDataFrame([("Hide what tells who or where somebody is.",)], "value string")
+    policy.coalesce(1).write.text(f"{root}/policy")
+    jobs.autoredact_folder(spark, f"{root}/policy", f"{root}/src", f"{root}/out", _rule_proposer())
+    found = corpus.read_text_files(spark, f"{root}/out/redacted")
+    return found.select(F.expr("cast(substring_index(rel_path, '.', 1) as bigint)").alias("doc_id"), F.col("text").alias("redacted"))
+
+
+@query
+def import_badges_job(spark, sf):
+    """A new inventory, badge files imported into it, and what it then lists; the job tells how many badges it read."""
+    root = _scratch(spark)
+    raw = P.propose_by_rules(_documents(spark, sf), ["doc_id"]).filter("raw != ''")
+    corpus.write_files(raw.select(F.expr("concat(lpad(doc_id, 12, '0'), '.txt')").alias("rel_path"), F.col("raw").alias("text")), f"{root}/badges")
+    store.init(spark, f"{root}/inventory.json")
+    n_badges = jobs.import_badges(spark, f"{root}/badges", f"{root}/inventory.json")
+    items = store.load(spark, f"{root}/inventory.json").items
+    return items.select("id", "code", "desc", "surface", F.lit(n_badges).cast("bigint").alias("n_badges"))
+
+
+@query
+def alias_add_job(spark, sf):
+    """Alias requests on a stored inventory: their outcomes, with the alias that is stored afterwards."""
+    path = f"{_scratch(spark)}/inventory"
+    store.save(_customer_inventory(spark, sf), path)
+    requests = _derived(spark, sf, "alias_requests")
+    results = jobs.add_aliases(spark, path, requests)
+    stored = store.load(spark, path).aliases.select("item_id", "alias_id", F.col("surface").alias("stored"))
+    return results.join(stored, ["item_id", "alias_id"], "left").select("ord", "item_id", "surface", "alias_id", "stored")
 
 
 def _badge_file(spark, sf, path):
