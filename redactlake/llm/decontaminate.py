@@ -78,23 +78,38 @@ def _selected(prints: Column, at: Column, window: int) -> Column:
 
 
 def fingerprints(worded: DataFrame, lengths: list[int]) -> DataFrame:
-    """Rows (all columns, length, at, gram) of the fingerprints of ``words``, for each window length.
+    """Rows (all columns but ``words``, length, at, gram, left, right) of the fingerprints, for each window length.
 
-    ``at`` is the 0-based place of the gram. Each row of ``worded`` also comes once with ``at`` -1.
+    ``at`` is the 0-based place of the gram; ``left`` (nearest first) and ``right`` are the words around it, as far as a
+    window may reach, null where there is none. Fingerprints are chosen inside the row, in time and memory linear in its
+    words. Each row of ``worded`` also comes once with ``at`` -1.
     """
-    columns = [F.col(c) for c in worded.columns]
-    out = []
-    for n in lengths or [WINDOW]:
-        places = F.sequence(F.lit(-1 if not out else 0), F.greatest(F.size("words"), F.lit(1)) - 1)
-        rows = worded.withColumn("prints", grams(F.col("words"), gram_size(n))).select(*columns, "prints", F.explode(places).alias("at"))
-        wanted = _selected(F.col("prints"), F.col("at"), n)
-        if not out:
-            wanted = (F.col("at") < 0) | wanted
-        out.append(rows.filter(wanted).select(*columns, F.lit(n).alias("length"), "at", F.get("prints", "at").alias("gram")))
-    union = out[0]
-    for more in out[1:]:
-        union = union.unionByName(more)
-    return union
+    words, kind = F.col("words"), "array<bigint>"
+    own = F.struct(
+        F.lit(0).alias("length"),
+        F.lit(-1).alias("at"),
+        F.lit(None).cast("bigint").alias("gram"),
+        F.lit(None).cast(kind).alias("left"),
+        F.lit(None).cast(kind).alias("right"),
+    )
+    chosen = [F.array(own)]
+    named = worded.withColumns({f"prints_{n}": grams(words, gram_size(n)) for n in lengths})
+    for n in lengths:
+        found = _fingerprints_in_row(words, F.col(f"prints_{n}"), n)
+        chosen.append(F.when(F.size(words) >= n, found).otherwise(F.array()))
+    columns = [F.col(f"`{c}`") for c in worded.columns if c != "words"]
+    return named.select(*columns, F.explode(F.concat(*chosen)).alias("print")).select(*columns, "print.*")
+
+
+def _fingerprints_in_row(words: Column, prints: Column, length: int) -> Column:
+    """array<struct<length, at, gram, left, right>> of one window length."""
+
+    def fingerprint(at: Column) -> Column:
+        left, right = (F.array(*side).cast("array<bigint>") for side in around(words, at, length))
+        return F.struct(F.lit(length).alias("length"), at.alias("at"), F.get(prints, at).alias("gram"), left.alias("left"), right.alias("right"))
+
+    places = F.sequence(F.lit(0), F.size(words) - 1)
+    return F.transform(F.filter(places, lambda at: _selected(prints, at, length)), fingerprint)
 
 
 def around(words: Column, at: Column, length: int) -> tuple[list[Column], list[Column]]:
@@ -103,20 +118,9 @@ def around(words: Column, at: Column, length: int) -> tuple[list[Column], list[C
     return [F.get(words, at - (1 + m)) for m in range(length - k)], [F.get(words, at + (k + m)) for m in range(length - k)]
 
 
-def _context(words: Column, at: Column, lengths: list[int]) -> Column:
-    """(left, right) of a fingerprint, by its window length."""
-    out = F.lit(None)
-    for n in lengths:
-        left, right = around(words, at, n)
-        kind = "array<bigint>"
-        both = F.struct(F.array(*left).cast(kind).alias("left"), F.array(*right).cast(kind).alias("right"))
-        out = F.when(F.col("length") == n, both).otherwise(out)
-    return out
-
-
-def _reach(mine: Callable[[int], Column], theirs: Column, most: int) -> Column:
+def _reach(mine: str, theirs: str, most: int) -> Column:
     """How many words in a row agree."""
-    return _chain(lambda m: mine(m) == F.get(theirs, F.lit(m)), most)
+    return _chain(lambda m: F.get(F.col(mine), F.lit(m)) == F.get(F.col(theirs), F.lit(m)), most)
 
 
 def item_fingerprints(items: DataFrame, item: str, text: str) -> DataFrame:
@@ -126,12 +130,7 @@ def item_fingerprints(items: DataFrame, item: str, text: str) -> DataFrame:
     # An item has one window length: its own number of words, or the common one.
     rows = fingerprints(sized, list(range(1, WINDOW + 1)))
     rows = rows.filter((F.col("at") >= 0) & (F.col("length") == F.least("n", F.lit(WINDOW))))
-    context = _context(F.col("words"), F.col("at"), list(range(1, WINDOW + 1)))
-    return (
-        rows.select("item", "length", "gram", context.alias("c"))
-        .groupBy("length", "gram", F.col("c.left").alias("left"), F.col("c.right").alias("right"))
-        .agg(F.collect_set("item").alias("items"))
-    )
+    return rows.groupBy("length", "gram", "left", "right").agg(F.collect_set("item").alias("items"))
 
 
 def find_hits(
@@ -143,7 +142,8 @@ def find_hits(
     Other columns ride along; those called ``n_words``, ``spans`` or ``items`` are replaced.
     """
     prints = item_fingerprints(items, item, item_text)
-    size = prints.groupBy("length").agg(F.sum(F.lit(200) + 16 * F.size("items")).alias("bytes")).collect()
+    weight = F.lit(300) + 16 * F.size("items") + F.aggregate("items", F.lit(0), lambda n, i: n + F.octet_length(i.cast("string")))
+    size = prints.groupBy("length").agg(F.sum(weight).alias("bytes")).collect()
     lengths = sorted(r["length"] for r in size)
     small = sum(r["bytes"] for r in size) <= max_broadcast_bytes
     prints = prints.select(*[F.col(c).alias(f"i_{c}") for c in prints.columns])
@@ -151,26 +151,17 @@ def find_hits(
     kept = [c for c in docs.columns if c != text and c.lower() not in ("n_words", "spans", "items")]
     rest = F.struct(F.monotonically_increasing_id().alias("row"), F.struct(*[F.col(f"`{c}`") for c in kept]).alias("own"))
     worded = docs.select(rest.alias("doc"), word_hashes(F.col(text)).alias("words"))
-    words = F.col("words")
-    rows = fingerprints(worded.withColumn("n_words", F.size(words)), lengths)
+    rows = fingerprints(worded.withColumn("n_words", F.size("words")), lengths)
     match = (F.col("length") == F.col("i_length")) & (F.col("gram") == F.col("i_gram"))
-    if small:
-        joined = rows.join(F.broadcast(prints), match, "left")
-        left = {n: lambda m, n=n: around(words, F.col("at"), n)[0][m] for n in lengths}
-        right = {n: lambda m, n=n: around(words, F.col("at"), n)[1][m] for n in lengths}
-    else:
-        rows = rows.withColumn("c", _context(words, F.col("at"), lengths)).drop("words")
-        joined = rows.join(prints, match, "left")
-        left = dict.fromkeys(lengths, lambda m: F.get(F.col("c.left"), F.lit(m)))
-        right = dict.fromkeys(lengths, lambda m: F.get(F.col("c.right"), F.lit(m)))
+    joined = rows.join(F.broadcast(prints) if small else prints, match, "left")
     # A document's own row stays; other fingerprints only with a partner.
     joined = joined.filter(F.col("i_gram").isNotNull() | (F.col("at") < 0))
     begin, end = F.lit(None).cast("int"), F.lit(None).cast("int")
     for n in lengths:
         k = gram_size(n)
         here = F.col("length") == n
-        begin = F.when(here, F.col("at") - _reach(left[n], F.col("i_left"), n - k)).otherwise(begin)
-        end = F.when(here, F.col("at") + k + _reach(right[n], F.col("i_right"), n - k)).otherwise(end)
+        begin = F.when(here, F.col("at") - _reach("left", "i_left", n - k)).otherwise(begin)
+        end = F.when(here, F.col("at") + k + _reach("right", "i_right", n - k)).otherwise(end)
     spans = joined.select("doc", "n_words", "at", "length", "i_items", begin.alias("begin"), end.alias("end"))
     spans = spans.filter((F.col("at") < 0) | (F.col("end") - F.col("begin") >= F.col("length")))
     hit = F.col("at") >= 0

@@ -1,3 +1,6 @@
+import os
+import subprocess
+import sys
 import random
 import re
 
@@ -56,3 +59,26 @@ def test_empty_tables(spark, docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert all(r.items == [] and r.spans == [] for r in D.find_hits(docs, none).collect())
     assert D.find_hits(docs.filter("doc_id < -1"), none).collect() == []
+
+
+LONG_TEXT = """
+import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession, functions as F
+from redactlake.llm import decontaminate as D
+spark = SparkSession.builder.master("local[2]").config("spark.driver.memory", "1800m").config("spark.ui.enabled", "false").getOrCreate()
+word = lambda i: F.concat(F.lit("w"), (i % 9973).cast("string"))
+docs = spark.range(1).select(F.lit(1).alias("doc_id"), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(1000000)), word), " ").alias("text"))
+items = spark.createDataFrame([(5, " ".join(f"w{i}" for i in range(200, 230))), (6, "w300 w302 w304")], "item_id long, text string")
+row = D.find_hits(docs, items).first()
+print(row["n_words"], len(row["spans"]), list(row["items"]))
+"""
+
+
+def test_a_million_words_in_an_executor_of_the_check():
+    """One text of a million words, in a JVM of its own with 1800 MB: every pass over the words of item 5 is found."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    done = subprocess.run([sys.executable, "-c", LONG_TEXT, root], capture_output=True, text=True, timeout=600)
+    n_words, n_spans, *found = done.stdout.split()
+    passes = sum(1 for start in range(0, 1_000_000, 9973) if start + 229 <= 1_000_000)
+    assert (n_words, found) == ("1000000", ["[5]"]) and int(n_spans) >= passes
