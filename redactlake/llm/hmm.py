@@ -221,6 +221,16 @@ class Corpus:
     def unseen_mass(self) -> float:
         return min(0.5, max(self.single, 1) / (self.tokens + 2))
 
+    @property
+    def unseen_words(self) -> float:
+        """How many words the unseen event stands for: as many as were seen once, so that each has 1 / (tokens + 2)."""
+        return self.unseen_mass * (self.tokens + 2)
+
+    def shares(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 of each word's share of its class; the shares of a class, and those of the unseen words, sum to 1."""
+        seen = np.log10(counts + 0.5) - np.log10(np.maximum(self.masses, 0.5))[classes]
+        return np.where(counts > 0, seen, -math.log10(self.unseen_words))
+
     def background(self) -> np.ndarray:
         """P(class) over the corpus, for seen words."""
         total = self.masses.sum()
@@ -446,8 +456,7 @@ def score_blocks(blocks: DataFrame, counts: DataFrame, corpus: Corpus, model: Mo
         first = np.cumsum(lengths) - lengths
         known = count > 0
         classes = np.where(known, classes, UNSEEN)
-        # Of a class, its words share in proportion to c + 0.5; the unseen event has no words to share.
-        within = np.where(known, logs - np.log10(np.maximum(corpus.masses, 0.5))[classes], 0.0)
+        within = corpus.shares(classes, count)
         return pa.table(
             {
                 key: left.column("keys").combine_chunks().values,

@@ -94,6 +94,36 @@ def test_emissions_are_distributions(corpus):
         assert p == pytest.approx(1)
 
 
+def test_words_seen_and_unseen_have_probabilities_that_sum_to_one():
+    """A vocabulary of five words in two classes: with the unseen words, every state's emissions sum to 1."""
+    counts, classes = np.array([4, 1, 1, 7, 2]), np.array([5, 5, 9, 9, 9])
+    masses = np.zeros(H.CLASSES)
+    np.add.at(masses, classes, counts + 0.5)
+    corpus = H.Corpus(int(counts.sum()), 5, 2, masses)
+    m = small_model(np.random.default_rng(6), corpus)
+    m = H.Model.of(m.start, m.inner, m.move, m.emit * (masses > 0)[:, None], corpus)
+    words = (m.emit[classes] * 10 ** corpus.shares(classes, counts)[:, None]).sum(axis=0)
+    unseen = m.emit[H.UNSEEN] * 10 ** corpus.shares(np.array([H.UNSEEN]), np.array([0]))
+    assert words + corpus.unseen_words * unseen == pytest.approx(np.ones(H.STATES))
+    assert unseen == pytest.approx(np.full(H.STATES, 1 / (corpus.tokens + 2)))
+
+
+def test_unseen_words_cost_more_than_seen_ones_and_known_texts_beat_the_base(spark, folder):
+    rng = random.Random(10)
+    voices = [[f"{p}{i}x" for i in range(60)] for p in ("alp", "bet", "gam")]
+    rows = [(i, " ".join(rng.choices(rng.choice(voices), k=80)), True) for i in range(300)]
+    for share in (0, 20, 40, 60, 80):  # unseen words of 80
+        for _ in range(5):
+            words = rng.choices(rng.choice(voices), k=80 - share) + [f"unheard{rng.random()}" for _ in range(share)]
+            rng.shuffle(words)
+            rows.append((1000 + share, " ".join(words), False))
+    got = [r for r in check(spark.createDataFrame(rows, "doc_id long, text string, learn boolean"), folder) if not r.training]
+    mean = {s: sum(r.score / r.n_tokens for r in got if r.doc_id == 1000 + s) for s in (0, 20, 40, 60, 80)}
+    assert sorted(mean, key=mean.get, reverse=True) == [0, 20, 40, 60, 80]
+    known = [r for r in got if r.n_known == r.n_tokens]
+    assert known and sum(r.score for r in known) > sum(r.base_score for r in known)
+
+
 def test_each_pass_raises_the_likelihood(corpus):
     rng = np.random.default_rng(5)
     m = small_model(rng, corpus)
