@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-INVENTORY_JSON = (
-    "items array<struct<id:bigint,code:string,desc:string,surface:string,"
-    "aliases:array<struct<id:bigint,surface:string>>,scope:string>>"
+ITEM_JSON = (
+    "id bigint, code string, desc string, surface string, aliases array<struct<id:bigint,surface:string>>, scope string"
 )
 ITEMS = "item_pos bigint, id bigint, code string, desc string, surface string, scope string"
 ALIASES = "item_pos bigint, item_id bigint, alias_pos bigint, alias_id bigint, surface string"
