@@ -9,13 +9,13 @@ suffix filter (how many hashes of each range the two sets can share); each survi
 once on the whole sets.
 
 Within one shared shingle not all pairs are made. Groups with no more unlinked pairs than members are
-joined in full; in a larger group some classes, the pivots, are compared with all others, the links found
-join classes into components, and what is still in different components goes to the next round, with four
-times the pivots. Pivots are chosen by a hash of the class, so groups with the same members have the same ones. Pairs of a
-round are linear in the rows that remain, a group of near copies is linked after a round or two, and
-rounds end when no shingle has members in two components, so no link between components can be missed. The
-suffix filter compares the range counts of two sets before any set is brought together; the sets a round needs
-are taken from the texts and kept for later rounds.
+joined in full. In a larger group some classes, the pivots, are compared with all others: first the least class,
+which groups with the same members have in common, then four, sixteen and so on, chosen by a hash of the class. The links
+found join classes into components, and what is still in different components goes to the next round. Once the
+unlinked pairs that are left are at most ``PAIRS_PER_ROW`` for each row of the shared prefixes, all of them are compared.
+Pairs of a round are thus linear in the rows, a group of near copies is linked after a round or two, and no link
+between components can be missed. The suffix filter compares the range counts of two sets before any set is
+brought together; the sets a round needs are taken from the texts and kept for later rounds.
 
 Documents with fewer words than a shingle are one shingle of all their words; null, empty and blank
 texts have no shingle and are linked with nothing. Repeated rows and null ids keep rows of their own;
@@ -41,8 +41,10 @@ CHUNK_BITS = 14
 #: Prefix shingles joined together.
 RANGE_ROWS = 500_000
 FLUSH_ROWS = 250_000
-#: Expected pivots of a large group in the first round, and how many times more there are in each later one.
-PIVOTS, MORE_PIVOTS = 2, 4
+#: Pivots of a large group in the first round, and how many times more there are in each later one.
+PIVOTS, MORE_PIVOTS = 1, 4
+#: Unlinked pairs for each row of the shared prefixes that are few enough to be compared at once.
+PAIRS_PER_ROW = 2
 #: A group is joined in full while its unlinked pairs are at most this many times its members.
 FULL_FACTOR = 1
 #: Hash ranges of the suffix filter.
@@ -216,7 +218,7 @@ def prefixes(docs: DataFrame, text: str, sketch: np.ndarray, bits: int) -> DataF
 
 
 def shared_prefixes(packed: DataFrame) -> DataFrame:
-    """(token, class, size, place, n) of the prefix shingles that ``n`` > 1 classes have."""
+    """(token, class, size, place, n, first) of the prefix shingles that ``n`` > 1 classes have, ``first`` the least."""
 
     def keep(table: pa.Table) -> pa.Table:
         token, cls, size, place = (
@@ -231,10 +233,17 @@ def shared_prefixes(packed: DataFrame) -> DataFrame:
         n = np.repeat(sizes := np.diff(np.append(heads, len(token))), sizes)
         many = n > 1
         return pa.table(
-            {"token": token[many].astype(np.int64), "class": cls[many], "size": size[many], "place": place[many], "n": n[many]}
+            {
+                "token": token[many].astype(np.int64),
+                "class": cls[many],
+                "size": size[many],
+                "place": place[many],
+                "n": n[many],
+                "first": np.repeat(cls[heads], sizes)[many],
+            }
         )
 
-    return packed.groupBy("range").applyInArrow(keep, "token bigint, class bigint, size int, place int, n bigint")
+    return packed.groupBy("range").applyInArrow(keep, "token bigint, class bigint, size int, place int, n bigint, first bigint")
 
 
 # --- candidates --------------------------------------------------------------------------------
@@ -246,26 +255,28 @@ def _least_overlap(a: str, b: str) -> Column:
 
 
 def in_groups(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(token, class, size, place, component, n, full): the rows of groups that are not all of one component.
+    """(token, class, size, place, component, n, first, unlinked): the rows of groups that are not all of one component.
 
-    A group with no more unlinked pairs than ``FULL_FACTOR`` times its members is ``full``.
+    ``unlinked`` counts the pairs of different components in the row's group.
     """
     n = F.col("n")
     if labels is None:  # every class is a component, and its groups have been counted
-        return shared.withColumn("component", F.col("class")).withColumn("full", n * (n - 1) / 2 <= FULL_FACTOR * n)
-    here = shared.drop("n").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
-    parts = here.groupBy("token", "component").agg(F.count("*").alias("n"))
-    groups = parts.groupBy("token").agg(F.sum("n").alias("n"), F.sum(n * n).alias("squares")).filter("squares < n * n")
-    return here.join(groups.select("token", "n", ((n * n - F.col("squares")) / 2 <= FULL_FACTOR * n).alias("full")), "token")
+        return shared.withColumn("component", F.col("class")).withColumn("unlinked", n * (n - 1) / 2)
+    here = shared.drop("n", "first").join(labels, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    parts = here.groupBy("token", "component").agg(F.count("*").alias("n"), F.min("class").alias("first"))
+    groups = parts.groupBy("token").agg(F.sum("n").alias("n"), F.sum(n * n).alias("squares"), F.min("first").alias("first"))
+    groups = groups.filter("squares < n * n").select("token", "n", "first", ((n * n - F.col("squares")) / 2).alias("unlinked"))
+    return here.join(groups, "token")
 
 
-def next_candidates(rows: DataFrame, number: int, pivots: int) -> tuple[DataFrame, DataFrame]:
+def next_candidates(rows: DataFrame, number: int, pivots: int, last: bool) -> tuple[DataFrame, DataFrame]:
     """Pairs to compare now, and the rows of large groups that remain without their pivots.
 
-    ``rows`` are those of ``in_groups``; about ``pivots`` of a large group are its pivots, all of a small one.
+    ``rows`` are those of ``in_groups``. A large group has about ``pivots`` pivots; with ``last``, no group is large.
     """
     chance = F.pmod(F.xxhash64("class", F.lit(number)), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    rows = rows.withColumn("pivot", chance < pivots / F.col("n"))
+    rows = rows.withColumn("full", F.lit(last) | (F.col("unlinked") <= FULL_FACTOR * F.col("n")))
+    rows = rows.withColumn("pivot", (F.col("class") == F.col("first")) | (chance < (pivots - 1) / F.col("n")))
     names = ["class", "size", "place", "component"]
     left = rows.filter(F.col("full") | F.col("pivot")).select("token", *[F.col(c).alias(f"a_{c}") for c in names])
     right = rows.select("token", "full", "pivot", *[F.col(c).alias(f"b_{c}") for c in names])
@@ -279,7 +290,7 @@ def next_candidates(rows: DataFrame, number: int, pivots: int) -> tuple[DataFram
         & (rest >= _least_overlap("a_size", "b_size"))
     )
     pairs = pairs.select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b")).distinct()
-    remaining = rows.filter(~F.col("full") & ~F.col("pivot")).select("token", "class", "size", "place", "n")
+    remaining = rows.filter(~F.col("full") & ~F.col("pivot")).select("token", "class", "size", "place", "n", "first")
     return pairs, remaining
 
 
@@ -422,22 +433,25 @@ def group_similar(docs: DataFrame, key: str, text: str, folder: str) -> DataFram
     if not shared.isEmpty():
         ranges = scanned.filter("class is not null").select("class", "ranges").dropDuplicates(["class"])
         ranges = _store(ranges.join(shared.select("class").distinct(), "class", "left_semi"), f"{folder}/ranges")
+        few = PAIRS_PER_ROW * shared.count()
         done = sets = None
-        number, pivots = 0, PIVOTS
-        while True:
-            rows_now = in_groups(shared, labels)
+        number, pivots, last = 0, PIVOTS, False
+        while not last:
+            here = in_groups(shared, labels)
             if number:
-                rows_now = _store(rows_now, f"{folder}/groups-{number}")
-                if rows_now.isEmpty():
+                here = _store(here, f"{folder}/groups-{number}")
+                unlinked = here.agg(F.sum(F.col("unlinked") / F.col("n"))).first()[0]
+                if not unlinked:
                     break
-            pairs, remaining = next_candidates(rows_now, number, pivots)
-            new = pairs if done is None else pairs.join(done, ["a", "b"], "left_anti")
-            new = _store(new, f"{folder}/pairs-{number}")
-            shared = _store(remaining, f"{folder}/shared-{number}")
-            likely = _store(suffix_filter(new, ranges), f"{folder}/likely-{number}")
+                last = unlinked <= few
+            pairs, shared = next_candidates(here, number, pivots, last)
+            if done is not None:
+                pairs = pairs.join(done, ["a", "b"], "left_anti")
+            likely = _store(suffix_filter(pairs, ranges), f"{folder}/pairs-{number}")
             wanted = likely.select(F.explode(F.array("a", "b")).alias("class")).distinct()
             if sets is not None:
-                wanted = _store(wanted.join(sets.select("class"), "class", "left_anti"), f"{folder}/wanted-{number}")
+                wanted = wanted.join(sets.select("class"), "class", "left_anti")
+            wanted = _store(wanted, f"{folder}/wanted-{number}")
             if sets is None or not wanted.isEmpty():
                 more = _store(sets_of(docs, text, wanted), f"{folder}/sets-{number}")
                 sets = more if sets is None else sets.unionByName(more)
@@ -446,7 +460,7 @@ def group_similar(docs: DataFrame, key: str, text: str, folder: str) -> DataFram
                 labels = merge_labels(labels, found, f"{folder}/components-{number}")
             elif labels is None:
                 labels = spark.createDataFrame([], "class bigint, component bigint")
-            done = new if done is None else done.unionByName(new)
+            done = likely if done is None else done.unionByName(likely)
             number, pivots = number + 1, pivots * MORE_PIVOTS
     if labels is None:
         labels = spark.createDataFrame([], "class bigint, component bigint")

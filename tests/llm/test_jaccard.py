@@ -55,6 +55,7 @@ def test_groups_against_brute_force(spark, folder, monkeypatch, full_factor, piv
     """Joined in full, and by pivots until the rounds are over."""
     monkeypatch.setattr(J, "FULL_FACTOR", full_factor)
     monkeypatch.setattr(J, "PIVOTS", pivots)
+    monkeypatch.setattr(J, "PAIRS_PER_ROW", full_factor)
     rows = near_copies(5) + [(None, near_copies(5)[7][1]), (3, near_copies(5)[3][1])]
     assert run(spark.createDataFrame(rows, "doc_id long, text string"), folder) == brute(rows)
 
