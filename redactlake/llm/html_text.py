@@ -18,9 +18,11 @@ column already called ``text`` is replaced.
 
 from __future__ import annotations
 
+import copy
 import random
 import re
-from dataclasses import dataclass, field
+from collections import Counter
+from dataclasses import dataclass, field, replace
 from html import escape
 from html.parser import HTMLParser
 
@@ -34,7 +36,7 @@ from . import textkit as K
 from .sampling import MAX_SAMPLE_CHARS, unit_hash
 
 SAMPLE_PAGES = 150
-LAYOUTS_PER_PAGE = 2
+LAYOUTS_PER_PAGE = 5
 
 #: Elements of HTML by how a browser treats them.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -63,7 +65,17 @@ OTHER_TOKENS = set(
     " disqus related recommended more pagination pager copyright legal toolbar tags meta author".split()
 )
 MAIN_TOKENS = set("article content main post entry story body text page blog prose maincontent articlebody postcontent".split())
-HASHED = 16
+HASHED = 64
+#: What it costs a block to be one more main in none, and to be other inside a main one without a name that tells. Being short is no reason for either, so
+#: the blocks of an article are taken together.
+ENTERING, LEAVING = 6.0, 2.5
+#: A paragraph or the like without any name, and not mostly links, goes with what it stands in; in the body, with itself.
+PLAIN_LEAVING = 12.0
+#: Elements that say by themselves that they stand beside the article; to be main outside a main block costs them more.
+APART_ENTERING = 13.0
+APART = frozenset("nav header footer aside form".split())
+PLAIN = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th tr tbody figcaption".split())
+SHAPES = 22
 
 
 @dataclass
@@ -220,40 +232,48 @@ def features(page: Page) -> np.ndarray:
         p = nodes[i].parent
         for a in (text, link, below, paragraphs, forms):
             a[p] += a[i]
-    place = [0] * n
+    place, longest, alike = [0] * n, [0.0] * n, [0.0] * n
     for x in nodes:
+        tags = Counter(nodes[c].tag for c in x.children)
+        most = max((text[c] for c in x.children), default=0.0)
         for k, c in enumerate(x.children):
-            place[c] = k
-    total = max(text[0], 1.0)
-    bad_above, good_above = [0] * n, [0] * n
-    out = np.zeros((n, 16 + len(TAGS) + HASHED))
+            place[c], longest[c], alike[c] = k, most, float(tags[nodes[c].tag])
+    total, widest = max(text[0], 1.0), max(own)
+    titled = [float(x.tag in ("h1", "h2")) for x in nodes]
+    for i in range(n - 1, 0, -1):
+        titled[nodes[i].parent] += titled[i]
+    apart, named = [0.0] * n, [0.0] * n
+    above: list[frozenset] = [frozenset()] * n
+    out = np.zeros((n, SHAPES + len(TAGS) + 2 * HASHED))
     rows = []
     for i, x in enumerate(nodes):
-        bad, good = sum(t in OTHER_TOKENS for t in x.tokens), sum(t in MAIN_TOKENS for t in x.tokens)
         if i:
-            up = nodes[x.parent]
-            siblings, share = len(up.children), text[i] / max(text[x.parent], 1.0)
-            # What it stands in: tokens, and elements whose name says what they are.
-            bad_above[i] += bad_above[x.parent] + (up.tag in ("nav", "header", "footer", "aside", "form"))
-            good_above[i] += good_above[x.parent] + (up.tag in ("article", "main"))
+            up = x.parent
+            # What it stands in: elements that say by themselves what they are, and the tokens of all of them.
+            apart[i] = max(apart[up], float(nodes[up].tag in APART))
+            named[i] = max(named[up], float(nodes[up].tag in ("article", "main")))
+            above[i] = above[up] | {sum(t.encode()) % HASHED for t in nodes[up].tokens}
+            siblings = len(nodes[up].children)
         else:
-            siblings, share = 1, 1.0
+            up, siblings = 0, 1
+        own_text, in_up = max(text[i], 1.0), max(text[up], 1.0)
         rows.append(
-            (own[i], text[i], text[i] / total, link[i] / max(text[i], 1.0), below[i], text[i] / below[i], paragraphs[i], forms[i] / below[i],
-             x.depth, siblings, place[i] / siblings, share, bad, good, bad_above[i], good_above[i])
+            (own[i], text[i], text[i] / total, link[i] / own_text, below[i], text[i] / below[i], paragraphs[i], forms[i] / below[i],
+             x.depth, siblings, place[i] / siblings, text[i] / in_up, text[i] / max(longest[i], 1.0), alike[i] / siblings,
+             text[up] / total, link[up] / in_up, paragraphs[up], text[up] / below[up], own[i] / max(widest, 1.0), titled[up], apart[i], named[i])
         )
-        for c in x.children:
-            bad_above[c], good_above[c] = bad, good
         if x.tag in _TAG_AT:
             out[i, _TAG_AT[x.tag]] = 1
         for t in x.tokens:
-            out[i, 16 + len(TAGS) + sum(t.encode()) % HASHED] = 1
-    out[:, :16] = rows
+            out[i, SHAPES + len(TAGS) + sum(t.encode()) % HASHED] = 1
+        for t in above[i]:
+            out[i, SHAPES + len(TAGS) + HASHED + t] = 1
+    out[:, :SHAPES] = rows
     out[:, :2] = np.log1p(out[:, :2])
     return out
 
 
-_TAG_AT = {t: 16 + i for i, t in enumerate(TAGS)}
+_TAG_AT = {t: SHAPES + i for i, t in enumerate(TAGS)}
 
 
 def decode(page: Page, p: np.ndarray) -> list[bool]:
@@ -264,21 +284,36 @@ def decode(page: Page, p: np.ndarray) -> list[bool]:
     # Best sums with and below each block, for it being around, main or other. Text right under
     # an "around" block counts as other.
     around = [o - 0.7 if x.text else -0.05 for x, o in zip(nodes, other, strict=True)]
+    plain = [x.tag in PLAIN and not x.tokens and 2 * x.link <= x.text for x in nodes]
+    leaving = [PLAIN_LEAVING if p else 0.0 if x.tokens or x.tag in APART else LEAVING for p, x in zip(plain, nodes, strict=True)]
+    entering = [0.0 if p and nodes[x.parent].tag in ("body", "html") else ENTERING for p, x in zip(plain, nodes, strict=True)]
+    apart = [False] * n
+    for i, x in enumerate(nodes):
+        if x.tag in APART or (i and apart[x.parent]):
+            apart[i], entering[i] = True, APART_ENTERING
+    # One main part of a page is free: ``spared[i]`` is what that saves below block i, by which child.
+    spared = [(0.0, -1)] * n
     for i in range(n - 1, 0, -1):
         up = nodes[i].parent
-        inner = max(main[i], other[i])
-        around[up] += max(around[i], inner)
-        main[up] += inner
+        paid = max(around[i], other[i], main[i] - entering[i])
+        around[up] += paid
+        spared[up] = max(spared[up], (max(around[i] + spared[i][0], main[i]) - paid, i))
+        main[up] += max(main[i], other[i] - leaving[i])
         other[up] += other[i]
     kept = [False] * n
     kinds = [0] * n  # 0 around, 1 main, 2 other; the root is around
+    frees = [False] * n
+    frees[0] = True
     for i in range(1, n):
-        above = kinds[nodes[i].parent]
+        up = nodes[i].parent
+        above = kinds[up]
         kind = 2
-        if above < 2:
-            kind = 1 if main[i] >= other[i] else 2
-            if above == 0 and around[i] >= max(main[i], other[i]):
-                kind = 0
+        if above == 1:
+            kind = 1 if main[i] >= other[i] - leaving[i] else 2
+        elif above == 0:
+            frees[i] = frees[up] and spared[up][1] == i
+            enters, saves = (0.0, spared[i][0]) if frees[i] else (entering[i], 0.0)
+            kind = max((main[i] - enters, 1), (around[i] + saves, 0), (other[i], 2), key=lambda k: k[0])[1]
         kinds[i], kept[i] = kind, kind == 1
     return kept
 
@@ -301,6 +336,16 @@ def weak_labels(page: Page) -> np.ndarray | None:
     return inside if inside.any() else None
 
 
+def withheld(page: Page, tag: str) -> Page:
+    """The page with its main elements called ``tag``, and without the names that give main text away."""
+    out = copy.copy(page)
+    out.nodes = [
+        replace(x, tag=tag if x.tag in ("article", "main") else x.tag, tokens=[t for t in x.tokens if t not in MAIN_TOKENS])
+        for x in page.nodes
+    ]
+    return out
+
+
 def layout(rng: random.Random, blocks: list[str], noise: list[str]) -> str:
     """A made-up page with these main blocks; ``data-y`` tells main (1) and other (0)."""
     say = lambda: escape(rng.choice(noise)) if noise else "x"
@@ -342,7 +387,8 @@ def layout(rng: random.Random, blocks: list[str], noise: list[str]) -> str:
             body.append(other(rng.choice(["ad", "side", "note", "form"])))
     if rng.random() < 0.3:
         body.append(other("talk"))
-    tag, named = rng.choice(
+    plain = [("div", ""), ("section", ""), ("div", f' class="c{rng.randrange(99)}"'), ("div", f' id="b{rng.randrange(99)}"')]
+    tag, named = rng.choice(plain) if rng.random() < 0.6 else rng.choice(
         [("article", ""), ("article", ' class="post"'), ("main", ""), ("div", ' class="content"'), ("div", ' id="main-content"'),
          ("div", ' class="entry"'), ("section", ' class="story"'), ("div", ' class="article-body"'), ("div", ' class="post-content"')]
     )
@@ -359,16 +405,18 @@ def train_on(pages: list[str], layouts: int = LAYOUTS_PER_PAGE, seed: int = 5) -
     rng = random.Random(seed)
     x, y = [], []
 
-    def add(page: Page) -> None:
+    def add(page: Page, *more: Page) -> None:
         labels = weak_labels(page)
         if labels is not None:
-            x.append(features(page))
-            y.append(labels.astype(float))
+            for p in (page, *more):
+                x.append(features(p))
+                y.append(labels.astype(float))
 
     texts, noise = [], []
     for html in pages:
         page = parse(html)
-        add(page)
+        # Structure has to do where no name helps, so names are withheld from two copies of three.
+        add(page, withheld(page, "div"), withheld(page, "section"))
         labels = weak_labels(page)
         blocks = page.blocks()
         main = [t for b, t in blocks if labels is not None and labels[b]]

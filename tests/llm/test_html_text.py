@@ -1,5 +1,7 @@
 import random
+import re
 
+import pyarrow.parquet as pq
 import pytest
 
 from redactlake.llm import html_text as H
@@ -32,6 +34,34 @@ def test_layouts_it_has_not_seen(trees):
     assert right >= 55
 
 
+def article_of(html):
+    page = H.parse(html)
+    labels = H.weak_labels(page)
+    return "\n".join(t for b, t in page.blocks() if labels is not None and labels[b])
+
+
+def given_pages(sf):
+    return pq.read_table(f"/root/testdata/{sf}/pages.parquet").column("html").to_pylist()
+
+
+@pytest.fixture(scope="module")
+def given_trees():
+    return H.train_on([p for p in given_pages("sf0.1")[1000:1150] if p and len(p) <= 20_000])
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "section", "main", 'div class="x7"', None])
+def test_pages_whose_article_has_another_name_or_none(given_trees, tag):
+    """The 250 pages of sf0.01 with ``article`` renamed, and without any name or telling tag; trained on other pages."""
+    pages = given_pages("sf0.01")
+    expected = [article_of(p) for p in pages]
+    if tag is None:
+        pages = [re.sub(r' class="?\w+"?', "", re.sub(r"(</?)(article|nav|footer|header|aside)\b", r"\1div", p)) for p in pages]
+    else:
+        pages = [p.replace("<article", f"<{tag}").replace("</article", f"</{tag.split()[0]}") for p in pages]
+    got = H.extract_texts(pages, given_trees)
+    assert sum(a == b for a, b in zip(got, expected, strict=True)) >= 240
+
+
 def test_decoding_has_no_contradictions(trees):
     rng = random.Random(8)
     for page in map(H.parse, PAGES[:5]):
