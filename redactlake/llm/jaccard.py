@@ -15,7 +15,7 @@ found join classes into components, and what is still in different components go
 unlinked pairs that are left are at most ``PAIRS_PER_ROW`` for each row of the shared prefixes, all of them are compared.
 Pairs of a round are thus linear in the rows, a group of near copies is linked after a round or two, and no link
 between components can be missed. The suffix filter compares the range counts of two sets before any set is
-brought together; the sets a round needs are taken from the texts and kept for later rounds.
+brought together, from the second round on inside the join itself; the sets a round needs are taken from the texts and kept for later rounds.
 
 Documents with fewer words than a shingle are one shingle of all their words; null, empty and blank
 texts have no shingle and are linked with nothing. Repeated rows and null ids keep rows of their own;
@@ -44,7 +44,7 @@ FLUSH_ROWS = 250_000
 #: Pivots of a large group in the first round, and how many times more there are in each later one.
 PIVOTS, MORE_PIVOTS = 1, 4
 #: Unlinked pairs for each row of the shared prefixes that are few enough to be compared at once.
-PAIRS_PER_ROW = 2
+PAIRS_PER_ROW = 100
 #: A group is joined in full while its unlinked pairs are at most this many times its members.
 FULL_FACTOR = 1
 #: Hash ranges of the suffix filter.
@@ -272,12 +272,13 @@ def in_groups(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
 def next_candidates(rows: DataFrame, number: int, pivots: int, last: bool) -> tuple[DataFrame, DataFrame]:
     """Pairs to compare now, and the rows of large groups that remain without their pivots.
 
-    ``rows`` are those of ``in_groups``. A large group has about ``pivots`` pivots; with ``last``, no group is large.
+    ``rows`` are those of ``in_groups``. A large group has about ``pivots`` pivots; with ``last``, no group is large. Where rows
+    have the ``ranges`` of their class, the suffix filter is part of the join.
     """
     chance = F.pmod(F.xxhash64("class", F.lit(number)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = rows.withColumn("full", F.lit(last) | (F.col("unlinked") <= FULL_FACTOR * F.col("n")))
     rows = rows.withColumn("pivot", (F.col("class") == F.col("first")) | (chance < (pivots - 1) / F.col("n")))
-    names = ["class", "size", "place", "component"]
+    names = ["class", "size", "place", "component", *(c for c in rows.columns if c == "ranges")]
     left = rows.filter(F.col("full") | F.col("pivot")).select("token", *[F.col(c).alias(f"a_{c}") for c in names])
     right = rows.select("token", "full", "pivot", *[F.col(c).alias(f"b_{c}") for c in names])
     rest = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
@@ -289,6 +290,8 @@ def next_candidates(rows: DataFrame, number: int, pivots: int, last: bool) -> tu
         # The positional filter, for the case that this is the first shingle shared.
         & (rest >= _least_overlap("a_size", "b_size"))
     )
+    if "ranges" in names:
+        pairs = pairs.filter(suffix_condition())
     pairs = pairs.select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b")).distinct()
     remaining = rows.filter(~F.col("full") & ~F.col("pivot")).select("token", "class", "size", "place", "n", "first")
     return pairs, remaining
@@ -339,18 +342,18 @@ def range_counts(shingles: np.ndarray) -> np.ndarray:
     return np.diff(np.concatenate(([0], np.searchsorted(shingles, edges), [len(shingles)]))).astype(np.int32)
 
 
-def suffix_filter(pairs: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The pairs whose sets can share enough, by how many shingles each has in every hash range."""
-    sides = [ranges.select(F.col("class").alias(c), F.col("ranges").alias(f"{c}_ranges")) for c in ("a", "b")]
+def suffix_condition() -> Column:
+    """Whether sets with ``a_ranges`` and ``b_ranges`` can share enough."""
     total = "aggregate({}, 0L, (s, x) -> s + x)"
     both = total.format("zip_with(a_ranges, b_ranges, (x, y) -> least(x, y))")
     sizes = f"({total.format('a_ranges')} + {total.format('b_ranges')})"
-    return (
-        pairs.join(sides[0], "a")
-        .join(sides[1], "b")
-        .filter(f"{NUMERATOR + DENOMINATOR} * {both} >= {NUMERATOR} * {sizes}")
-        .select("a", "b")
-    )
+    return F.expr(f"{NUMERATOR + DENOMINATOR} * {both} >= {NUMERATOR} * {sizes}")
+
+
+def suffix_filter(pairs: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The pairs whose sets can share enough, by how many shingles each has in every hash range."""
+    sides = [ranges.select(F.col("class").alias(c), F.col("ranges").alias(f"{c}_ranges")) for c in ("a", "b")]
+    return pairs.join(sides[0], "a").join(sides[1], "b").filter(suffix_condition()).select("a", "b")
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -444,10 +447,11 @@ def group_similar(docs: DataFrame, key: str, text: str, folder: str) -> DataFram
                 if not unlinked:
                     break
                 last = unlinked <= few
+                here = here.join(ranges, "class")
             pairs, shared = next_candidates(here, number, pivots, last)
             if done is not None:
                 pairs = pairs.join(done, ["a", "b"], "left_anti")
-            likely = _store(suffix_filter(pairs, ranges), f"{folder}/pairs-{number}")
+            likely = _store(pairs if number else suffix_filter(pairs, ranges), f"{folder}/pairs-{number}")
             wanted = likely.select(F.explode(F.array("a", "b")).alias("class")).distinct()
             if sets is not None:
                 wanted = wanted.join(sets.select("class"), "class", "left_anti")
