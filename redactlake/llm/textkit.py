@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql.types import StructType
 
 SLICE_BYTES = 1 << 19
 
@@ -181,10 +182,9 @@ def without(df, *names: str):
     return df.select(*[f"`{c.replace('`', '``')}`" for c in df.columns if c.lower() not in gone])
 
 
-def schema_with(df, more: str) -> str:
-    """The DDL of ``df`` with columns added, for ``mapInArrow``."""
-    fields = [f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema.fields]
-    return ", ".join([*fields, more])
+def schema_with(df, more: str) -> StructType:
+    """The schema of ``df`` with columns added (as DDL), for ``mapInArrow``; names may hold any character."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
 
 
 def binaries(bounds: np.ndarray, data: bytes | np.ndarray) -> pa.Array:

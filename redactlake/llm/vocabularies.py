@@ -8,11 +8,13 @@ BYTE_BPE = "byte_bpe_50k.json"
 FOLDER = "/opt/tokenizers"
 
 
-def vocabulary_path(name: str, folder: str = FOLDER) -> str:
-    """The file in ``folder`` if it is there, else in the installed package of vocabularies."""
-    path = os.path.join(folder, name)
-    if os.path.exists(path):
-        return path
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+def vocabulary_path(name: str, folder: str | None = None) -> str:
+    """The file in ``folder`` if one is given, else in the installed package of vocabularies or, without that, in ``FOLDER``."""
+    if folder is None:
+        try:
+            import public_tokenizers
+        except ImportError:
+            folder = FOLDER
+        else:
+            return str(public_tokenizers.path(name))
+    return os.path.join(folder, name)

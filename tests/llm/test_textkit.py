@@ -47,3 +47,14 @@ def test_slices_cover_the_batch_and_keep_long_texts_whole():
     assert pa.concat_arrays([p.column(0) for p in parts]).to_pylist() == batch.column(0).to_pylist()
     assert max(p.num_rows for p in parts) < 5
     assert np.all([p.num_rows for p in parts])
+
+
+def test_columns_of_any_name_ride_along(spark):
+    from redactlake.llm import token_counts
+    from redactlake.llm.vocabularies import BYTE_BPE, vocabulary_path
+
+    schema = "doc_id long, text string, `odd name` int, s struct<`a b`:int,`c,d`:array<string>>"
+    df = spark.createDataFrame([(1, "one two", 3, (4, ["x"])), (None, None, None, None)], schema)
+    counted = token_counts.count_tokens(df, vocabulary_path(BYTE_BPE))
+    assert counted.schema.fields[:4] == df.schema.fields
+    assert sorted(r["n_tokens"] for r in counted.collect()) == [0, 2]
