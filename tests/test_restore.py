@@ -60,3 +60,16 @@ def test_bracket_in_description_is_reported(spark):
     inv = from_nested(nested(spark, [(5, "(2)(B)", "code [old] gate", "0000", [])]))
     docs = texts(spark, ["0000 was it"])
     assert A.roundtrip(docs, inv, R.matcher_for(inv), ["doc_id"]).first()["is_equal"] is False
+
+
+def test_pieces_of_texts_are_not_sorted_for_the_inventory(spark, depot):
+    """A task of the join holds its share of the inventory, not that of the texts."""
+    docs = texts(spark, [f"{OWN} {i}" for i in range(20)])
+    restored = S.restore_documents(docs, depot, ["doc_id"], max_broadcast_bytes=0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        plan = S.resolve_tags(S.parse_tags(docs, ["doc_id"]), depot, ["doc_id"])._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ShuffledHashJoin") == 2
+        assert {r["restored"] for r in restored.collect()} == {f"7731-QX {i}" for i in range(20)}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
