@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import brute
-from helpers import texts
+from helpers import nested, texts
 from redactlake.functions import kernels, tags, text as T
 from redactlake.operators import matching as M
 from redactlake.operators import redact as R
@@ -196,3 +196,25 @@ def test_small_inventory_needs_no_shuffle(spark):
     df = R.redact_documents(texts(spark, ["x"]), matcher, ["doc_id"])
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_filter_bits_move_before_they_are_put_together(spark, monkeypatch):
+    """Tasks do not each make a page of their own for every page of the filter, and documents' windows are not sorted."""
+    from redactlake.operators import matching
+    from redactlake.operators import redact
+    from redactlake.operators.inventory import from_nested
+
+    plans, store = [], matching.materialize
+
+    def stored(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df)
+
+    monkeypatch.setattr(matching, "materialize", stored)
+    inv = from_nested(nested(spark, [(i, "(2)(B)", "gate", f"gate {i}", []) for i in range(1, 60)]))
+    matcher = redact.matcher_for(inv, max_broadcast_bytes=0)
+    assert "REPARTITION_BY_NUM" in plans[0]
+    top = plans[0].split("bitmap_construct_agg", 1)[1].split("Exchange", 1)[0]
+    assert top.count("bitmap_construct_agg") >= 1  # both steps stand above the exchange
+    got = redact.redact_documents(texts(spark, ["at gate 7", "gate 59, gate 1", "no"]), matcher, ["doc_id"])
+    assert {r["doc_id"]: r["n_matches"] for r in got.collect()} == {0: 1, 1: 2, 2: 0}
