@@ -4,9 +4,10 @@ A document is the set of its distinct five-word shingles, as 64-bit hashes; equa
 Shingles are ordered rare first, by counts of all documents' shingles kept in a sketch of fixed size
 (any fixed order is right; a rare-first one is fast). Two sets that are similar enough share a shingle
 among the first ``n - ceil(t * n) + 1`` of each, so only those prefixes are joined. A candidate must
-also pass the length filter, the positional filter (what can still follow the shared shingle) and the
-suffix filter (how many hashes of each range the two sets can share); each surviving pair is verified
-once on the whole sets.
+also pass the length filter, the positional filter (what can still follow the shared shingle), the
+suffix filter (how many hashes of each range the two sets can share) and the parity filter (an odd sketch: the
+parities of 1,024 hash buckets, of which as many differ as hashes are in one set only, or fewer); each surviving pair
+is verified once on the whole sets.
 
 Within one shared shingle not all pairs are made. Groups with no more unlinked pairs than members are
 joined in full. In a larger group some classes, the pivots, are compared with all others: first the least class,
@@ -14,7 +15,7 @@ which groups with the same members have in common, then four, sixteen and so on,
 found join classes into components, and what is still in different components goes to the next round. Once the
 unlinked pairs that are left are at most ``PAIRS_PER_ROW`` for each row of the shared prefixes, all of them are compared.
 Pairs of a round are thus linear in the rows, a group of near copies is linked after a round or two, and no link
-between components can be missed. The suffix filter compares the range counts of two sets before any set is
+between components can be missed. The last two filters compare the counts and parities of two sets before any set is
 brought together, from the second round on inside the join itself; the sets a round needs are taken from the texts and kept for later rounds.
 
 Documents with fewer words than a shingle are one shingle of all their words; null, empty and blank
@@ -49,6 +50,8 @@ PAIRS_PER_ROW = 100
 FULL_FACTOR = 1
 #: Hash ranges of the suffix filter.
 SUFFIX_RANGES = 16
+#: Words of 64 bits in the parities of a set.
+PARITY_WORDS = 16
 
 
 def shingle_sets(texts: K.Texts) -> list[np.ndarray]:
@@ -91,9 +94,10 @@ def _chunk_rows(sketch: np.ndarray):
 
 
 def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, n_shingles, class, ranges) rows, class null if there is none, and sketch rows (chunk, part, counts).
+    """(key, n_shingles, class, ranges, parities) rows, class null if there is none, and sketch rows (chunk, part, counts).
 
-    ``ranges`` counts the shingles in each of the ``SUFFIX_RANGES`` hash ranges.
+    ``ranges`` counts the shingles in each of the ``SUFFIX_RANGES`` hash ranges, ``parities`` tells of which hash buckets a set
+    holds an odd number.
     """
     kind = docs.schema[key].dataType.simpleString()
 
@@ -114,11 +118,12 @@ def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
                         pa.array([range_counts(s) for s in sets], pa.list_(pa.int32())),
+                        pa.array([parities(s) for s in sets], pa.list_(pa.int64())),
                         pa.nulls(n, pa.int32()),
                         pa.nulls(n, pa.int32()),
                         pa.nulls(n, pa.binary()),
                     ],
-                    ["key", "n_shingles", "class", "ranges", "chunk", "part", "counts"],
+                    ["key", "n_shingles", "class", "ranges", "parities", "chunk", "part", "counts"],
                 )
         rows = list(_chunk_rows(sketch))
         if rows:
@@ -128,13 +133,16 @@ def scan(docs: DataFrame, key: str, text: str) -> DataFrame:
                     pa.nulls(len(rows), pa.int64()),
                     pa.nulls(len(rows), pa.int64()),
                     pa.nulls(len(rows), pa.list_(pa.int32())),
+                    pa.nulls(len(rows), pa.list_(pa.int64())),
                     *(pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.binary()))),
                 ],
-                ["key", "n_shingles", "class", "ranges", "chunk", "part", "counts"],
+                ["key", "n_shingles", "class", "ranges", "parities", "chunk", "part", "counts"],
             )
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("x"))
-    return rows.mapInArrow(run, f"key {kind}, n_shingles bigint, class bigint, ranges array<int>, chunk int, part int, counts binary")
+    return rows.mapInArrow(
+        run, f"key {kind}, n_shingles bigint, class bigint, ranges array<int>, parities array<bigint>, chunk int, part int, counts binary"
+    )
 
 
 def _sum_chunks(table: pa.Table) -> pa.Table:
@@ -273,12 +281,15 @@ def next_candidates(rows: DataFrame, number: int, pivots: int, last: bool) -> tu
     """Pairs to compare now, and the rows of large groups that remain without their pivots.
 
     ``rows`` are those of ``in_groups``. A large group has about ``pivots`` pivots; with ``last``, no group is large. Where rows
-    have the ``ranges`` of their class, the suffix filter is part of the join.
+    have the ``ranges`` and ``parities`` of their class, the filters on these are part of the join; only rows of large groups take
+    their parities along, as the pairs of others are linear in the rows.
     """
     chance = F.pmod(F.xxhash64("class", F.lit(number)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = rows.withColumn("full", F.lit(last) | (F.col("unlinked") <= FULL_FACTOR * F.col("n")))
+    if "parities" in rows.columns:
+        rows = rows.withColumn("parities", F.when(F.col("unlinked") > FULL_FACTOR * F.col("n"), F.col("parities")))
     rows = rows.withColumn("pivot", (F.col("class") == F.col("first")) | (chance < (pivots - 1) / F.col("n")))
-    names = ["class", "size", "place", "component", *(c for c in rows.columns if c == "ranges")]
+    names = ["class", "size", "place", "component", *(c for c in rows.columns if c in ("ranges", "parities"))]
     left = rows.filter(F.col("full") | F.col("pivot")).select("token", *[F.col(c).alias(f"a_{c}") for c in names])
     right = rows.select("token", "full", "pivot", *[F.col(c).alias(f"b_{c}") for c in names])
     rest = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
@@ -292,6 +303,8 @@ def next_candidates(rows: DataFrame, number: int, pivots: int, last: bool) -> tu
     )
     if "ranges" in names:
         pairs = pairs.filter(suffix_condition())
+    if "parities" in names:
+        pairs = pairs.filter(F.coalesce(parity_condition(), F.lit(True)))
     pairs = pairs.select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b")).distinct()
     remaining = rows.filter(~F.col("full") & ~F.col("pivot")).select("token", "class", "size", "place", "n", "first")
     return pairs, remaining
@@ -350,10 +363,31 @@ def suffix_condition() -> Column:
     return F.expr(f"{NUMERATOR + DENOMINATOR} * {both} >= {NUMERATOR} * {sizes}")
 
 
+def parities(shingles: np.ndarray) -> np.ndarray:
+    """One bit per hash bucket: whether a set holds an odd number of the bucket's hashes."""
+    odd = np.bincount((shingles & np.uint64(64 * PARITY_WORDS - 1)).astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(bool)).view("<i8")
+
+
+def parity_condition() -> Column:
+    """Whether sets with ``a_parities`` and ``b_parities`` differ little enough.
+
+    Where the parities of a bucket differ, at least one hash is in one set only.
+    """
+    differ = " + ".join(f"bit_count(a_parities[{i}] ^ b_parities[{i}])" for i in range(PARITY_WORDS))
+    return F.expr(f"{NUMERATOR + DENOMINATOR} * ({differ}) <= {DENOMINATOR - NUMERATOR} * (cast(a_size as bigint) + b_size)")
+
+
+def pairs_with(pairs: DataFrame, known: DataFrame, condition: Column) -> DataFrame:
+    """The pairs that meet a condition on the columns of ``known`` (class, ...), named ``a_...`` and ``b_...``."""
+    columns = [c for c in known.columns if c != "class"]
+    sides = [known.select(F.col("class").alias(c), *[F.col(x).alias(f"{c}_{x}") for x in columns]) for c in ("a", "b")]
+    return pairs.join(sides[0], "a").join(sides[1], "b").filter(condition).select("a", "b")
+
+
 def suffix_filter(pairs: DataFrame, ranges: DataFrame) -> DataFrame:
     """The pairs whose sets can share enough, by how many shingles each has in every hash range."""
-    sides = [ranges.select(F.col("class").alias(c), F.col("ranges").alias(f"{c}_ranges")) for c in ("a", "b")]
-    return pairs.join(sides[0], "a").join(sides[1], "b").filter(suffix_condition()).select("a", "b")
+    return pairs_with(pairs, ranges, suffix_condition())
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -434,7 +468,8 @@ def group_similar(docs: DataFrame, key: str, text: str, folder: str) -> DataFram
     shared = _store(shared_prefixes(prefixes(docs, text, sketch_of(scanned), bits)), f"{folder}/shared")
     labels = None
     if not shared.isEmpty():
-        ranges = scanned.filter("class is not null").select("class", "ranges").dropDuplicates(["class"])
+        ranges = scanned.filter("class is not null").select("class", "ranges", "parities", F.col("n_shingles").alias("size"))
+        ranges = ranges.dropDuplicates(["class"])
         ranges = _store(ranges.join(shared.select("class").distinct(), "class", "left_semi"), f"{folder}/ranges")
         few = PAIRS_PER_ROW * shared.count()
         done = sets = None
@@ -447,11 +482,11 @@ def group_similar(docs: DataFrame, key: str, text: str, folder: str) -> DataFram
                 if not unlinked:
                     break
                 last = unlinked <= few
-                here = here.join(ranges, "class")
+                here = here.join(ranges.drop("size"), "class")
             pairs, shared = next_candidates(here, number, pivots, last)
             if done is not None:
                 pairs = pairs.join(done, ["a", "b"], "left_anti")
-            likely = _store(pairs if number else suffix_filter(pairs, ranges), f"{folder}/pairs-{number}")
+            likely = _store(pairs if number else pairs_with(pairs, ranges, parity_condition() & suffix_condition()), f"{folder}/pairs-{number}")
             wanted = likely.select(F.explode(F.array("a", "b")).alias("class")).distinct()
             if sets is not None:
                 wanted = wanted.join(sets.select("class"), "class", "left_anti")

@@ -108,5 +108,30 @@ def test_ranges_bound_what_two_sets_share(spark):
     assert (0, 1) in {tuple(r) for r in J.suffix_filter(pairs, df).collect()}
 
 
+def test_parities_bound_how_far_two_sets_differ(spark):
+    texts = [" ".join(f"w{j}" for j in range(a, b)) for a, b in ((0, 5000), (1, 5001), (100, 5100), (0, 60), (4, 64), (30, 90))]
+    sets = J.shingle_sets(J.K.texts_of(J.pa.array(texts)))
+    rows = [(i, len(x), J.parities(x).tolist()) for i, x in enumerate(sets)]
+    df = spark.createDataFrame(rows, "class long, size int, parities array<long>")
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2)]
+    kept = {tuple(r) for r in J.pairs_with(spark.createDataFrame(pairs, "a long, b long"), df, J.parity_condition()).collect()}
+    assert {(a, b) for a, b in pairs if J.similar(sets[a], sets[b])} <= kept and (3, 5) not in kept
+
+
+def test_group_of_texts_that_are_nearly_similar_enough_has_few_candidates(spark, folder):
+    """121 texts, each with three words of one text changed, no two in more than one place: 73 % similar at most, so no pair links."""
+    base, rows = [f"b{i}" for i in range(165)], []
+    for i, j in itertools.product(range(11), repeat=2):
+        words = list(base)
+        for place in (i, 11 + j, 22 + (i + j) % 11):
+            words[5 * place + 2] = f"x{i}-{j}-{place}"
+        rows.append((11 * i + j, " ".join(words)))
+    assert run(spark.createDataFrame(rows, "doc_id long, text string"), folder) == brute(rows)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    names = [f.getPath().getName() for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(path)]
+    pairs = sum(spark.read.parquet(f"{folder}/{n}").count() for n in names if n.startswith("pairs-"))
+    assert pairs < 10 * len(rows)  # of 7,260
+
+
 def test_empty_table(docs, folder):
     assert run(docs.filter("doc_id < -1"), folder) == []
