@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -218,3 +219,27 @@ def test_filter_bits_move_before_they_are_put_together(spark, monkeypatch):
     assert top.count("bitmap_construct_agg") >= 1  # both steps stand above the exchange
     got = redact.redact_documents(texts(spark, ["at gate 7", "gate 59, gate 1", "no"]), matcher, ["doc_id"])
     assert {r["doc_id"]: r["n_matches"] for r in got.collect()} == {0: 1, 1: 2, 2: 0}
+
+
+def test_a_batch_is_matched_in_bounded_memory(spark):
+    """32 MB of text in one batch: the arrays of its own that the kernel holds do not grow with the batch."""
+    matcher = M.prepare_matcher(patterns(spark, ["needle", "needles"]))
+    batch = pa.array([("é" + "x" * 998 + " needles") * 8] * 4000)
+    match = kernels.make_matcher(matcher.state, select=True).func
+    few = match(batch.slice(0, 10))
+    tracemalloc.start()
+    found = match(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.slice(0, 10).to_pylist() == few.to_pylist() and len(found) == 4000
+    assert [(m["start"], m["surface"]) for m in found[3999].as_py()] == [(1007 * i + 1000, "needles") for i in range(8)]
+    assert peak < 16 << 20
+
+
+def test_slices_of_a_batch_give_what_the_batch_gives():
+    rows = ["a```b\n```\n", None, "", "x" * 300_000, "é```\nq\n```\nz"] * 40
+    batch, spots = pa.array(rows, pa.string()), pa.array([[0, 1] if r and len(r) > 2 else [] for r in rows], pa.list_(pa.int32()))
+    runs = list(kernels.slices(batch))
+    assert len(runs) > 40 and [a for a, _ in runs] == np.cumsum([0] + [n for _, n in runs])[:-1].tolist() and sum(n for _, n in runs) == 200
+    locate = kernels.make_locator().func
+    assert locate(batch, spots).to_pylist() == [locate(batch.slice(i, 1), spots.slice(i, 1)).to_pylist()[0] for i in range(200)]
