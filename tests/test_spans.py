@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import brute
+from redactlake.functions import kernels
 from redactlake.operators.spans import select_spans
 
 
@@ -84,3 +86,29 @@ def test_no_spans_and_no_keys(spark):
     df = spark.createDataFrame([(0, 4), (2, 9), (4, 5), (4, 4)], "s int, e int")
     assert sorted(map(tuple, select_spans(df, [], "s", "e").collect())) == [(0, 4), (4, 5)]
     assert select_spans(df.filter("s > 90"), [], "s", "e").collect() == []
+
+
+def test_only_clashing_rows_are_walked_through():
+    """The kernel against row by row, over batches that cut runs; rows after a kept one that do not clash are never asked."""
+    rnd = random.Random(9)
+    for _ in range(300):
+        rows = sorted(((rnd.randrange(3), s, -s - rnd.randrange(9)) for s in (rnd.randrange(20) for _ in range(12))))
+        last, key, kept, got, at = None, None, [], [], None
+        for k, s, e in rows:
+            take = k != key or s >= last
+            key, last = k, -e if take else last
+            kept.append(take)
+        for part in (rows[:5], rows[5:]):
+            new = np.array([i == 0 and not got or (rows[len(got) + i - 1][0] != k) for i, (k, _, _) in enumerate(part)])
+            keep, at = kernels._greedy(new, np.array([r[1] for r in part]), np.array([-r[2] for r in part]), at)
+            got += keep.tolist()
+        assert (got, at) == (kept, last)
+
+    class Counted(np.ndarray):
+        def tolist(self):
+            assert len(self) < 2, "walked through"
+            return super().tolist()
+
+    starts = np.arange(0, 3000, 3)
+    keep, at = kernels._greedy(np.zeros(1000, bool), starts.view(Counted), (starts + 3).view(Counted), None)
+    assert keep.all() and at == 3000
