@@ -16,7 +16,7 @@ found join classes into components, and what is still in different components go
 unlinked pairs that are left are at most ``PAIRS_PER_ROW`` for each row of the shared prefixes, all of them are compared.
 Pairs of a round are thus linear in the rows, a group of near copies is linked after a round or two, and no link
 between components can be missed. The last two filters compare the counts and parities of two sets before any set is
-brought together, from the second round on inside the join itself; the sets a round needs are taken from the texts and kept for later rounds.
+brought together, from the second round on where the pairs are made, in cells of bounded size; the sets a round needs are taken from the texts and kept for later rounds.
 
 Documents with fewer words than a shingle are one shingle of all their words; null, empty and blank
 texts have no shingle and are linked with nothing. Repeated rows and null ids keep rows of their own;
@@ -48,6 +48,8 @@ PIVOTS, MORE_PIVOTS = 1, 4
 PAIRS_PER_ROW = 100
 #: A group is joined in full while its unlinked pairs are at most this many times its members.
 FULL_FACTOR = 1
+#: Classes of a large group in one block, rows in one bucket of cells, the least number of buckets, and pairs held at once.
+BLOCK, BUCKET_ROWS, LEAST_BUCKETS, PAIRS_AT_ONCE = 512, 8192, 512, 1 << 16
 #: Hash ranges of the suffix filter.
 SUFFIX_RANGES = 16
 #: Words of 64 bits in the parities of a set.
@@ -281,33 +283,96 @@ def next_candidates(rows: DataFrame, number: int, pivots: int, last: bool) -> tu
     """Pairs to compare now, and the rows of large groups that remain without their pivots.
 
     ``rows`` are those of ``in_groups``. A large group has about ``pivots`` pivots; with ``last``, no group is large. Where rows
-    have the ``ranges`` and ``parities`` of their class, the filters on these are part of the join; only rows of large groups take
-    their parities along, as the pairs of others are linear in the rows.
+    have the ``ranges`` and ``parities`` of their class, the filters on these are applied to the pairs as they are made; only rows
+    of large groups take their parities along, as the pairs of others are linear in the rows.
     """
     chance = F.pmod(F.xxhash64("class", F.lit(number)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     rows = rows.withColumn("full", F.lit(last) | (F.col("unlinked") <= FULL_FACTOR * F.col("n")))
+    rows = rows.withColumn("pivot", (F.col("class") == F.col("first")) | (chance < (pivots - 1) / F.col("n")))
     if "parities" in rows.columns:
         rows = rows.withColumn("parities", F.when(F.col("unlinked") > FULL_FACTOR * F.col("n"), F.col("parities")))
-    rows = rows.withColumn("pivot", (F.col("class") == F.col("first")) | (chance < (pivots - 1) / F.col("n")))
-    names = ["class", "size", "place", "component", *(c for c in rows.columns if c in ("ranges", "parities"))]
-    left = rows.filter(F.col("full") | F.col("pivot")).select("token", *[F.col(c).alias(f"a_{c}") for c in names])
-    right = rows.select("token", "full", "pivot", *[F.col(c).alias(f"b_{c}") for c in names])
-    rest = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
-    pairs = left.join(right, "token").filter(
-        (F.col("a_component") != F.col("b_component"))
-        & ((~F.col("full") & ~F.col("pivot")) | (F.col("a_class") < F.col("b_class")))
-        # The length filter.
-        & (DENOMINATOR * F.least("a_size", "b_size") >= NUMERATOR * F.greatest("a_size", "b_size"))
-        # The positional filter, for the case that this is the first shingle shared.
-        & (rest >= _least_overlap("a_size", "b_size"))
-    )
-    if "ranges" in names:
-        pairs = pairs.filter(suffix_condition())
-    if "parities" in names:
-        pairs = pairs.filter(F.coalesce(parity_condition(), F.lit(True)))
-    pairs = pairs.select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b")).distinct()
+        pairs = pairs_in_cells(rows)
+    else:
+        names = ["class", "size", "place", "component"]
+        left = rows.filter(F.col("full") | F.col("pivot")).select("token", *[F.col(c).alias(f"a_{c}") for c in names])
+        right = rows.select("token", "full", "pivot", *[F.col(c).alias(f"b_{c}") for c in names])
+        rest = F.least(F.col("a_size") - F.col("a_place"), F.col("b_size") - F.col("b_place"))
+        pairs = left.join(right, "token").filter(
+            (F.col("a_component") != F.col("b_component"))
+            & ((~F.col("full") & ~F.col("pivot")) | (F.col("a_class") < F.col("b_class")))
+            # The length filter.
+            & (DENOMINATOR * F.least("a_size", "b_size") >= NUMERATOR * F.greatest("a_size", "b_size"))
+            # The positional filter, for the case that this is the first shingle shared.
+            & (rest >= _least_overlap("a_size", "b_size"))
+        )
+        pairs = pairs.select(F.least("a_class", "b_class").alias("a"), F.greatest("a_class", "b_class").alias("b"))
     remaining = rows.filter(~F.col("full") & ~F.col("pivot")).select("token", "class", "size", "place", "n", "first")
-    return pairs, remaining
+    return pairs.distinct(), remaining
+
+
+def pairs_in_cells(rows: DataFrame) -> DataFrame:
+    """(a, b), with repeats, of the pairs to compare that pass all filters; ``rows`` as in ``next_candidates``.
+
+    A group's classes are dealt into blocks of about ``BLOCK``. Where all are compared, each two blocks meet in a cell of their own;
+    where pivots are, each block meets them in its own cell. So no cell is large, and rows are sent once for each other block at most.
+    """
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("class", F.lit("block")), blocks).cast("int"))
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    cells = (
+        F.when(F.col("full"), F.transform(every, lambda x: F.struct(F.least(x, "block").alias("i"), F.greatest(x, "block").alias("j"))))
+        .when(F.col("pivot"), F.transform(every, lambda x: F.struct(x.alias("i"), x.alias("j"))))
+        .otherwise(F.array(F.struct(F.col("block").alias("i"), F.col("block").alias("j"))))
+    )
+    copies = F.when(F.col("full") | F.col("pivot"), F.col("blocks")).otherwise(1)
+    total = rows.agg(F.coalesce(F.sum(copies), F.lit(0))).first()[0]
+    number = max(LEAST_BUCKETS, math.ceil(total / BUCKET_ROWS))
+    names = ["token", "class", "size", "place", "component", "block", "full", "pivot", "ranges", "parities"]
+    dealt = rows.select(*names, F.explode(cells).alias("cell")).select(*names, "cell.i", "cell.j")
+    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("token", "i", "j"), F.lit(number)))
+    return dealt.groupBy("bucket").applyInArrow(_pairs_of_cells, "a bigint, b bigint")
+
+
+def _words(column: pa.ChunkedArray, width: int, kind: type) -> np.ndarray:
+    """The lists of a column as rows of a matrix; nulls are zeros."""
+    out = np.zeros((len(column), width), kind)
+    out[column.is_valid().to_numpy()] = np.concatenate([np.zeros(0, kind), *(x.flatten().to_numpy() for x in column.chunks)]).reshape(-1, width)
+    return out
+
+
+def _pairs_of_cells(table: pa.Table) -> pa.Table:
+    table = table.sort_by([(c, "ascending") for c in ("token", "i", "j", "class")])
+    token, i, j, cls, size, place, component, block, full, pivot = (
+        table.column(c).to_numpy() for c in ("token", "i", "j", "class", "size", "place", "component", "block", "full", "pivot")
+    )
+    size = size.astype(np.int64)
+    ranges, odd = _words(table.column("ranges"), SUFFIX_RANGES, np.int32), _words(table.column("parities"), PARITY_WORDS, np.int64).view(np.uint64)
+    heads = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+    sizes = np.diff(np.append(heads, len(token)))
+    partners = np.repeat(heads + sizes, sizes) - np.arange(len(token)) - 1  # the rows after a row in its cell
+    upto = np.concatenate(([0], np.cumsum(partners)))
+    found, at = [np.zeros((2, 0), np.int64)], 0
+    while at < len(token):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] + PAIRS_AT_ONCE, "right")) - 1)
+        a = np.repeat(np.arange(at, to), partners[at:to])
+        b = a + 1 + np.arange(len(a)) - (upto[a] - upto[at])
+        at = to
+        for passes in (
+            lambda a, b: component[a] != component[b],
+            lambda a, b: np.where(full[a], (i[a] == j[a]) | (block[a] != block[b]), pivot[a] | pivot[b]),
+            # The length filter.
+            lambda a, b: DENOMINATOR * np.minimum(size[a], size[b]) >= NUMERATOR * np.maximum(size[a], size[b]),
+            # The positional filter, for the case that this is the first shingle shared.
+            lambda a, b: np.minimum(size[a] - place[a], size[b] - place[b]) >= -(-NUMERATOR * (size[a] + size[b]) // (NUMERATOR + DENOMINATOR)),
+            # The parity filter and the suffix filter.
+            lambda a, b: (NUMERATOR + DENOMINATOR) * np.bitwise_count(odd[a] ^ odd[b]).sum(1, np.int64) <= (DENOMINATOR - NUMERATOR) * (size[a] + size[b]),
+            lambda a, b: (NUMERATOR + DENOMINATOR) * np.minimum(ranges[a], ranges[b]).sum(1, np.int64) >= NUMERATOR * (size[a] + size[b]),
+        ):
+            kept = passes(a, b)
+            a, b = a[kept], b[kept]
+        found.append(np.unique(np.stack((cls[a], cls[b])), axis=1))
+    pairs = np.concatenate(found, axis=1)
+    return pa.table({"a": pairs[0], "b": pairs[1]})
 
 
 # --- verification ----------------------------------------------------------------------------------

@@ -99,6 +99,29 @@ def test_one_group_of_many_near_copies_has_few_candidates(spark, folder):
     assert pairs < 20 * len(rows)
 
 
+@pytest.mark.parametrize("last", [False, True])
+def test_cells_give_the_pairs_of_all_blocks(spark, monkeypatch, last):
+    """Groups of several blocks: the pairs that pass the filters, whichever cell they meet in."""
+    monkeypatch.setattr(J, "BLOCK", 7)
+    monkeypatch.setattr(J, "PAIRS_AT_ONCE", 50)
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(80)]
+    texts = [" ".join(w if rng.random() < 0.98 else f"x{rng.randrange(10**6)}" for w in base) for _ in range(60)]
+    sets = J.shingle_sets(J.K.texts_of(J.pa.array(texts)))
+    rows, n = [], 60
+    for c, x in enumerate(sets):
+        rows.append((1, c, len(x), 0, c % 9, n, 0, 1600.0, J.range_counts(x).tolist(), J.parities(x).tolist()))
+    names = "token long, class long, size int, place int, component long, n long, first long, unlinked double, ranges array<int>, parities array<long>"
+    pairs, left = J.next_candidates(spark.createDataFrame(rows, names), 1, 4, last)
+    got = [tuple(r) for r in pairs.collect()]
+    pivots = set(range(n)) - {r["class"] for r in left.collect()}
+    assert len(got) == len(set(got)) and 0 in pivots and (len(pivots) == n) == last
+    like = {(a, b) for a, b in itertools.combinations(range(n), 2) if a % 9 != b % 9 and J.similar(sets[a], sets[b])}
+    assert len(like) > 500 and {p for p in like if pivots & set(p)} <= set(got)
+    assert all(a % 9 != b % 9 and pivots & {a, b} for a, b in got)
+    assert last or len(got) < len(like)
+
+
 def test_ranges_bound_what_two_sets_share(spark):
     sets = [J.shingle_sets(J.K.texts_of(J.pa.array([" ".join(f"w{j}" for j in range(a, b))])))[0] for a, b in ((0, 50), (5, 55), (40, 90))]
     rows = [(i, J.range_counts(x).tolist()) for i, x in enumerate(sets)]
