@@ -18,9 +18,21 @@ def _names(docs: DataFrame) -> list[str]:
     return [f"`{c}`" for c in docs.columns]
 
 
+#: Bytes of a batch that Spark hands to Python; whole texts fill large ones, which JVM and Python hold at once.
+DEFAULT_BATCH_BYTES, BATCH_BYTES = "67108864b", "4m"
+
+
+def _prepare(spark: SparkSession) -> None:
+    """The package on the executors, and smaller batches than Spark's default, unless the session sets its own."""
+    ship(spark)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == DEFAULT_BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known with enough confidence; learned from their own labels."""
-    ship(spark)
+    _prepare(spark)
     docs = spread(docs, "doc_id")
     held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False))
     model = langid.train(docs.filter(~held_out), "doc_id", "text", "lang")
@@ -29,7 +41,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that are not predicted toxic."""
-    ship(spark)
+    _prepare(spark)
     held_out = F.coalesce(fold(F.col("doc_id"), 3) == 1, F.lit(False))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic").filter(~held_out)
     model = toxicity.train(docs, labels, "doc_id", "text", "toxic")
@@ -55,7 +67,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Texts without words are in no group and stay; so does one of a group without ids.
     """
-    ship(spark)
+    _prepare(spark)
     numbered, row = _numbered(spark, docs)
     # Null ids rank last.
     key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("row"))
@@ -73,7 +85,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, with digests of the ids and of the text decoded from them."""
-    ship(spark)
+    _prepare(spark)
     path = vocabulary_path(BYTE_BPE)
     kept = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
     encoded = bpe.encode_documents(docs.select(*kept, "text"), path).select(*kept, "token_ids")

@@ -109,3 +109,27 @@ def test_decontamination_with_other_splits_in_the_last_scan(spark, resplit, monk
     monkeypatch.setattr(P.decontaminate, "find_hits", find_then_change)
     out = P.benchmark_decontamination(spark, docs, folder)
     assert sorted(r.doc_id for r in out.collect()) == [*range(40)]
+
+
+def test_batches_of_whole_texts_are_small(spark):
+    """What a task hands to Python at once is bounded in bytes, unless the session has a bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def largest():
+        P._prepare(spark)
+        rows = spark.range(200).coalesce(1).selectExpr("repeat('x', 100000) as x")
+        return max(r[0] for r in rows.mapInArrow(lambda b: (sized(x) for x in b), "n long").collect())
+
+    import pyarrow as pa
+
+    def sized(x):
+        return pa.RecordBatch.from_pydict({"n": [x.num_rows * 100_000]})
+
+    try:
+        spark.conf.unset(name)
+        assert largest() < 2 * (4 << 20)
+        spark.conf.set(name, "1m")
+        assert largest() < 2 << 20 and spark.conf.get(name) == "1m"
+    finally:
+        spark.conf.set(name, before)
