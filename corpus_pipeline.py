@@ -88,9 +88,7 @@ def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     _prepare(spark)
     path = vocabulary_path(BYTE_BPE)
     kept = [c for c in ("doc_id", "lang", "source") if c in docs.columns]
-    encoded = bpe.encode_documents(docs.select(*kept, "text"), path).select(*kept, "token_ids")
-    decoded = bpe.decode_documents(encoded, path)
-    return decoded.select(
+    return bpe.round_trip_documents(docs.select(*kept, "text"), path).select(
         *kept,
         F.expr("cast(octet_length(token_ids) div 4 as bigint)").alias("n_tokens"),
         "token_ids",

@@ -187,23 +187,19 @@ def load(path: str) -> Bpe:
     return _loaded[path]
 
 
-def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
-    """Add ``token_ids``: binary, little-endian unsigned 32-bit integers. The file must be on every node."""
-
-    docs = K.without(docs, "token_ids")
+def _encoding(vocabulary: str, text: str):
+    """Batches -> batches of slices with ``token_ids``."""
 
     def work(batch, texts):
         bpe = load(vocabulary)
         column = batch.column(batch.schema.get_field_index(text)).fill_null("").to_pylist()
         yield K.added(batch, token_ids=pa.array(bpe.encode(column), pa.binary()))
 
-    return docs.mapInArrow(K.map_slices(text, work), K.schema_with(docs, "token_ids binary"))
+    return K.map_slices(text, work)
 
 
-def decode_documents(encoded: DataFrame, vocabulary: str, ids: str = "token_ids") -> DataFrame:
-    """Add ``decoded``: the text of the ids; bytes that are not UTF-8 become U+FFFD. Null ids give an empty text."""
-
-    encoded = K.without(encoded, "decoded")
+def _decoding(vocabulary: str, ids: str):
+    """Batches -> smaller batches with ``decoded``."""
 
     def run(batches):
         for batch in batches:
@@ -217,4 +213,26 @@ def decode_documents(encoded: DataFrame, vocabulary: str, ids: str = "token_ids"
                 ]
                 yield K.added(part, decoded=pa.array(texts, pa.string()))
 
-    return encoded.mapInArrow(run, K.schema_with(encoded, "decoded string"))
+    return run
+
+
+def encode_documents(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
+    """Add ``token_ids``: binary, little-endian unsigned 32-bit integers. The file must be on every node."""
+    docs = K.without(docs, "token_ids")
+    return docs.mapInArrow(_encoding(vocabulary, text), K.schema_with(docs, "token_ids binary"))
+
+
+def decode_documents(encoded: DataFrame, vocabulary: str, ids: str = "token_ids") -> DataFrame:
+    """Add ``decoded``: the text of the ids; bytes that are not UTF-8 become U+FFFD. Null ids give an empty text."""
+    encoded = K.without(encoded, "decoded")
+    return encoded.mapInArrow(_decoding(vocabulary, ids), K.schema_with(encoded, "decoded string"))
+
+
+def round_trip_documents(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
+    """Add ``token_ids`` and ``decoded``, as the two operators do one after the other, in one Python worker per task.
+
+    Chained in one stage they would take two workers for each task, which stay with the executor and hold the vocabulary twice.
+    """
+    docs = K.without(docs, "token_ids", "decoded")
+    encoding, decoding = _encoding(vocabulary, text), _decoding(vocabulary, "token_ids")
+    return docs.mapInArrow(lambda batches: decoding(encoding(batches)), K.schema_with(docs, "token_ids binary, decoded string"))

@@ -45,10 +45,7 @@ def fold(doc_id: Column, folds: int) -> Column:
 @query
 def op10_bpe(spark, sf):
     """Every text to token ids and back."""
-    path = vocabulary_path(BYTE_BPE)
-    encoded = bpe.encode_documents(_documents(spark, sf), path).select("doc_id", "token_ids")
-    decoded = bpe.decode_documents(encoded, path)
-    return decoded.select(
+    return bpe.round_trip_documents(_documents(spark, sf), vocabulary_path(BYTE_BPE)).select(
         "doc_id",
         F.expr("cast(octet_length(token_ids) div 4 as bigint)").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),

@@ -51,3 +51,14 @@ def test_ids_that_are_no_text(spark):
 
 def test_empty_table(docs):
     assert bpe.encode_documents(docs.filter(F.lit(False)), PATH).collect() == []
+
+
+def test_round_trip_is_one_python_step_with_the_rows_of_two(docs):
+    """Two steps in one stage would take two Python workers for each task."""
+    more = docs.selectExpr("*", "1 as decoded")
+    once = bpe.round_trip_documents(more, PATH)
+    twice = bpe.decode_documents(bpe.encode_documents(more, PATH), PATH)
+    assert once.schema == twice.schema
+    assert sorted(map(repr, once.collect())) == sorted(map(repr, twice.collect()))
+    plans = [df._jdf.queryExecution().executedPlan().toString() for df in (once, twice)]
+    assert [p.count("MapInArrow") for p in plans] == [1, 2]

@@ -133,3 +133,10 @@ def test_batches_of_whole_texts_are_small(spark):
         assert largest() < 2 << 20 and spark.conf.get(name) == "1m"
     finally:
         spark.conf.set(name, before)
+
+
+def test_no_stage_takes_two_python_workers_for_a_task(spark, tables):
+    """Workers stay with an executor, so a stage that takes two for each task leaves all later ones less memory."""
+    folder, _, _ = tables
+    out = P.bpe_tokens(spark, spark.read.parquet(f"{folder}/documents.parquet"), folder)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
